@@ -95,39 +95,49 @@ def votes() -> dict[str, Column]:
         "symbols": _vote(symbols, symbols <= 0.01, symbols > 0.1),
         "duplicate_lines": _vote(dup, (dup <= 0.05) & (F.col("n_lines") > 2), dup > 0.3),
         "repeats": _vote(repeat, repeat <= 0.2, repeat > 0.5),
-        "length": _vote(words, words >= 100, words < 50),
         "capitals": _vote(upper, upper <= 0.15, upper > 0.4),
         "exclamations": _vote(marks, marks <= 0.02, marks > 0.15),
         "line_ends": _vote(ended, ended >= 0.5, (ended < 0.1) & (F.col("n_lines") > 2)),
     }
 
 
-#: What a vote of -1, 0, 1 is worth before any row is seen: its probability for bad and for good rows.
-BEFORE = ((0.3, 0.3, 0.4), (0.02, 0.18, 0.8))
+#: Before any row is seen, how often a rule votes -1, 0, 1 on good rows, on rows bad in its own way, and in another way.
+GOOD, OWN, OTHER = (0.02, 0.18, 0.8), (0.9, 0.05, 0.05), (0.1, 0.2, 0.7)
+#: On rows that are bad in a rule's way, the rule itself says so at least this often.
+ANCHOR = 0.7
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, weight: float = 20.0) -> tuple[float, np.ndarray]:
-    """Expectation-maximisation over counted vote patterns: the share of good rows, and how often each rule votes -1, 0, 1 on
-    bad and on good rows (rules x 2 x 3).
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, weight: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over counted vote patterns: the shares of rows that are good, and bad in each rule's way, and
+    how often each rule votes -1, 0, 1 on each of these kinds of rows ((1 + rules) x rules x 3).
 
-    Votes are independent given the row's quality. BEFORE counts as `weight` rows of either quality. At first a row counts as
-    bad if any rule says so. A vote never turns round: votes of 1 are at least as frequent on good rows, votes of -1 on bad.
+    There is a kind of bad rows for each rule, since what one rule finds, others needn't. Votes are independent given the
+    kind. The figures of GOOD, OWN and OTHER count as `weight` rows of each kind.
     """
-    table = np.tile(np.array(BEFORE), (rules, 1, 1))
+    kinds = 1 + rules
+    before = np.empty((kinds, rules, 3))
+    before[0], before[1:] = GOOD, OTHER
+    before[np.arange(1, kinds), np.arange(rules)] = OWN
+    share, table = np.full(kinds, 0.1 / rules), before.copy()
+    share[0] = 0.9
     if not patterns:
-        return 0.5, table
+        return share, table
     v, n = np.array([p for p, _ in patterns]) + 1, np.array([c for _, c in patterns], float)
-    good, share = np.where((v == 0).any(1), 0.1, 0.9), 0.5
-    for _ in range(rounds):
-        share = float(np.clip((n @ good + 1) / (n.sum() + 2), 0.01, 0.99))
+    # at first a row is bad in the ways that its rules name, and good if none does
+    part = np.concatenate([(v != 0).all(1, keepdims=True), v == 0], 1).astype(float)
+    for turn in range(rounds):
+        if turn:
+            z = np.log(share)[None, :] + np.log(table[:, np.arange(rules), v]).sum(2).T
+            part = np.exp(z - z.max(1, keepdims=True))
+        part *= (n / part.sum(1))[:, None]
+        share = (part.sum(0) + 1) / (n.sum() + kinds)
         for j in range(rules):
-            for quality, mine in ((0, n * (1 - good)), (1, n * good)):
-                counts = np.bincount(v[:, j], mine, 3) + weight * np.array(BEFORE[quality])
-                table[j, quality] = counts / counts.sum()
-            for vote, stronger in ((0, 0), (2, 1)):
-                table[j, 1 - stronger, vote] = min(table[j, 1 - stronger, vote], table[j, stronger, vote])
-        z = np.log(share / (1 - share)) + np.log(table[np.arange(rules), 1, v] / table[np.arange(rules), 0, v]).sum(1)
-        good = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            counts = np.stack([np.bincount(v[:, j], part[:, k], 3) for k in range(kinds)]) + weight * before[:, j]
+            table[:, j] = counts / counts.sum(1, keepdims=True)
+            own = table[j + 1, j]
+            if own[0] < ANCHOR:
+                own[1:] *= (1 - ANCHOR) / own[1:].sum()
+                own[0] = ANCHOR
     return share, table
 
 
@@ -143,9 +153,13 @@ def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     voted = counted.select(*[c.alias(k) for k, c in rules.items()])
     patterns = [(tuple(r[k] for k in rules), r["n"]) for r in voted.groupBy(*rules).agg(F.count("*").alias("n")).collect()]
     share, table = fit(sorted(patterns), len(rules))
-    z = F.lit(float(np.log(share / (1 - share))))
-    for c, worth in zip(rules.values(), np.log(table[:, 1] / table[:, 0]).tolist(), strict=True):
-        z = z + F.when(c == -1, worth[0]).when(c == 1, worth[2]).otherwise(worth[1])
+    # the odds of each kind against good rows, from the rules' votes
+    odds = F.lit(0.0)
+    for kind in range(1, len(share)):
+        z = F.lit(float(np.log(share[kind] / share[0])))
+        for c, worth in zip(rules.values(), np.log(table[kind] / table[0]).tolist(), strict=True):
+            z = z + F.when(c == -1, worth[0]).when(c == 1, worth[2]).otherwise(worth[1])
+        odds = odds + F.exp(z)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    out = counted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-z)))
+    out = counted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + odds))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
