@@ -105,6 +105,8 @@ def votes() -> dict[str, Column]:
 GOOD, OWN, OTHER = (0.02, 0.18, 0.8), (0.9, 0.05, 0.05), (0.1, 0.2, 0.7)
 #: On rows that are bad in a rule's way, the rule itself says so at least this often.
 ANCHOR = 0.7
+#: On good rows, each rule votes -1 at most this often.
+FALSE_ALARM = 0.01
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, weight: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +136,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 1
         for j in range(rules):
             counts = np.stack([np.bincount(v[:, j], part[:, k], 3) for k in range(kinds)]) + weight * before[:, j]
             table[:, j] = counts / counts.sum(1, keepdims=True)
+            if table[0, j, 0] > FALSE_ALARM:
+                table[0, j, 1:] *= (1 - FALSE_ALARM) / table[0, j, 1:].sum()
+                table[0, j, 0] = FALSE_ALARM
             own = table[j + 1, j]
             if own[0] < ANCHOR:
                 own[1:] *= (1 - ANCHOR) / own[1:].sum()
