@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,5 +40,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def let_go(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of results that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second finds what the first has set free
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

@@ -1,8 +1,10 @@
 """Suffix-array dedup: repeated byte strings across documents, found by a logarithmic family of sorted suffixes.
 
-Only suffixes cut at WIDTH bytes matter. Each WIDTH-byte window goes to the bucket of the least k-gram in it (its anchor), with
-its neighbours that share the anchor; equal windows always meet. In a bucket, batches of windows in document order get sorted
-suffix arrays, are merge-scanned against the levels of earlier batches, and levels of one size merge.
+Only suffixes cut at WIDTH bytes matter. A window of WIDTH bytes goes to the bucket of the least k-gram in it (its anchor), with
+the neighbours that share the anchor, as one run; equal windows always meet. First only hashes travel: a run that no other
+document has an anchor of is done with, and so is one that equals a run of a smaller document. Only runs that share an anchor
+with a different run send their bytes. There, batches of windows in document order get sorted suffix arrays, are merge-scanned
+against the levels of earlier batches, and levels of one size merge.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ from pyspark.sql import DataFrame, functions as F
 from threadline.llm.durable import let_go, written
 from threadline.llm.textbytes import ODD, Spans, mixed, text_bytes
 
-#: Bytes of a window and of an anchor; bytes of text that are cut into windows at once; of a bucket, about.
-WIDTH, GRAM, SLICE, BUCKET = 50, 12, 2 << 20, 12 << 20
+#: Bytes of a window and of an anchor; bytes of text that are cut into windows at once.
+WIDTH, GRAM, SLICE = 50, 24, 1 << 20
+#: Runs that a task gathers before it sends them, and bytes of text for each bucket.
+GATHER, BUCKET = 1_000_000, 16 << 20
 MAX_BUCKETS = 1 << 17
 #: Windows in a batch of the index family.
 BATCH = 1 << 18
 
 
 def super_windows(data: np.ndarray, last: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, anchor): runs of windows that share an anchor; start and end - 1 are the first bytes of windows.
+    """(start, end, anchor): runs of windows that share an anchor; start and end - 1 are where their first and last windows begin.
 
     last: for each byte, whether it can begin a window (WIDTH bytes of its own document follow).
     """
@@ -66,19 +70,14 @@ def _unpack(raw: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: anchors (differences), lengths in windows, bytes, occurrences, and of each occurrence the document and where it starts; documents' ids and row keys
-KINDS = [np.uint32, np.uint8, np.uint8, np.uint16, np.uint16, np.uint32, np.int64, np.int64]
-
-
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + size[0] - 1, start[1] .. and so on, one after the other."""
     total = np.cumsum(size)
     return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)
 
 
-def deal(batch_ids: np.ndarray, batch_keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, buckets: int):
-    """(bucket, packed super-windows) of some texts; equal super-windows of a slice are sent once, with all their occurrences."""
-    press = zstandard.ZstdCompressor(level=1)
+def slices(data: np.ndarray, offsets: np.ndarray):
+    """(document, start in it, windows, anchor, hash of the bytes) of all runs of some texts, a slice at a time."""
     for base in range(0, len(data), SLICE):
         part = data[base : base + SLICE + WIDTH - 1]
         here = min(SLICE, len(data) - base)
@@ -88,38 +87,88 @@ def deal(batch_ids: np.ndarray, batch_keys: np.ndarray, data: np.ndarray, offset
             last[a : max(a, min(b, here))] = True
         spans = Spans(part)
         start, end, anchor = super_windows(part, last, spans)
-        if not len(start):
-            continue
-        doc = np.searchsorted(offsets, start + base, "right") - 1
-        content = spans.of(start, end + WIDTH - 1)
-        bucket = (anchor >> np.uint64(40)).astype(np.int64) % buckets
-        short = (anchor & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.lexsort((doc, content, short, bucket))
-        start, end, doc, content, bucket, short = (x[order] for x in (start, end, doc, content, bucket, short))
-        new = np.ones(len(start), bool)
-        new[1:] = (content[1:] != content[:-1]) | (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])
-        # no list of occurrences is longer than its count can say
-        new |= (np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))) % 60_000 == 0
-        head = np.flatnonzero(new)
-        times = np.diff(np.append(head, len(start)))
-        where = start + base - offsets[doc]
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[head][1:] != bucket[head][:-1])), len(head))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            h = head[a:b]
-            x, y = h[0], h[-1] + times[b - 1]
-            docs, which = np.unique(doc[x:y], return_inverse=True)
-            size = end[h] - start[h] + WIDTH - 1
-            raw = _pack(
-                np.diff(short[h], prepend=0).astype(np.uint32),
-                (end[h] - start[h]).astype(np.uint8),
-                part[_ranges(start[h], size)],
-                times[a:b].astype(np.uint16),
-                which.astype(np.uint16),
-                where[x:y].astype(np.uint32),
-                batch_ids[docs],
-                batch_keys[docs],
-            )
-            yield int(bucket[h[0]]), press.compress(raw)
+        if len(start):
+            doc = np.searchsorted(offsets, start + base, "right") - 1
+            yield doc, start + base - offsets[doc], end - start, anchor, spans.of(start, end + WIDTH - 1)
+
+
+#: Of each different run: difference of anchors, hash (low and high part), windows, occurrences; of each occurrence: document
+#: and where it starts; of each document: id and row key.
+KINDS = [np.uint32, np.uint32, np.uint8, np.uint8, np.uint16, np.uint32, np.uint32, np.int64, np.int64]
+
+
+def deal(runs: list[tuple], buckets: int):
+    """(bucket, packed runs) of gathered (id, key, start, windows, anchor, hash); equal runs are sent once, with all their occurrences."""
+    ids, keys, where, windows, anchor, content = (np.concatenate(x) for x in zip(*runs, strict=True))
+    press = zstandard.ZstdCompressor(level=1)
+    bucket, short = (anchor >> np.uint64(40)).astype(np.int64) % buckets, (anchor & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((ids, content, (bucket << 32) | short))
+    ids, keys, where, windows, content, bucket, short = (x[order] for x in (ids, keys, where, windows, content, bucket, short))
+    new = np.ones(len(ids), bool)
+    new[1:] = (content[1:] != content[:-1]) | (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])
+    at = np.arange(len(new))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % 60_000 == 0  # no more occurrences than their count can say
+    head = np.flatnonzero(new)
+    times = np.diff(np.append(head, len(ids)))
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[head][1:] != bucket[head][:-1])), len(head))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        h = head[a:b]
+        x, y = h[0], h[-1] + times[b - 1]
+        _, pick, which = np.unique(keys[x:y], return_index=True, return_inverse=True)
+        arrays = (
+            np.diff(short[h], prepend=0),
+            content[h] & np.uint64(0xFFFFFFFF),
+            (content[h] >> np.uint64(32)) & np.uint64(0xFF),
+            windows[h],
+            times[a:b],
+            which,
+            where[x:y],
+            ids[x:y][pick],
+            keys[x:y][pick],
+        )
+        yield int(bucket[h[0]]), press.compress(b"".join(len(v).to_bytes(8, "little") + v.astype(k).tobytes() for v, k in zip(arrays, KINDS, strict=True)))
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in KINDS:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 8))
+        at += 8 + n * np.dtype(kind).itemsize
+    return out
+
+
+def compare_hashes(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """From all runs of a bucket: key, start, end and anchor of ranges that are covered for certain (anchor -1), and of runs
+    whose bytes have to be compared with those of others of their anchor."""
+    unpress = zstandard.ZstdDecompressor()
+    parts = [_unpack(unpress.decompress(b)) for b in blobs]
+    anchor = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
+    content = np.concatenate([(p[2].astype(np.int64) << 32) | p[1] for p in parts])
+    windows, times = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (3, 4))
+    where = np.concatenate([p[6] for p in parts]).astype(np.int64)
+    ids, keys = np.concatenate([p[7][p[5]] for p in parts]), np.concatenate([p[8][p[5]] for p in parts])
+    occurs = np.cumsum(times) - times
+    low, high = np.minimum.reduceat(ids, occurs), np.maximum.reduceat(ids, occurs)
+    order = np.lexsort((content, anchor))
+    anchor_, content_ = anchor[order], content[order]
+    group = np.flatnonzero(np.append(True, anchor_[1:] != anchor_[:-1]))
+    same = np.flatnonzero(np.append(True, (anchor_[1:] != anchor_[:-1]) | (content_[1:] != content_[:-1])))
+    n_group = np.diff(np.append(group, len(order)))
+    # the least document of each run's bytes; whether its anchor has other documents, and other bytes
+    least = np.repeat(np.minimum.reduceat(low[order], same), np.diff(np.append(same, len(order))))
+    several = np.repeat(np.minimum.reduceat(low[order], group) < np.maximum.reduceat(high[order], group), n_group)
+    differ = np.repeat(np.add.reduceat(np.isin(np.arange(len(order)), same).astype(np.int64), group) > 1, n_group)
+    chosen = np.flatnonzero(several)
+    run = order[chosen]
+    occ = _ranges(occurs[run], times[run])
+    back = np.repeat(chosen, times[run])
+    covered = least[back] < ids[occ]
+    ask = ~covered & differ[back]
+    keep = covered | ask
+    occ, back, ask = occ[keep], back[keep], ask[keep]
+    start = where[occ]
+    return {"key": keys[occ], "start": start, "end": start + windows[order[back]] + WIDTH - 1, "anchor": np.where(ask, anchor_[back], -1)}
 
 
 class Family:
@@ -151,63 +200,33 @@ class Family:
         return out
 
 
-def repeated(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row key, from, to): bytes covered by windows that also start in a smaller document, from the blobs of a whole bucket."""
-    none = np.zeros(0, np.int64)
-    unpress = zstandard.ZstdDecompressor()
-    parts = [_unpack(unpress.decompress(b), KINDS) for b in blobs]
-    if not parts:
-        return none, none, none
-    anchor = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
-    windows = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    times = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    where = np.concatenate([p[5] for p in parts]).astype(np.int64)
-    ids = np.concatenate([p[6][p[4]] for p in parts])
-    keys = np.concatenate([p[7][p[4]] for p in parts])
-    size = windows + WIDTH - 1
-    begin = np.cumsum(size) - size
-    occurs = np.cumsum(times) - times
-    low, high = np.minimum.reduceat(ids, occurs), np.maximum.reduceat(ids, occurs)
-    # anchors of one document only can't have repeats
-    order = np.argsort(anchor, kind="stable")
-    group = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
-    several = np.minimum.reduceat(low[order], group) < np.maximum.reduceat(high[order], group)
-    chosen = order[np.repeat(several, np.diff(np.append(group, len(order))))]
-    if not len(chosen):
-        return none, none, none
-    chosen = chosen[np.argsort(low[chosen], kind="stable")]
-    data = np.concatenate([p[2] for p in parts])[_ranges(begin[chosen], size[chosen])]
-    windows, size, low, times, occurs = windows[chosen], size[chosen], low[chosen], times[chosen], occurs[chosen]
-    begin = np.cumsum(size) - size
-    family, least = Family(), []
-    ends = np.cumsum(windows)
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(BATCH, ends[-1], BATCH)), len(ends)))
+def compare_bytes(anchor: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, from, to): bytes of each run that are covered by windows which also start in a run of its anchor and a smaller document."""
+    order = np.lexsort((ids, anchor))
+    data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
+    size = np.array([len(texts[i]) for i in order], np.int64)
+    anchor, ids, begin, windows = anchor[order], ids[order], np.cumsum(size) - size, size - WIDTH + 1
+    rank = np.argsort(ids, kind="stable")  # batches in the order of documents
+    family, least = Family(), np.empty(int(windows.sum()), np.int64)
+    first = np.cumsum(windows) - windows
+    ends = np.cumsum(windows[rank])
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(BATCH, ends[-1], BATCH)), len(rank)))
+    spans = Spans(data)
     a = 0
     for b in cuts:
         if b > a:
-            x, y = begin[a], begin[b - 1] + size[b - 1]
-            at = _ranges(begin[a:b] - x, windows[a:b])
-            prints = Spans(data[x:y]).of(at, at + WIDTH)
-            least.append(family.add(prints, np.repeat(low[a:b], windows[a:b])))
+            mine = rank[a:b]
+            at = _ranges(begin[mine], windows[mine])
+            prints = spans.of(at, at + WIDTH) ^ mixed(np.repeat(anchor[mine], windows[mine]).astype(np.uint64) * ODD)
+            least[_ranges(first[mine], windows[mine])] = family.add(prints, np.repeat(ids[mine], windows[mine]))
             a = b
-    least = np.concatenate(least)
-    # each occurrence against each of its windows
-    row = np.repeat(np.arange(len(chosen)), times)
-    occ = _ranges(occurs, times)
-    win0 = ends - windows
-    differs = ids[occ] > np.minimum.reduceat(least, win0)[row]
-    row, occ = row[differs], occ[differs]
-    if not len(occ):
-        return none, none, none
-    count = windows[row]
-    at = _ranges(win0[row], count)
-    back = np.repeat(np.arange(len(row)), count)
-    hit = least[at] < ids[occ][back]
-    step = at - win0[row][back]
-    run = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (back[1:] != back[:-1])))
-    stop = np.flatnonzero(hit & np.append(~hit[1:] | (back[1:] != back[:-1]), True))
-    start = where[occ][back[run]] + step[run]
-    return keys[occ][back[run]], start, where[occ][back[stop]] + step[stop] + WIDTH
+    run = np.repeat(np.arange(len(ids)), windows)
+    hit = least < ids[run]
+    step = np.arange(len(run)) - first[run]
+    other = run[1:] != run[:-1]
+    go = np.flatnonzero(hit & np.append(True, ~hit[:-1] | other))
+    stop = np.flatnonzero(hit & np.append(~hit[1:] | other, True))
+    return order[run[go]], step[go], step[stop] + WIDTH
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,27 +247,66 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     lose nothing and take nothing from others. Documents under WIDTH bytes stay whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(MAX_BUCKETS, max(16, total * 7 // 2 // BUCKET)))
+    buckets = int(min(MAX_BUCKETS, max(16, total // BUCKET)))
+    long_enough = rows.where(f"id is not null and octet_length(text) >= {WIDTH}").select("id", "key", "text")
 
     def scan(batches):
+        gathered, n = [], 0
+
+        def send():
+            got = list(deal(gathered, buckets)) if n else []
+            gathered.clear()
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["bucket", "blob"])
+
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            got = list(deal(ids, keys, data, offsets, buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["bucket", "blob"])
+            for doc, where, windows, anchor, content in slices(data, offsets):
+                gathered.append((ids[doc], keys[doc], where.astype(np.uint32), windows.astype(np.uint8), anchor, content))
+                n += len(doc)
+                if n >= GATHER:
+                    yield send()
+                    n = 0
+        yield send()
+
+    def by_hash(key: tuple, table: pa.Table) -> pa.Table:
+        found = compare_hashes(table.column("blob").to_pylist())
+        asked = np.where(found["anchor"] < 0, -1, (key[0].as_py() << 32) | found["anchor"])
+        return pa.table({"key": found["key"], "start": found["start"].astype(np.int32), "end": found["end"].astype(np.int32), "anchor": asked})
+
+    found = written(long_enough.mapInArrow(scan, "bucket int, blob binary").groupBy("bucket").applyInArrow(by_hash, "key long, start int, end int, anchor long"))
+    let_go(spark)
+    asked = found.where("anchor >= 0").groupBy("key").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("asked"))
+
+    def bytes_of(batches):
+        for batch in batches:
+            asked = batch.column(3)
+            lists = asked.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            data, offsets = text_bytes(batch.column(2))
+            raw = data.tobytes()
+            start, end = (lists.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            a, b = (offsets[row] + start).tolist(), (offsets[row] + end).tolist()
+            ids, keys = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [lists.field(2), pa.array(ids), pa.array(keys), lists.field(0), pa.array([raw[x:y] for x, y in zip(a, b, strict=True)], pa.binary())], names=["anchor", "id", "key", "start", "run"]
+            )
 
-    def resolve(table: pa.Table) -> pa.Table:
-        key, start, end = repeated(table.column("blob").to_pylist())
-        return pa.table({"key": key, "start": start.astype(np.int32), "end": end.astype(np.int32)})
+    def by_bytes(table: pa.Table) -> pa.Table:
+        anchor, ids, keys, start = (table.column(c).to_numpy() for c in ("anchor", "id", "key", "start"))
+        run, a, b = compare_bytes(anchor, ids, table.column("run").to_pylist())
+        return pa.table({"key": keys[run], "start": (start[run] + a).astype(np.int32), "end": (start[run] + b).astype(np.int32)})
 
-    dealt = rows.where(f"id is not null and octet_length(text) >= {WIDTH}").select(F.col("id").cast("long"), "key", "text").mapInArrow(scan, "bucket int, blob binary")
-    found = written(dealt.groupBy("bucket").applyInArrow(resolve, "key long, start int, end int"))
-    del dealt
+    runs = long_enough.join(asked, "key").select("id", "key", "text", "asked").mapInArrow(bytes_of, "anchor long, id long, key long, start int, run binary")
+    runs = runs.withColumn("bucket", F.shiftright("anchor", 32))
+    compared = written(runs.groupBy("bucket").applyInArrow(lambda t: by_bytes(t.drop(["bucket"])), "key long, start int, end int"))
+    del runs
     let_go(spark)
-    found = found.groupBy("key").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    covered = found.where("anchor < 0").select("key", "start", "end").union(compared)
+    covered = covered.groupBy("key").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
 
     def cut(batches):
         for batch in batches:
@@ -261,5 +319,5 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 out.append((i, len(raw), len(raw) - len(kept), len(start), kept))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(found, "key", "left").select(F.col("id").cast("long").alias(id_column), "text", "start", "end")
+    joined = rows.join(covered, "key", "left").select(F.col("id").alias(id_column), "text", "start", "end")
     return joined.mapInArrow(cut, f"{id_column} long, n_bytes long, n_removed long, n_spans long, kept binary")
