@@ -8,15 +8,15 @@ from threadline.llm.durable import durable
 
 # Kinds of entities and their patterns, in the order in which they are tried.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "password": r"(?<=\bpassword=)[^\s\"'&;,]+",
-    "token": r"(?<=\btoken = \")[^\"\s]{8,}(?=\")",
+    "password": r"(?<==)(?<=\bpassword=)[^\s\"'&;,]+",
+    "token": r"(?<=\")(?<=\btoken = \")[^\"\s]{8,}(?=\")",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w-])\d{3}-\d{3}-\d{4}\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
-    "name": r"(?<=\b(?:Mr|Ms|Dr|Sr|Mrs|Mme|Sra|Herr|Frau|Miss)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?<=\b(?:г-н|г-жа) )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"(?=\p{Lu})(?<= )(?<=\b(?:Mr|Ms|Dr|Sr|Mrs|Mme|Sra|Herr|Frau|Miss|г-н|г-жа)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 # Syllables of invented names, in each script.
 SYLLABLES = {
@@ -34,6 +34,18 @@ def _any() -> str:
     return "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _may_hold() -> Column:
+    """Whether a text can hold any entity: all kinds but names have a digit, @, = or a key's first letters, names a title."""
+    text = F.col("_text")
+    quick = text.rlike("[0-9@=]") | F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA"))
+    return F.coalesce(quick | text.rlike(r" (?=\p{Lu})(?<=\b(?:Mr|Ms|Dr|Sr|Mrs|Mme|Sra|Herr|Frau|Miss|г-н|г-жа)\.? )"), F.lit(False))
+
+
 def kind_of(entity: Column) -> Column:
     """The kind of a detected entity, from its form. What follows password= or token = has no form of its own and is a secret."""
     out = F.lit("secret")
@@ -66,10 +78,15 @@ def _digits(entity: Column, skip: Column, key: str, tag: str, attempt: Column) -
     # what the number is permuted by depends on all that stays as it is
     fixed = F.concat(F.lit(tag), F.substring(digits, F.lit(1), skip), F.lit("/"), head, F.lit("/"), n.cast("string"), F.lit("/"), attempt.cast("string"))
     new = F.concat(F.substring(digits, F.lit(1), skip), head, F.lpad(_permuted(F.coalesce(tail.try_cast("long"), F.lit(0)), *halves, fixed, key).cast("string"), 15, "0").substr(F.lit(16) - n, n))
-    put = lambda s, c: F.when(
-        c.rlike(r"^\d$"), F.struct(F.concat(s["out"], F.substring(new, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))
-    ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
-    return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: s["out"])
+
+
+    def fill(n: Column) -> Column:
+        put = lambda s, c: F.when(
+            c.rlike(r"^\d$"), F.struct(F.concat(s["out"], F.substring(n, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))
+        ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
+        return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: s["out"])
+
+    return _let(new, fill)
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,7 +102,7 @@ def _card(entity: Column, key: str, attempt: Column) -> Column:
     at = F.length(entity)
     valid = last == _luhn(body)
     front = _digits(F.substring(entity, F.lit(1), at - 1), F.lit(1), key, "card", attempt)
-    return F.when(valid, F.concat(front, _luhn(F.regexp_replace(front, r"\D", "")))).otherwise(_digits(entity, F.lit(1), key, "card?", attempt))
+    return F.when(valid, _let(front, lambda f: F.concat(f, _luhn(F.regexp_replace(f, r"\D", ""))))).otherwise(_digits(entity, F.lit(1), key, "card?", attempt))
 
 
 def _ip(entity: Column, key: str, attempt: Column) -> Column:
@@ -93,21 +110,25 @@ def _ip(entity: Column, key: str, attempt: Column) -> Column:
     number = ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3]
     side = F.lit(65536).cast("long")
     n = _permuted(number, side, side, F.concat(F.lit("ip"), attempt.cast("string")), key)
-    part = lambda k: F.shiftright(n, k).bitwiseAND(F.lit(255).cast("long")).cast("string")
-    return F.concat_ws(".", part(24), part(16), part(8), part(0))
+    part = lambda n, k: F.shiftright(n, k).bitwiseAND(F.lit(255).cast("long")).cast("string")
+    return _let(n, lambda n: F.concat_ws(".", part(n, 24), part(n, 16), part(n, 8), part(n, 0)))
 
 
 def _letters(entity: Column, key: str, attempt: Column, salt: str) -> Column:
     """Letters become letters of their case and digits digits, by a hash of the whole entity and the place; all else stays."""
-    seed = F.sha2(F.concat(F.lit(f"{key}:{salt}:"), attempt.cast("string"), F.lit(":"), entity).cast("binary"), 256)
-    pick = lambda i, n: F.pmod(_hash(key, seed, i), F.lit(n)).cast("int") + 1
-    one = lambda c, i: (
-        F.when(c.rlike("^[a-z]$"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), pick(i, 26), F.lit(1)))
-        .when(c.rlike("^[A-Z]$"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), pick(i, 26), F.lit(1)))
-        .when(c.rlike("^[0-9]$"), F.substring(F.lit("0123456789"), pick(i, 10), F.lit(1)))
-        .otherwise(c)
-    )
-    return F.array_join(F.transform(F.split(entity, ""), one), "")
+    start = F.sha2(F.concat(F.lit(f"{key}:{salt}:"), attempt.cast("string"), F.lit(":"), entity).cast("binary"), 256)
+
+    def put(seed: Column) -> Column:
+        pick = lambda i, n: F.pmod(_hash(key, seed, i), F.lit(n)).cast("int") + 1
+        one = lambda c, i: (
+            F.when(c.rlike("^[a-z]$"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), pick(i, 26), F.lit(1)))
+            .when(c.rlike("^[A-Z]$"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), pick(i, 26), F.lit(1)))
+            .when(c.rlike("^[0-9]$"), F.substring(F.lit("0123456789"), pick(i, 10), F.lit(1)))
+            .otherwise(c)
+        )
+        return F.array_join(F.transform(F.split(entity, ""), one), "")
+
+    return _let(start, put)
 
 
 def _hex(entity: Column, key: str, attempt: Column) -> Column:
@@ -142,18 +163,22 @@ def _name(entity: Column, key: str, attempt: Column, syllables: int) -> Column:
 
 def surrogate(entity: Column, key: str, attempt: Column, syllables: int) -> Column:
     """The stand-in of an entity: of its kind, its script and, but for names and mail domains, its length and punctuation."""
-    kind = kind_of(entity)
-    return (
-        F.when(kind == "email", _email(entity, key, attempt))
-        .when(kind == "ip", _ip(entity, key, attempt))
-        .when(kind == "card", _card(entity, key, attempt))
-        .when(kind == "phone", _digits(entity, F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})\b", 1))).otherwise(F.lit(0)), key, "phone", attempt))
-        .when(kind == "ssn", _digits(entity, F.lit(0), key, "ssn", attempt))
-        .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), _letters(F.substring(entity, F.lit(5), F.length(entity)), key, attempt, "access")))
-        .when(kind == "name", _name(entity, key, attempt, syllables))
-        .when(entity.rlike("^[0-9a-f]+$"), _hex(entity, key, attempt))
-        .otherwise(_letters(entity, key, attempt, "secret"))
-    )
+
+    def of(kind: Column) -> Column:
+        code = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})\b", 1))).otherwise(F.lit(0))
+        return (
+            F.when(kind == "email", _email(entity, key, attempt))
+            .when(kind == "ip", _ip(entity, key, attempt))
+            .when(kind == "card", _card(entity, key, attempt))
+            .when(kind == "phone", _let(code, lambda n: _digits(entity, n, key, "phone", attempt)))
+            .when(kind == "ssn", _digits(entity, F.lit(0), key, "ssn", attempt))
+            .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), _letters(F.substring(entity, F.lit(5), F.length(entity)), key, attempt, "access")))
+            .when(kind == "name", _name(entity, key, attempt, syllables))
+            .when(entity.rlike("^[0-9a-f]+$"), _hex(entity, key, attempt))
+            .otherwise(_letters(entity, key, attempt, "secret"))
+        )
+
+    return _let(kind_of(entity), of)
 
 
 def _attempts(entities: DataFrame, key: str) -> tuple[dict[str, int], int]:
@@ -190,12 +215,13 @@ def replace_entities(docs: DataFrame, key: str = "threadline", text: str = "text
     n_entities or kinds are replaced, all others pass through.
     """
     docs = docs.drop("n_entities", "kinds")
-    pattern = F.lit(_any())
-    found = F.coalesce(F.regexp_extract_all(F.col(text), pattern, F.lit(0)), F.array().cast("array<string>"))
-    entities = durable(docs.select(F.explode(F.array_distinct(found)).alias("_e")).distinct())
+    none = F.array().cast("array<string>")
+    found = F.when(_may_hold(), F.regexp_extract_all(F.col("_text"), F.lit(_any()), F.lit(0))).otherwise(none)
+    entities = durable(docs.select(F.col(text).alias("_text")).select(F.explode(F.array_distinct(found)).alias("_e")).distinct())
+    entities = durable(entities.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, entities.rdd.getNumPartitions()), "_e"))
     exceptions, syllables = _attempts(entities, key)
     attempt = lambda e: F.coalesce(F.element_at(_literal(exceptions), e), F.lit(0)) if exceptions else F.lit(0)
-    rows = docs.select(F.struct("*").alias("_kept"), F.col(text).alias("_text"), found.alias("_found"))
+    rows = docs.select(F.struct("*").alias("_kept"), F.col(text).alias("_text")).withColumn("_found", found)
     new = F.transform("_found", lambda e: surrogate(e, key, attempt(e), syllables))
     gaps = F.split(F.col("_text"), _any(), -1)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
