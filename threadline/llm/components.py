@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from threadline.llm.durable import durable
+from threadline.llm.durable import durable, let_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,18 +14,19 @@ def components(edges: DataFrame) -> DataFrame:
     by node with a map-side minimum, and a hot node's neighbours are never gathered in one place.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sums = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    known = sums(now)
     while True:
         # large star: every larger neighbour points to the least of the node and its neighbours
-        pairs = both(now)
-        least = durable(pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
-        large = pairs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = durable(large)
+        least = durable(both(now).groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        large = durable(both(now).join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: every smaller neighbour, and the node, point to the least
-        least = durable(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        after = durable(small.distinct())
-        sums = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums(after) == sums(now):
-            return after.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        now = after
+        now = durable(small.distinct())
+        before, known = known, sums(now)
+        let_go(edges.sparkSession)
+        if known == before:
+            own = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threadline.llm.components import components
-from threadline.llm.durable import durable
+from threadline.llm.durable import durable, let_go
 from threadline.llm.textbytes import ODD, Spans, chunks, mixed, runs, table, text_bytes
 
 WORD = r"[0-9A-Za-z]"
@@ -22,6 +22,8 @@ RARE = 0.001
 TABLE = 1 << 16
 #: Partners that one copy of a hot document's text meets.
 SALT_PARTNERS = 64
+#: Texts that share a shingle with at most so many others are compared with one of them, to join small families early.
+FEW = 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,14 +247,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
     return durable(both.mapInArrow(run, "a long, b long"))
 
 
+def _tokens(members: DataFrame, weights: Weights) -> DataFrame:
+    """h, id, w: the shingles of each text and their weights."""
+    shared = members.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text", 1 << 20):
+                doc, h, times = shingles(*text_bytes(part.column(1)))
+                ids = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(shared.value.of(h, times))], names=["h", "id", "w"])
+
+    return members.select("id", "text").mapInArrow(run, "h long, id long, w double")
+
+
+def _open(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """star, id and root of the members of stars of three or more that lie in several components."""
+    inside = stars.join(roots, stars["id"] == roots["node"], "left").select("star", "id", F.coalesce("root", "id").alias("root"))
+    ends = inside.groupBy("star").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return durable(inside.join(durable(ends.where("low <> high and n > 2").select("star")), "star"))
+
+
+def _across(inside: DataFrame, tokens: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of one star and different roots that can reach the similarity. inside: star, id, root; tokens of all ids.
+
+    Two texts of different roots share only shingles that occur under more than one root; so a text of weight t, of which c is
+    in such shingles, can only be similar to texts of weight similarity * t to (1 + 1 / similarity) * c - t. Texts meet only
+    where each is in the other's range, by cells of 5 %. In each meeting place, those of other roots than its commonest meet
+    all the others.
+    """
+    rooted = tokens.join(roots, tokens["id"] == roots["node"], "left").select("h", "id", "w", F.coalesce("root", "id").alias("root"))
+    one_root = rooted.groupBy("h", "root").agg(F.sum("w").alias("w")).groupBy("h").agg(F.count("*").alias("n"), F.first("root").alias("root")).where("n = 1").select("h")
+    alone = rooted.join(durable(one_root), "h").groupBy("id").agg(F.sum("w").alias("alone"))
+    totals = tokens.groupBy("id").agg(F.sum("w").alias("total"))
+    bounds = totals.join(alone, "id", "left").select("id", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+    cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1e-9))) / math.log(1.05)).cast("long")
+    low, high = F.col("total") * similarity * (1 - 1e-9), F.col("shared") * (1 + 1 / similarity) * (1 + 1e-9) - F.col("total")
+    ranges = bounds.where(high >= low).select("id", "total", "shared", cell(F.col("total")).alias("own"), cell(low).alias("lo"), cell(high).alias("hi"))
+    rows = durable(inside.join(ranges, "id").withColumn("other", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi"))
+    place = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
+    rows = rows.select("star", *place, "own", "other", "id", "root", "total", "shared")
+    counts = rows.groupBy("star", "p", "q", "root").agg(F.count("*").alias("n"))
+    mixed_places = durable(counts.groupBy("star", "p", "q").agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+    rows = durable(rows.join(mixed_places, ["star", "p", "q"]))
+    x, y = rows.where("root <> common").alias("x"), rows.alias("y")
+    meet = (F.col("x.star") == F.col("y.star")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    most = F.least("x.shared", "y.shared")
+    able = most * (1 + 1 / similarity) * (1 + 1e-9) >= F.col("x.total") + F.col("y.total")
+    both = x.join(y, meet & (F.col("x.root") != F.col("y.root")) & able)
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: id_column and class_id, the least id of its class.
 
     Equal texts are one class, whatever their length. Different texts are linked where the weighted Jaccard similarity of their
     TF-IDF shingles of five words is at least `similarity` and they share a band (of 12 bands of 4 samples: 99.8 % of pairs
     at 0.8, more above); classes are the components of the links. In a bucket of texts that share a band, all are compared
-    with one of them, chosen anew in each band; wherever this leaves a bucket in more than one component, all pairs across these
-    components are compared as well, so that no link that could join classes is lost. Null texts are classes of their own.
+    with one of them, which most texts share a bucket with; wherever this leaves these in more than one component, pairs across
+    the components are compared as well, but for those that what they share with any other text rules out, so that no link
+    that could join classes is lost. Null texts are classes of their own.
     Rows that repeat an id are in one class, compared by the text whose MD5 is least; an empty table gives an empty result.
     Rows with a null id get class_id null.
     """
@@ -263,20 +317,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column:
     first = durable(members.groupBy("text_key").agg(F.min("id").alias("head")))
     heads = members.join(first, [members["text_key"] == first["text_key"], members["id"] == first["head"]], "left_semi").groupBy("id").agg(F.min_by("bands", "text_key").alias("bands"))
     banded = durable(heads.select("id", F.explode("bands").alias("band")))
-    # the member that the others of a bucket are compared with: another order in each band
-    turn = F.struct(F.xxhash64("id", "band"), F.col("id").alias("id"))
-    buckets = durable(banded.groupBy("band").agg(F.min(turn)["id"].alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    sizes = durable(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    banded = durable(banded.join(sizes, "band"))
+    # the member that the others of a bucket are compared with is the one that most texts share a bucket with
+    met = durable(banded.groupBy("id").agg(F.sum("n").alias("met")))
+    turn = F.struct("met", (-F.col("id")).alias("_id"), F.col("id").alias("id"))
+    buckets = durable(banded.join(met, "id").groupBy("band").agg(F.max(turn)["id"].alias("b")))
     pairs = durable(banded.join(buckets, "band").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(buckets.select(F.col("b").alias("id"))).distinct()
     texts = durable(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")))
     links = _verified(pairs, texts, weights, similarity)
     roots = durable(components(links))
-    # buckets that are not yet one class: pairs across their components that haven't been compared
-    inside = banded.join(buckets.select("band"), "band").join(roots, banded["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    open_ = durable(inside.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band"))
-    inside = durable(inside.join(open_, "band"))
-    across = inside.alias("x").join(inside.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    seen = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    let_go(docs.sparkSession)
+    # stars of three or more that are not yet one class: first texts that share something rare are compared, then pairs
+    # across what components are left, where these may still be similar enough
+    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = durable(pairs.select(F.col("b").alias("star"), F.col("a").alias("id")).union(pairs.select("b", "b").distinct()))
+    inside = _open(stars, roots)
+    tokens = durable(_tokens(texts.join(inside.select("id").distinct(), "id", "left_semi"), weights))
+    rare = durable(tokens.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a")).where(f"n between 2 and {FEW}").select("h", "a"))
+    kin = durable(tokens.join(rare, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
+    more = _verified(kin, texts, weights, similarity)
+    links = durable(links.union(more))
+    roots = durable(components(links))
+    seen = seen.union(kin)
+    across = _across(_open(stars, roots), tokens, roots, similarity)
     more = _verified(durable(across.join(seen, ["a", "b"], "left_anti")), texts, weights, similarity)
     links = durable(links.union(more))
     roots = components(links)
