@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from threadline.plans import queries as plans
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in plans.ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
