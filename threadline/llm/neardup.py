@@ -244,7 +244,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
                 keep = pa.array(s >= similarity - 1e-9)
                 yield part.select(["a", "b"]).filter(keep)
 
-    return durable(both.mapInArrow(run, "a long, b long"))
+    out = durable(both.mapInArrow(run, "a long, b long"))
+    del both, left, right, copies
+    let_go(pairs.sparkSession)
+    return out
 
 
 def _tokens(members: DataFrame, weights: Weights) -> DataFrame:
@@ -313,6 +316,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column:
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     weights = fit_weights(docs)
     members = durable(signatures(docs.where("text is not null and id is not null"), weights))
+    let_go(docs.sparkSession)
     # one id stands for each text
     first = durable(members.groupBy("text_key").agg(F.min("id").alias("head")))
     heads = members.join(first, [members["text_key"] == first["text_key"], members["id"] == first["head"]], "left_semi").groupBy("id").agg(F.min_by("bands", "text_key").alias("bands"))
@@ -324,6 +328,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column:
     turn = F.struct("met", (-F.col("id")).alias("_id"), F.col("id").alias("id"))
     buckets = durable(banded.join(met, "id").groupBy("band").agg(F.max(turn)["id"].alias("b")))
     pairs = durable(banded.join(buckets, "band").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    let_go(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("id")).union(buckets.select(F.col("b").alias("id"))).distinct()
     texts = durable(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")))
     links = _verified(pairs, texts, weights, similarity)
@@ -356,6 +361,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     that repeat the least id, the one whose text has the least MD5 stays, and of equal rows one. Columns stay as they are.
     """
     kept = durable(near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct())
+    let_go(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.xxhash64(*docs.columns)).alias("_turn"), F.struct("*").alias("_kept"))
     one = rows.where("_id is not null").join(kept, "_id", "left_semi").groupBy("_id").agg(F.min_by("_kept", "_turn").alias("_kept"))
     return one.select("_kept.*").union(docs.where("doc_id is null"))
