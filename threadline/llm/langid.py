@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,13 @@ class Model:
     tables: list[np.ndarray]
     lengths: list[int]
 
+    def __getstate__(self) -> dict:
+        """Tables packed: most entries repeat the first state's row, and every executor keeps a broadcast on its disk."""
+        return self.__dict__ | {"tables": [zlib.compress(t.tobytes(), 1) for t in self.tables]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"tables": [np.frombuffer(zlib.decompress(t), np.int32) for t in state["tables"]]}
+
 
 def symbols(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts as symbols, with one 0 for each run of bytes that aren't of words; and their offsets."""
