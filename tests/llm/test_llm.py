@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import pickle
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadline.llm import decontamination, langid, licenses, mixing, neardup, qualityrules, sharding, suffixindex, surrogates, urlfilter
-from threadline.llm.components import components
+from threadline.llm.components import components, joined
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _kept string"
 PLAIN = "the river carries small boats past quiet villages and old stone bridges every single morning before the market opens for trade in town"
@@ -197,6 +198,37 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[101] == 100 and len(got) == 33
 
 
+def _roots(edges):
+    root = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return root
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_graphs(spark, seed):
+    random = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in random.integers(0, 60, (45, 2)) if a != b]
+    edges += [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 240)]
+    more = [(130, 200), (5, 110)]
+    known = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["root"] for r in known.collect()} == _roots(edges)
+    after = joined(known, spark.createDataFrame(more, "a long, b long"))
+    assert {r["node"]: r["root"] for r in after.collect()} == _roots(edges + more)
+    assert joined(known, spark.createDataFrame([], "a long, b long")) is known
+
+
+def test_language_model_survives_packing():
+    model = langid.build({"x": b"one two three one two", "y": "zw\u00f6lf elf zehn".encode()})
+    again = pickle.loads(pickle.dumps(model))
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True)) and len(pickle.dumps(model)) < sum(t.nbytes for t in model.tables)
+
+
 def test_languages(spark, odd, empty):
     random = np.random.default_rng(2)
     sets = {"xx": "ka ki ko ku sa si so".split(), "yy": "ber gar dol fum hin".split()}

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threadline.llm.components import components
+from threadline.llm.components import components, joined
 from threadline.llm.durable import durable, let_go
 from threadline.llm.textbytes import ODD, Spans, chunks, mixed, runs, table, text_bytes
 
@@ -331,8 +331,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column:
     let_go(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("id")).union(buckets.select(F.col("b").alias("id"))).distinct()
     texts = durable(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")))
-    links = _verified(pairs, texts, weights, similarity)
-    roots = durable(components(links))
+    roots = components(_verified(pairs, texts, weights, similarity))
     let_go(docs.sparkSession)
     # stars of three or more that are not yet one class: first texts that share something rare are compared, then pairs
     # across what components are left, where these may still be similar enough
@@ -342,14 +341,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column:
     tokens = durable(_tokens(texts.join(inside.select("id").distinct(), "id", "left_semi"), weights))
     rare = durable(tokens.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a")).where(f"n between 2 and {FEW}").select("h", "a"))
     kin = durable(tokens.join(rare, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
-    more = _verified(kin, texts, weights, similarity)
-    links = durable(links.union(more))
-    roots = durable(components(links))
+    roots = joined(roots, _verified(kin, texts, weights, similarity))
+    let_go(docs.sparkSession)
     seen = seen.union(kin)
     across = _across(_open(stars, roots), tokens, roots, similarity)
-    more = _verified(durable(across.join(seen, ["a", "b"], "left_anti")), texts, weights, similarity)
-    links = durable(links.union(more))
-    roots = components(links)
+    roots = joined(roots, _verified(durable(across.join(seen, ["a", "b"], "left_anti")), texts, weights, similarity))
     classes = first.join(roots, first["head"] == roots["node"], "left").select("text_key", F.coalesce("root", "head").alias("class_id"))
     known = members.select("id", "text_key").join(durable(classes), "text_key").select("id", "class_id")
     rest = docs.where("text is null or id is null").select("id", F.col("id").alias("class_id"))
