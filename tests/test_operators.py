@@ -46,6 +46,17 @@ def test_match(spark, rows):
     assert got[1]["group_id"] == 1 and 2 not in got
 
 
+def test_best_row_shares_one_stem_only(spark):
+    far = [(1, i, "moonlight glitter stones river " + "carpenters assembled wardrobes and sideboards " * 4 + f"no{i}") for i in range(25)]
+    raw = [*far, (2, 0, "rivers stone glitters undr moonlight"), (2, 1, "nothing alike")]
+    c = corpus.prepare(spark.createDataFrame([(g, o, t, t) for g, o, t in raw], "group_id int, ordinal int, raw_text string, clean_text string"), text.LATIN)
+    q = queries(spark, "river stones glitter under moonlight", "qqqq", "", None)
+    assert search.candidates(q, c).where("query_id = 0").count() == 26
+    assert search.top(q, c, 1).where("query_id = 0").first()["group_id"] == 2
+    got = {r["query_id"]: (r["group_id"], r["ordinal"]) for r in search.nearest(q, c).collect()}
+    assert got[0] == (2, 0) and 1 in got
+
+
 def test_hint_and_scope(spark, rows):
     q = queries(spark, "children gathered walnuts").withColumn("hint", F.lit(2))
     hit = search.match_in_group(q, rows).first()

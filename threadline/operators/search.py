@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadline.functions.similarity import discovery_score, direct_score, fragment_score, ratio, scoped_score, continuation_bonus
 from threadline.functions.text import ARABIC, Profile, evidence_stems, normalize, split_words
+from threadline.llm.durable import durable
 from threadline.operators.corpus import spans, stem_index
 
 FIRST_THRESHOLD, LATER_THRESHOLD = 0.65, 0.45
 SEEDS = 20
-#: Of the rows that share a stem with a query, so many are scored: those with the most shared stems.
-SCORED = 20
+#: So many rows of each query, those with the most shared stems, are scored first; the best of them rules out others exactly.
+FIRST_SCORED = 20
 
 
 def queries(rows: DataFrame, profile: Profile = ARABIC) -> DataFrame:
@@ -30,17 +31,45 @@ def sharing_a_stem(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
     return wanted.join(stem_index(corpus), "stem").select("query_id", "group_id", "ordinal").distinct()
 
 
-def candidates(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Query and row keys that are worth scoring. Queries with two stems or more meet the SCORED rows that share most of them; those that
-    find none, and those with less evidence, meet rows of like length: a similarity of FIRST_THRESHOLD asks for no more."""
+def _shared(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, group_id, ordinal and n, the stems shared, for queries with two stems or more."""
     wanted = queries_.where("size(evidence) >= 2").select("query_id", F.explode("evidence").alias("stem"))
-    shared = wanted.join(stem_index(corpus), "stem").groupBy("query_id", "group_id", "ordinal").agg(F.count("*").alias("n"))
+    return wanted.join(stem_index(corpus), "stem").groupBy("query_id", "group_id", "ordinal").agg(F.count("*").alias("n"))
+
+
+def candidates(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, group_id, ordinal and n. Queries with two stems or more meet every row that shares one; those that find none, and
+    those with less evidence, meet all rows (n is 0)."""
+    shared = _shared(queries_, corpus)
+    rest = queries_.join(shared.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    return shared.union(rest.crossJoin(corpus.select("group_id", "ordinal")).withColumn("n", F.lit(0).cast("long")))
+
+
+def nearest(queries_: DataFrame, corpus: DataFrame, digits: int = 9) -> DataFrame:
+    """The candidate with the highest ratio of each query: query_id, group_id, ordinal, score (rounded); of equals the first.
+
+    Exact: of all candidates, those are left out whose ratio can't reach that of a row already scored, as a distance is at least
+    the longer length less the letters that both have.
+    """
+    size = lambda t: F.greatest(F.length(t), F.lit(1))
+    letters = lambda t: F.array(*[F.length(t) - F.length(F.translate(t, c, "")) for c in "abcdefghijklmnopqrstuvwxyz "])
+    pairs = durable(candidates(queries_, corpus))
+    q = queries_.select("query_id", "text", letters(F.col("text")).alias("_q"))
+    rows = corpus.select("group_id", "ordinal", F.col("text").alias("row_text"), letters(F.col("text")).alias("_r"))
     most = Window.partitionBy("query_id").orderBy(F.desc("n"), "group_id", "ordinal")
-    pruned = shared.withColumn("_i", F.row_number().over(most)).where(F.col("_i") <= SCORED).select("query_id", "group_id", "ordinal")
-    rest = queries_.join(pruned.select("query_id").distinct(), "query_id", "left_anti")
-    cell = lambda c: F.floor(F.log2(F.greatest(F.length(c), F.lit(1)))).cast("int")
-    rest = rest.select("query_id", F.explode(F.sequence(cell(F.col("text")) - 1, cell(F.col("text")) + 1)).alias("cell"))
-    return pruned.union(rest.join(corpus.select("group_id", "ordinal", cell(F.col("text")).alias("cell")), "cell").select("query_id", "group_id", "ordinal"))
+    first = pairs.withColumn("_i", F.row_number().over(most)).where(F.col("_i") <= FIRST_SCORED)
+    first = first.join(F.broadcast(q), "query_id").join(rows, ["group_id", "ordinal"]).groupBy("query_id").agg(F.max(ratio(F.col("text"), F.col("row_text"))).alias("_least"))
+    both = pairs.join(F.broadcast(q.join(durable(first), "query_id")), "query_id").join(rows, ["group_id", "ordinal"])
+    longer, shorter = F.greatest(size(F.col("text")), size(F.col("row_text"))), F.least(size(F.col("text")), size(F.col("row_text")))
+    least = F.col("_least") - 10.0**-digits
+    add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    # other letters than these may all be shared
+    others = F.least(F.length("text") - add(F.col("_q")), F.length("row_text") - add(F.col("_r")))
+    shared = add(F.zip_with("_q", "_r", lambda x, y: F.least(x, y))) + others
+    close = both.where((shorter / longer >= least) & (F.greatest(shared, F.lit(1)) / longer >= least))
+    scored = close.select("query_id", F.round(ratio(F.col("text"), F.col("row_text")), digits).alias("score"), "group_id", "ordinal")
+    best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "group_id", "ordinal")).alias("b"))
+    return best.select("query_id", "b.group_id", "b.ordinal", (-F.col("b.s")).alias("score"))
 
 
 def _ranked(scored: DataFrame, n: int = 1) -> DataFrame:

@@ -145,12 +145,8 @@ def set_difference_words(spark, d):
 
 
 def best_match(spark, d):
-    """For each benchmark item, the turn with the highest ratio among those that share most stems with it."""
-    q, c = _queries(spark, d), _corpus(spark, d)
-    both = search.candidates(q, c).join(q.select("query_id", "text"), "query_id").join(c.select("group_id", "ordinal", F.col("text").alias("row_text")), ["group_id", "ordinal"])
-    scored = both.withColumn("score", F.round(similarity.ratio(F.col("text"), F.col("row_text")), 9))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "group_id", "ordinal")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("query_id", "group_id", "ordinal", "score")
+    """For each benchmark item, the turn with the highest ratio among all that share a stem with it."""
+    return search.nearest(_queries(spark, d), _corpus(spark, d)).select("query_id", "group_id", "ordinal", "score")
 
 
 def word_alignment(spark, d):
