@@ -249,6 +249,14 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == 8 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_both_views(spark):
+    wrapped = "Licensed under the Apache License,\nVersion 2.0."
+    texts = ["Released under the MIT License\nsome words\n\n" + wrapped, wrapped + "\n\nReleased under the MIT License\nsome words", "Released under the MIT License.\n" * 2]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    both = ["MIT", "Apache-2.0"]
+    assert got == {0: (["mit.released", "apache2.licensed"], both), 1: (["apache2.licensed", "mit.released"], both), 2: (["mit.released"] * 2, ["MIT"])}
+
+
 def test_surrogates(spark, odd, empty):
     texts = ["mail a.b7@mail3.example.com from 10.20.30.40 or +1 (988) 555-2485, card 4539578763621486", "a.b7@mail3.example.com again, Mrs. Anna Berg", None, PLAIN]
     got = {r["doc_id"]: r for r in surrogates.replace_entities(documents(spark, texts)).collect()}

@@ -95,17 +95,25 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tup
     """docs with sentence_ids (identifiers of the known sentences, in order) and licenses (in the order of the rules).
 
     A known sentence may also be wrapped over lines: sentences are looked for both line by line and, where lines break inside a
-    sentence, over the paragraph. Null and empty texts have empty lists. Each row is judged by itself.
+    sentence, over the paragraph. What either finds counts, in the order of the text: by where a sentence begins, then by its
+    length; what both find counts once. Null and empty texts have empty lists. Each row is judged by itself.
     """
     wanted = F.array(*[F.lit(s) for s in known.values()])
     names = F.array(*[F.lit(k) for k in known])
     place = lambda s: F.array_position(wanted, s)
     hinted = F.coalesce(F.col("text").rlike(_hint()), F.lit(False))
     longest = max(map(len, known.values()))
-    lines = F.filter(sentences(F.col("text")), lambda s: (F.length(s) <= longest) & s.isin(*known.values()))
-    wrapped = F.filter(sentences(F.regexp_replace("text", r"([^.!?;:\n\s])[ \t]*\n[ \t]*(?=\S)", "$1 ")), lambda s: (F.length(s) <= longest) & s.isin(*known.values()))
-    best = F.when(F.size(wrapped) > F.size(lines), wrapped).otherwise(lines)
-    ids = F.transform(best, lambda s: F.element_at(names, place(s).cast("int")))
+
+    def hits(parts: Column) -> Column:
+        """Known sentences as structs of at (letters and digits before it, alike in both views), n (its length) and s."""
+        kept = F.filter(F.transform(parts, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: (F.length(x["s"]) <= longest) & x["s"].isin(*known.values()))
+        before = lambda i: F.length(F.replace(F.array_join(F.slice(parts, F.lit(1), i), ""), F.lit(" "), F.lit("")))
+        return F.transform(kept, lambda x: F.struct(before(x["i"]).alias("at"), F.length(x["s"]).alias("n"), x["s"].alias("s")))
+
+    once = lambda parts: F.flatten(F.transform(F.array(parts), hits))
+    lines = once(sentences(F.col("text")))
+    wrapped = once(sentences(F.regexp_replace("text", r"([^.!?;:\n\s])[ \t]*\n[ \t]*(?=\S)", "$1 ")))
+    ids = F.transform(F.array_sort(F.array_union(lines, wrapped)), lambda x: F.element_at(names, place(x["s"]).cast("int")))
     rows = docs.withColumn("sentence_ids", F.when(hinted, ids).otherwise(F.array().cast("array<string>")))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
     ordered = lambda rule: line.rlike(" " + " (?:.* )?".join(x.replace(".", r"\.") for x in rule.sentences) + " ")
