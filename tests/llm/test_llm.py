@@ -257,6 +257,17 @@ def test_licenses_of_both_views(spark):
     assert got == {0: (["mit.released", "apache2.licensed"], both), 1: (["apache2.licensed", "mit.released"], both), 2: (["mit.released"] * 2, ["MIT"])}
 
 
+def test_no_known_sentence_is_screened_out(spark):
+    texts = ["All **rights** reserved.", "x\n\nAll rights\n * reserved.", "Every Cat_may be petted!", "none"]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    assert got == {0: ["LicenseRef-AllRightsReserved"], 1: ["LicenseRef-AllRightsReserved"], 2: [], 3: []}
+    own = licenses.scan_licenses(documents(spark, texts), {"cat": "every cat may be petted", "no": "none"}, (licenses.Rule("CAT", ("cat",)), licenses.Rule("NO", ("no",))))
+    assert {r["doc_id"]: r["licenses"] for r in own.collect()} == {0: [], 1: [], 2: ["CAT"], 3: ["NO"]}
+    bare = [*licenses.SENTENCES.values()]
+    scanned = licenses.scan_licenses(documents(spark, [s.upper().replace(" ", " ** ") for s in bare])).collect()
+    assert all(r["sentence_ids"] == [[*licenses.SENTENCES][r["doc_id"]]] for r in scanned)
+
+
 def test_surrogates(spark, odd, empty):
     texts = ["mail a.b7@mail3.example.com from 10.20.30.40 or +1 (988) 555-2485, card 4539578763621486", "a.b7@mail3.example.com again, Mrs. Anna Berg", None, PLAIN]
     got = {r["doc_id"]: r for r in surrogates.replace_entities(documents(spark, texts)).collect()}

@@ -86,9 +86,16 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-def _hint() -> str:
-    """A pattern that occurs in the text of each known sentence, so that documents without it need no splitting."""
-    return r"(?i)licen[sc]e|permission|warranty|redistribut|waived|copyright|rights\s+reserved"
+def _hint(known: dict[str, str]) -> str:
+    """A pattern that occurs in the lower-case text of every document with a known sentence: normalising leaves words whole, so one
+    word of each sentence will do. Few words of six letters or more that many sentences share, else a sentence's longest word."""
+    left = {s: [w for w in s.split() if len(w) >= 6] or [max(s.split(), key=len)] for s in known.values() if s.strip()}
+    chosen = []
+    while left:
+        shared = {w: sum(w in s for s in left) for ws in left.values() for w in ws}
+        chosen.append(max(shared, key=lambda w: (shared[w], len(w), w)))
+        left = {s: ws for s, ws in left.items() if chosen[-1] not in s}
+    return "|".join(r"\Q%s\E" % w for w in chosen) or r"(?!)"
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -101,7 +108,7 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tup
     wanted = F.array(*[F.lit(s) for s in known.values()])
     names = F.array(*[F.lit(k) for k in known])
     place = lambda s: F.array_position(wanted, s)
-    hinted = F.coalesce(F.col("text").rlike(_hint()), F.lit(False))
+    hinted = F.coalesce(F.lower("text").rlike(_hint(known)), F.lit(False))
     longest = max(map(len, known.values()))
 
     def hits(parts: Column) -> Column:
