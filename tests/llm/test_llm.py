@@ -282,3 +282,14 @@ def test_surrogates(spark, odd, empty):
     ips = spark.range(3000).select(F.concat_ws(".", F.lit("9"), F.lit("8"), (F.col("id") / 250).cast("int").cast("string"), (F.col("id") % 250).cast("string")).alias("text"))
     assert surrogates.replace_entities(ips).select("text").distinct().count() == 3000
     assert surrogates.replace_entities(odd).columns == [*odd.columns, "n_entities", "kinds"] and surrogates.replace_entities(empty).count() == 0
+
+
+def test_surrogates_of_exhausted_formats(spark, monkeypatch):
+    values = [str(i) for i in range(10)] + [f"{i:02}" for i in range(100)]
+    texts = [f"password={v}" for v in values] + ["password=3 password=x7y", "none", None]
+    few = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts)).collect()}
+    new = [few[i].removeprefix("password=") for i in range(len(values))]
+    assert len(set(new)) == len(values) and not set(new) & set(values)
+    assert few[110].startswith(few[3] + " password=") and few[111] == "none" and few[112] is None
+    monkeypatch.setattr(surrogates, "MOST_EXCEPTIONS", 3)
+    assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts)).collect()} == few

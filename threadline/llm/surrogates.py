@@ -25,8 +25,10 @@ SYLLABLES = {
 }
 #: Names that end like these are taken for women's.
 FEMININE = "(?:a|e|ie|y|а|я)$"
-#: Entities whose surrogate isn't their first choice are named in the plan; beyond so many, all names get a syllable more.
+#: Up to so many entities whose surrogate isn't their first choice are named in the plan; more are joined to the texts.
 MOST_EXCEPTIONS = 1000
+#: From this attempt on a format counts as exhausted: surrogates get three digits more with each attempt, names a syllable with every third.
+LONGER_FROM = 8
 ROUNDS = 8
 
 
@@ -144,7 +146,7 @@ def _email(entity: Column, key: str, attempt: Column) -> Column:
     return F.concat(_letters(F.concat(local), key + "|", F.concat(attempt.cast("string"), domain), "email"), F.lit("@mail"), F.substring(seed, 1, 10), F.lit(".example.org"))
 
 
-def _name(entity: Column, key: str, attempt: Column, syllables: int) -> Column:
+def _name(entity: Column, key: str, attempt: Column) -> Column:
     """Each word becomes an invented name in its script; women's and men's names keep their endings' gender."""
 
     def word(w: Column) -> Column:
@@ -153,57 +155,71 @@ def _name(entity: Column, key: str, attempt: Column, syllables: int) -> Column:
 
         def made(script: str, feminine: str, masculine: str) -> Column:
             pool = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-            parts = [F.element_at(pool, F.pmod(_hash(key, seed, F.lit(i)), F.lit(len(SYLLABLES[script]))).cast("int") + 1) for i in range(syllables)]
-            return F.initcap(F.concat(*parts, F.when(w.rlike(FEMININE), F.lit(feminine)).otherwise(F.lit(masculine))))
+            part = lambda i: F.element_at(pool, F.pmod(_hash(key, seed, i), F.lit(len(SYLLABLES[script]))).cast("int") + 1)
+            parts = F.array_join(F.transform(F.sequence(F.lit(0), (F.lit(2) + F.floor(attempt / 3)).cast("int")), part), "")
+            return F.initcap(F.concat(parts, F.when(w.rlike(FEMININE), F.lit(feminine)).otherwise(F.lit(masculine))))
 
         return F.when(cyrillic, made("Cyrillic", "на", "рон")).otherwise(made("Latin", "na", "ron"))
 
     return F.array_join(F.transform(F.split(entity, " "), word), " ")
 
 
-def surrogate(entity: Column, key: str, attempt: Column, syllables: int) -> Column:
-    """The stand-in of an entity: of its kind, its script and, but for names and mail domains, its length and punctuation."""
+def _longer(entity: Column, key: str, attempt: Column) -> Column:
+    """The digits that go behind a surrogate whose format is exhausted; empty at first."""
+    more = F.translate(F.sha2(F.concat(F.lit(f"{key}:more:"), attempt.cast("string"), F.lit(":"), entity).cast("binary"), 256), "abcdef", "012345")
+    return F.when(attempt < LONGER_FROM, F.lit("")).otherwise(F.substring(more, F.lit(1), (attempt - LONGER_FROM + 1) * 3))
+
+
+def surrogate(entity: Column, key: str, attempt: Column) -> Column:
+    """The stand-in of an entity: of its kind, its script and, but for names, mail domains and exhausted formats, its length and punctuation."""
 
     def of(kind: Column) -> Column:
         code = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})\b", 1))).otherwise(F.lit(0))
-        return (
+        made = (
             F.when(kind == "email", _email(entity, key, attempt))
             .when(kind == "ip", _ip(entity, key, attempt))
             .when(kind == "card", _card(entity, key, attempt))
             .when(kind == "phone", _let(code, lambda n: _digits(entity, n, key, "phone", attempt)))
             .when(kind == "ssn", _digits(entity, F.lit(0), key, "ssn", attempt))
             .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), _letters(F.substring(entity, F.lit(5), F.length(entity)), key, attempt, "access")))
-            .when(kind == "name", _name(entity, key, attempt, syllables))
+            .when(kind == "name", _name(entity, key, attempt))
             .when(entity.rlike("^[0-9a-f]+$"), _hex(entity, key, attempt))
             .otherwise(_letters(entity, key, attempt, "secret"))
         )
+        return F.concat(made, F.when(kind.isin("name", "email"), F.lit("")).otherwise(_longer(entity, key, attempt)))
 
     return _let(kind_of(entity), of)
 
 
-def _attempts(entities: DataFrame, key: str) -> tuple[dict[str, int], int]:
-    """Entities that need another attempt than 0, and the syllables of names, so that no two entities share a surrogate and
-    none gets a surrogate that occurs as an entity itself. entities: distinct values in _e."""
-    for syllables in range(3, 12):
-        exceptions: dict[str, int] = {}
-        while True:
-            attempt = F.coalesce(F.element_at(_literal(exceptions), F.col("_e")), F.lit(0)) if exceptions else F.lit(0)
-            made = durable(entities.select("_e", attempt.alias("_n"), surrogate(F.col("_e"), key, attempt, syllables).alias("_s")))
-            shared = made.groupBy("_s").agg(F.count("*").alias("n"), F.min(F.struct("_n", "_e"))["_e"].alias("_first")).where("n > 1").select("_s", "_first")
-            clash = made.join(shared, "_s").where("_e <> _first").select("_e", "_n").union(made.join(entities.select(F.col("_e").alias("_s")), "_s").select("_e", "_n")).distinct()
-            found = clash.limit(MOST_EXCEPTIONS + 1).collect()
-            if not found:
-                return exceptions, syllables
-            exceptions |= {r["_e"]: r["_n"] + 1 for r in found}
-            if len(exceptions) > MOST_EXCEPTIONS:
-                break
-    raise ValueError("no distinct surrogates found; change the key")
+def _attempts(entities: DataFrame, key: str) -> DataFrame:
+    """_e and _n: entities that need another attempt than 0, so that no two entities share a surrogate and none gets a surrogate
+    that occurs as an entity itself. entities: distinct values in _e. Who clashes goes on to its next attempt; as later ones are
+    longer, the search ends even if all values of a format occur."""
+    made = durable(entities.select("_e", F.lit(0).alias("_n"), surrogate(F.col("_e"), key, F.lit(0)).alias("_s")))
+    while True:
+        shared = made.groupBy("_s").agg(F.count("*").alias("n"), F.min(F.struct("_n", "_e"))["_e"].alias("_first")).where("n > 1").select("_s", "_first")
+        clash = made.join(shared, "_s").where("_e <> _first").select("_e", "_n").union(made.join(entities.select(F.col("_e").alias("_s")), "_s").select("_e", "_n")).distinct()
+        moved = clash.select("_e", (F.col("_n") + 1).alias("_n"))
+        moved = durable(moved.select("_e", "_n", surrogate(F.col("_e"), key, F.col("_n")).alias("_s")))
+        if moved.isEmpty():
+            return made.where("_n > 0").select("_e", "_n")
+        made = durable(made.join(moved.select("_e"), "_e", "left_anti").unionByName(moved))
 
 
 def _literal(exceptions: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for pair in sorted(exceptions.items()) for x in pair])
 
 
+def _with_attempts(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """rows with _attempts, a map from those of their entities in _found that need another attempt than 0; null if none does."""
+    rows = rows.withColumn("_set", F.array_distinct("_found"))
+    some = rows.where(F.size("_set") > 0)
+    sets = some.select("_set").distinct().select("_set", F.explode("_set").alias("_e")).join(again, "_e")
+    maps = sets.groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("_e", "_n"))).alias("_attempts"))
+    without = rows.where(F.size("_set") == 0).withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+    return some.join(maps, "_set", "left").select(*without.columns).union(without)
+
+
 def replace_entities(docs: DataFrame, key: str = "threadline", text: str = "text") -> DataFrame:
     """docs with their text rewritten, n_entities (occurrences) and kinds (the kinds found, sorted).
 
@@ -219,10 +235,15 @@ def replace_entities(docs: DataFrame, key: str = "threadline", text: str = "text
     found = F.when(_may_hold(), F.regexp_extract_all(F.col("_text"), F.lit(_any()), F.lit(0))).otherwise(none)
     entities = durable(docs.select(F.col(text).alias("_text")).select(F.explode(F.array_distinct(found)).alias("_e")).distinct())
     entities = durable(entities.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, entities.rdd.getNumPartitions()), "_e"))
-    exceptions, syllables = _attempts(entities, key)
-    attempt = lambda e: F.coalesce(F.element_at(_literal(exceptions), e), F.lit(0)) if exceptions else F.lit(0)
+    again = _attempts(entities, key)
+    few = again.limit(MOST_EXCEPTIONS + 1).collect()
     rows = docs.select(F.struct("*").alias("_kept"), F.col(text).alias("_text")).withColumn("_found", found)
-    new = F.transform("_found", lambda e: surrogate(e, key, attempt(e), syllables))
+    if len(few) > MOST_EXCEPTIONS:
+        rows, tried = _with_attempts(rows, again), F.col("_attempts")
+    else:
+        tried = _literal({r["_e"]: r["_n"] for r in few}) if few else None
+    attempt = lambda e: F.lit(0) if tried is None else F.coalesce(F.element_at(tried, e), F.lit(0))
+    new = F.transform("_found", lambda e: surrogate(e, key, attempt(e)))
     gaps = F.split(F.col("_text"), _any(), -1)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
     rows = rows.withColumn("_new", F.when(F.size("_found") > 0, whole).otherwise(F.col("_text")))
