@@ -293,3 +293,10 @@ def test_surrogates_of_exhausted_formats(spark, monkeypatch):
     assert few[110].startswith(few[3] + " password=") and few[111] == "none" and few[112] is None
     monkeypatch.setattr(surrogates, "MOST_EXCEPTIONS", 3)
     assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts)).collect()} == few
+
+
+def test_secrets_in_any_case(spark):
+    texts = ['TOKEN = "9233A8EC00B1"', 'Token = "9233a8ec00b1"', "PASSWORD=Xy7pq", 'token = "9233A8EC00B1"']
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts)).collect()}
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{12}"', got[0]) and re.fullmatch(r'Token = "[0-9a-f]{12}"', got[1]) and re.fullmatch(r"PASSWORD=[A-Z][a-z]\d[a-z]{2}", got[2])
+    assert all(got[i] != t for i, t in enumerate(texts)) and got[3] == got[0].replace("TOKEN", "token")

@@ -10,8 +10,8 @@ from threadline.llm.durable import durable
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "password": r"(?<==)(?<=\bpassword=)[^\s\"'&;,]+",
-    "token": r"(?<=\")(?<=\btoken = \")[^\"\s]{8,}(?=\")",
+    "password": r"(?<==)(?<=\b(?i:password)=)[^\s\"'&;,]+",
+    "token": r"(?<=\")(?<=\b(?i:token) = \")[^\"\s]{8,}(?=\")",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w-])\d{3}-\d{3}-\d{4}\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -184,6 +184,7 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
             .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), _letters(F.substring(entity, F.lit(5), F.length(entity)), key, attempt, "access")))
             .when(kind == "name", _name(entity, key, attempt))
             .when(entity.rlike("^[0-9a-f]+$"), _hex(entity, key, attempt))
+            .when(entity.rlike("^[0-9A-F]+$"), F.upper(_hex(entity, key, attempt)))
             .otherwise(_letters(entity, key, attempt, "secret"))
         )
         return F.concat(made, F.when(kind.isin("name", "email"), F.lit("")).otherwise(_longer(entity, key, attempt)))
