@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadline.functions.similarity import discovery_score, direct_score, fragment_score, ratio, scoped_score, continuation_bonus
 from threadline.functions.text import ARABIC, Profile, evidence_stems, normalize, split_words
-from threadline.llm.durable import durable
+from threadline.durable import durable
 from threadline.operators.corpus import spans, stem_index
 
 FIRST_THRESHOLD, LATER_THRESHOLD = 0.65, 0.45
