@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from threadline.llm.durable import durable, let_go
+from threadline.durable import durable, let_go
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threadline.llm.components import components, joined
-from threadline.llm.durable import durable, let_go
+from threadline.durable import durable, let_go
 from threadline.llm.textbytes import ODD, Spans, chunks, mixed, runs, table, text_bytes
 
 WORD = r"[0-9A-Za-z]"

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from threadline.llm.durable import let_go, written
+from threadline.durable import let_go, written
 from threadline.llm.textbytes import ODD, Spans, mixed, text_bytes
 
 #: Bytes of a window and of an anchor; bytes of text that are cut into windows at once.
