@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadline.llm import decontamination, langid, mixing, neardup, sharding
-from threadline.llm.durable import written
+from threadline.durable import written
 
 WEIGHTS = [3.0, 1.0, 2.0]
 SHARDS = 8
