@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from threadline.functions import text
 from threadline.operators import corpus, decode, search
 from threadline.sources import files
-from threadline.streaming import tracker
 
 ROWS = [
     (1, 1, "the quick brown foxes jumped over sleeping hounds"),
@@ -41,7 +40,7 @@ def test_spans(rows):
 
 def test_match(spark, rows):
     q = queries(spark, "seven silver swalows circled around the ancient tower", "copper through mountain passes winter storms delayed every northern harbour ship", "zzz qqq")
-    got = {r["query_id"]: r for r in search.match(q, rows).collect()}
+    got = {r["query_id"]: r for r in search.match(q, rows, profile=text.LATIN).collect()}
     assert (got[0]["group_id"], got[0]["ordinal"], got[0]["ordinal_end"]) == (1, 2, None)
     assert got[1]["group_id"] == 1 and 2 not in got
 
@@ -51,9 +50,9 @@ def test_best_row_shares_one_stem_only(spark):
     raw = [*far, (2, 0, "rivers stone glitters undr moonlight"), (2, 1, "nothing alike")]
     c = corpus.prepare(spark.createDataFrame([(g, o, t, t) for g, o, t in raw], "group_id int, ordinal int, raw_text string, clean_text string"), text.LATIN)
     q = queries(spark, "river stones glitter under moonlight", "qqqq", "", None)
-    assert search.candidates(q, c).where("query_id = 0").count() == 26
-    assert search.top(q, c, 1).where("query_id = 0").first()["group_id"] == 2
-    got = {r["query_id"]: (r["group_id"], r["ordinal"]) for r in search.nearest(q, c).collect()}
+    assert search.candidates(q, c, text.LATIN).where("query_id = 0").count() == 26
+    assert search.top(q, c, 1, text.LATIN).where("query_id = 0").first()["group_id"] == 2
+    got = {r["query_id"]: (r["group_id"], r["ordinal"]) for r in search.nearest(q, c, profile=text.LATIN).collect()}
     assert got[0] == (2, 0) and 1 in got
 
 
@@ -84,22 +83,3 @@ def test_vocabulary_and_sound(spark, tmp_path):
         w.writeframes(b"\x00\x40" * 800)
     samples = files.read_wav(spark, str(tmp_path / "s.wav")).first()["samples"]
     assert len(samples) == 1600 and samples[0] == pytest.approx(0.5)
-
-
-def test_tracker_follows_in_order(spark, rows):
-    windows = [("s", float(i), t, t, None) for i, (g, o, t) in enumerate(ROWS)]
-    df = spark.createDataFrame(windows, "session_id string, ts double, discovery_text string, tracking_text string, hint int")
-    index = tracker.build_index(rows)
-    got = [(r["group_id"], r["ordinal"]) for r in tracker.replay(df, index).orderBy("ts").collect()]
-    assert got == [(g, o) for g, o, _ in ROWS]
-
-
-def test_tracker_loses_and_recovers():
-    index = tracker.Index({(g, o): t for g, o, t in ROWS})
-    state, shown = tracker.step(tracker.start(), ROWS[0][2], index)
-    assert shown["ordinal"] == 1
-    for _ in range(4):
-        state, shown = tracker.step(state, "nothing whatsoever similar anywhere", index)
-    assert state["mode"] == "discovery" and state["recovery"] == [1, 1]
-    state, shown = tracker.step(state, ROWS[2][2], index)
-    assert (shown["ordinal"], shown["reason"]) == (3, "recovered")

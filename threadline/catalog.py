@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from threadline.plans import queries as plans
+from threadline.plans import matching, queries as plans
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in plans.ALL}
+    return {f.__name__: f for f in (*plans.ALL, *matching.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(plans.SQL)
+    return plans.SQL | matching.SQL

@@ -19,11 +19,26 @@ def mel_filters() -> np.ndarray:
     return np.maximum(0, np.minimum((at - left) / (top - left), (right - at) / (right - top))) * 2 / (right - left)
 
 
-def log_mel(samples: np.ndarray) -> np.ndarray:
-    """Normalised log-mel features, bins by frames; empty for fewer samples than a window."""
+# Factor and step of the noise's generator, modulo 2 ** 64.
+NOISE_FACTOR, NOISE_STEP = 2_862_933_555_777_941_757, 3_037_000_493
+
+
+def noise(n: int, amplitude: float = 1e-5, seed: int = 0) -> np.ndarray:
+    """n values of a linear congruential generator's upper 24 bits, between plus and minus amplitude. Each call starts from the
+    seed, so that a window's features don't depend on what was computed before it."""
+    powers = np.cumprod(np.full(n, NOISE_FACTOR, np.uint64), dtype=np.uint64)
+    before = np.concatenate([[np.uint64(1)], powers[:-1]]) if n else powers
+    state = powers * np.uint64(seed) + np.uint64(NOISE_STEP) * np.cumsum(before, dtype=np.uint64)
+    return ((state >> np.uint64(40)).astype(float) / 0xFFFFFF * 2 - 1) * amplitude
+
+
+def log_mel(samples: np.ndarray, dither: float = 0.0) -> np.ndarray:
+    """Normalised log-mel features, bins by frames; empty for fewer samples than a window. dither: amplitude of added noise."""
     x = np.asarray(samples, float)
     if len(x) < WINDOW:
         return np.zeros((N_MELS, 0))
+    if dither > 0:
+        x = x + noise(len(x), dither)
     x = np.append(x[0], x[1:] - EMPHASIS * x[:-1])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(WINDOW) / WINDOW))
     power = (np.abs(np.fft.rfft(frames, N_FFT)) / N_FFT) ** 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -54,6 +55,14 @@ def preemphasis(samples: Column, factor: float = 0.97) -> Column:
     return F.transform(samples, value)
 
 
+def znorm(values: Column, floor: float = 1e-10) -> Column:
+    """Values less their mean, by their deviation (of all, not of a sample); a vanishing deviation counts as floor."""
+    n = F.greatest(F.size(values), F.lit(1))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    scaled = lambda m: F.element_at(F.transform(F.array(F.sqrt(add(F.transform(values, lambda x: (x - m) * (x - m))) / n)), lambda d: F.transform(values, lambda x: (x - m) / F.greatest(d, F.lit(floor)))), 1)
+    return F.element_at(F.transform(F.array(add(values) / n), scaled), 1)
+
+
 def newest(samples: Column, n: int) -> Column:
     return F.slice(samples, F.greatest(F.size(samples) - n + 1, F.lit(1)), F.lit(n))
 
@@ -61,3 +70,27 @@ def newest(samples: Column, n: int) -> Column:
 def argmax(values: Column) -> Column:
     """Place of the largest value, from 0; the first of equal ones; null if there is none."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def measure(samples: np.ndarray, rate: int = 16000, min_rms: float = 0.0015, min_peak: float = 0.006, min_frame_ratio: float = 0.03, clip: float = 0.98) -> dict:
+    """What quality() gives, for one window in a worker."""
+    x = np.asarray(samples, float)
+    if not len(x):
+        return {"rms": 0.0, "peak": 0.0, "decibels": -120.0, "clipped": 0.0, "frame_ratio": 0.0, "seconds": 0.0, "status": "silence", "is_speech": False}
+    level = lambda a: np.sqrt((a * a).mean(-1))
+    frame, hop = max(1, rate * 30 // 1000), max(1, rate * 15 // 1000)
+    frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop] if len(x) >= frame else np.zeros((0, frame))
+    share = float((level(frames) >= max(1.75 * min_rms, 0.003)).mean()) if len(frames) else 0.0
+    top, whole, clipped = float(np.abs(x).max()), float(level(x)), float((np.abs(x) >= clip).mean())
+    quiet = whole < min_rms or top < min_peak
+    status = "clipped" if clipped >= 0.005 else "silence" if quiet else "too_little_speech" if share < min_frame_ratio else "speech"
+    return {
+        "rms": whole,
+        "peak": top,
+        "decibels": float(20 * np.log10(max(whole, 1e-6))),
+        "clipped": clipped,
+        "frame_ratio": share,
+        "seconds": len(x) / rate,
+        "status": status,
+        "is_speech": not quiet and share >= min_frame_ratio,
+    }

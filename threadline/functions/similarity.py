@@ -75,9 +75,7 @@ def scoped_score(query: Column, reference: Column, bonus: Column) -> Column:
 def discovery_score(query: Column, reference: Column, query_stems: Column, reference_stems: Column) -> Column:
     """Score without a known position: fragments count for long queries with evidence."""
     base = ratio(query, reference)
-    several = F.size(split_words(query)) >= 3
-    evidence = (base >= 0.45) | (evidence_hits(query_stems, reference_stems) >= 2)
-    wide = several & (F.length(query) >= 20) & (base > 0.25) & evidence
+    wide = (F.length(query) >= 20) & (base > 0.25) & counts_as_entry_fragment(base, query, query_stems, reference_stems)
     return F.when(wide, F.greatest(base, fragment_score(query, reference))).otherwise(base)
 
 
@@ -130,17 +128,39 @@ def tail_confidence(query_stems: Column, reference_stems: Column) -> Column:
     scores = F.transform(F.slice(reference_stems, F.greatest(F.size(reference_stems) - 3, F.lit(1)), F.lit(4)), lambda r: best_stem_score(r, query_stems))
     penultimate = F.try_element_at(scores, F.lit(3))
     good = F.filter(scores, lambda s: s >= 0.76)
-    average = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.size(scores)
+    average = F.try_divide(F.aggregate(good, F.lit(0.0), lambda a, s: a + s), F.size(good))
     ok = (F.size(reference_stems) >= 5) & (penultimate >= 0.82) & (F.size(good) >= 2)
     return F.when(ok, F.least(F.greatest(0.65 * penultimate + 0.20 * average, F.lit(0.72)), F.lit(0.90)))
 
 
-def ending_confidence(query_stems: Column, reference_stems: Column) -> Column:
-    """How sure it is that the window reaches the row's end; null if it doesn't."""
+def ending_confidence(query_stems: Column, reference_stems: Column, formula: Column | None = None) -> Column:
+    """How sure it is that the window reaches the row's end; null if it doesn't. formula: whether the window is an opening formula
+    that the row doesn't have, which ends nothing."""
     last = best_stem_score(F.try_element_at(reference_stems, F.lit(-1)), query_stems)
     before = best_stem_score(F.try_element_at(reference_stems, F.lit(-2)), query_stems)
     sure = F.least(F.greatest(0.75 * last + 0.20 * before, F.lit(0.70)), F.lit(0.95))
-    return F.when(F.size(reference_stems) == 0, F.lit(None)).when(last >= 0.72, sure).otherwise(tail_confidence(query_stems, reference_stems))
+    none = (F.size(reference_stems) == 0) | (F.size(query_stems) == 0) | (F.lit(False) if formula is None else formula)
+    return F.when(none, F.lit(None)).when(last >= 0.72, sure).otherwise(tail_confidence(query_stems, reference_stems))
+
+
+def is_covered(alignment: Column, least: float = 0.80) -> Column:
+    """Whether so much of a row was heard that the next one can be shown."""
+    return (alignment["total"] > 0) & (alignment["matched"] >= least * alignment["total"])
+
+
+def moves_on(ahead: Column, here: Column, floor: float = 0.32, relaxed: float = 0.28, margin: float = 0.15) -> Column:
+    """Whether the score of the row ahead is enough for a move on weak evidence."""
+    return (ahead >= floor) | ((ahead >= relaxed) & (ahead >= here + margin))
+
+
+def counts_as_fragment(base: Column, query: Column, query_stems: Column, reference_stems: Column) -> Column:
+    """Whether a query of three words may be part of a span: by a good ratio, or evidence."""
+    return (F.size(split_words(query)) >= 3) & ((base >= 0.34) | ((F.size(query_stems) >= 2) & has_evidence(query_stems, reference_stems)))
+
+
+def counts_as_entry_fragment(base: Column, query: Column, query_stems: Column, reference_stems: Column) -> Column:
+    """The same for a single row, which asks for more."""
+    return (F.size(split_words(query)) >= 3) & ((base >= 0.45) | (evidence_hits(query_stems, reference_stems) >= 2))
 
 
 def clamp(score: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 class Profile:
     """marks: a character class that is dropped. source and target: characters that are folded. lower: fold case first.
     prefixes: (prefix, least length of the word) in the order they are tried; suffixes: in that order, three letters must stay.
-    stop_words: no evidence. generic and opening: stems that don't tell rows apart."""
+    stop_words: no evidence. generic and opening: stems that don't tell rows apart; formula: those of the words that rows open with."""
 
     marks: str = ""
     source: str = ""
@@ -22,6 +22,7 @@ class Profile:
     stop_words: tuple[str, ...] = ()
     generic: tuple[str, ...] = ()
     opening: tuple[str, ...] = ()
+    formula: tuple[str, ...] = ()
 
 
 # The Arabic profile.
@@ -34,9 +35,10 @@ ARABIC = Profile(
     stop_words=tuple("هذا هذه ذلك تلك الذي الذين التي وما وهو وهي ومن وفي وال على علي الى الي في من ما لا لم لن ان".split()),
     generic=tuple("الله لله سماوات سماء ارض رب رحمن رحيم هذا هذه ذلك تلك الذي الذين التي وما وهو وهي ومن وفي وال على علي الى الي في من ما لا لم لن ان كان لقد".split()),
     opening=tuple("بسم اسم الله رحمن رحيم حمد رب عالم".split()),
+    formula=tuple("بسم اسم الله رحمن رحيم".split()),
 )
 #: For texts in Latin letters.
-LATIN = Profile(lower=True, suffixes=("tion", "ing", "ed", "ly", "er", "es"), stop_words=("this", "that", "with", "from", "have"), generic=("this", "that", "from"))
+LATIN = Profile(lower=True, suffixes=("tion", "ing", "ed", "ly", "er", "es"), stop_words=("this", "that", "with", "from", "have"), generic=("this", "that", "from"), opening=("the", "and", "with"), formula=("the", "and"))
 
 GAP = r"[\p{P}\p{S}\p{Z}\s\x{85}]+"
 
@@ -116,3 +118,11 @@ def is_generic(words_: Column, profile: Profile = ARABIC) -> Column:
 def is_opening_phrase(words_: Column, profile: Profile = ARABIC) -> Column:
     """The opening formula, word for word (Arabic profile)."""
     return (F.array_contains(words_, "بسم") | F.array_contains(words_, "اسم")) & F.array_contains(words_, "الله") & F.array_contains(F.transform(words_, lambda w: stem(w, profile)), "رحيم")
+
+
+def is_near_opening_phrase(words_: Column, profile: Profile = ARABIC, threshold: float = 0.78) -> Column:
+    """The opening formula, as it may have been heard (Arabic profile)."""
+    own = F.transform(words_, lambda w: stem(w, profile))
+    near = lambda wanted: F.exists(own, lambda s: 1 - F.levenshtein(s, F.lit(wanted)) / F.greatest(F.length(s), F.lit(len(wanted))) >= threshold)
+    cue = F.array_contains(words_, "بسم") | F.array_contains(words_, "بس") | F.array_contains(words_, "اسم")
+    return cue & near("رحيم") & (near("رحمن") | F.array_contains(words_, "الله"))

@@ -61,3 +61,18 @@ def spans(corpus: DataFrame, lengths: tuple[int, ...] = (2, 3)) -> DataFrame:
 def end_flags(corpus: DataFrame) -> DataFrame:
     """group_id, ordinal, at_end (no next row) and near_end (no row after the next)."""
     return corpus.select("group_id", "ordinal", (F.col("ordinal") == F.col("last_ordinal")).alias("at_end"), (F.col("ordinal") + 2 > F.col("last_ordinal")).alias("near_end"))
+
+
+def group_index(corpus: DataFrame) -> DataFrame:
+    """group_id, its sorted ordinals, and the first and last of them."""
+    return corpus.groupBy("group_id").agg(F.array_sort(F.collect_list("ordinal")).alias("ordinals"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
+
+
+def neighbours(corpus: DataFrame) -> DataFrame:
+    """corpus with the ordinals and texts of the rows before and after; null where there is none, or a row is missing between."""
+    order, out = Window.partitionBy("group_id").orderBy("ordinal"), corpus
+    for name, shift in (("previous", -1), ("next", 1)):
+        at = F.lag("ordinal", -shift).over(order)
+        close = at == F.col("ordinal") + shift
+        out = out.withColumns({f"{name}_ordinal": F.when(close, at), f"{name}_text": F.when(close, F.lag("text", -shift).over(order))})
+    return out

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadline.functions.similarity import discovery_score, direct_score, fragment_score, ratio, scoped_score, continuation_bonus
-from threadline.functions.text import ARABIC, Profile, evidence_stems, normalize, split_words
-from threadline.durable import durable
+from threadline.durable import durable, small_batches
+from threadline.functions.scores import discovery_scores, fast_fragment, fast_ratio, span_scores
+from threadline.functions.similarity import continuation_bonus, direct_score, has_evidence, scoped_score
+from threadline.functions.text import ARABIC, Profile, evidence_stems, normalize, split_words, stems
 from threadline.operators.corpus import spans, stem_index
 
 FIRST_THRESHOLD, LATER_THRESHOLD = 0.65, 0.45
 SEEDS = 20
-#: So many rows of each query, those with the most shared stems, are scored first; the best of them rules out others exactly.
-FIRST_SCORED = 20
+#: A corpus of more rows counts as wide: fragments of spans need no further signs, and similar stems are not looked for.
+WIDE = 200
 
 
 def queries(rows: DataFrame, profile: Profile = ARABIC) -> DataFrame:
@@ -31,45 +32,31 @@ def sharing_a_stem(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
     return wanted.join(stem_index(corpus), "stem").select("query_id", "group_id", "ordinal").distinct()
 
 
-def _shared(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, group_id, ordinal and n, the stems shared, for queries with two stems or more."""
-    wanted = queries_.where("size(evidence) >= 2").select("query_id", F.explode("evidence").alias("stem"))
-    return wanted.join(stem_index(corpus), "stem").groupBy("query_id", "group_id", "ordinal").agg(F.count("*").alias("n"))
+def similar_stems(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC) -> DataFrame:
+    """query_id, group_id, ordinal of rows with a stem, of a word of four letters or more, that is close to one of the query's. Every
+    query meets every row: for corpora of at most WIDE rows."""
+    rows = corpus.select("group_id", "ordinal", stems(F.filter("words", lambda w: F.length(w) >= 4), profile).alias("_longs"))
+    both = queries_.select("query_id", "evidence").crossJoin(F.broadcast(rows))
+    return both.where(has_evidence(F.col("evidence"), F.col("_longs"))).select("query_id", "group_id", "ordinal")
 
 
-def candidates(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, group_id, ordinal and n. Queries with two stems or more meet every row that shares one; those that find none, and
-    those with less evidence, meet all rows (n is 0)."""
-    shared = _shared(queries_, corpus)
-    rest = queries_.join(shared.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
-    return shared.union(rest.crossJoin(corpus.select("group_id", "ordinal")).withColumn("n", F.lit(0).cast("long")))
+def candidates(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC) -> DataFrame:
+    """query_id, group_id, ordinal. Queries with two stems or more meet every row that shares one; those that find none meet, in a
+    corpus of at most WIDE rows, the rows with a similar stem; who then has no row, and who has less evidence, meets all rows."""
+    found = durable(sharing_a_stem(queries_.where("size(evidence) >= 2"), corpus))
+    rest = queries_.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    if corpus.select("group_id").limit(WIDE + 1).count() <= WIDE:
+        similar = durable(similar_stems(rest.where("size(evidence) >= 2"), corpus, profile))
+        found, rest = found.union(similar), rest.join(similar.select("query_id").distinct(), "query_id", "left_anti")
+    return found.union(F.broadcast(rest.select("query_id")).crossJoin(corpus.select("group_id", "ordinal")))
 
 
-def nearest(queries_: DataFrame, corpus: DataFrame, digits: int = 9) -> DataFrame:
-    """The candidate with the highest ratio of each query: query_id, group_id, ordinal, score (rounded); of equals the first.
-
-    Exact: of all candidates, those are left out whose ratio can't reach that of a row already scored, as a distance is at least
-    the longer length less the letters that both have.
-    """
-    size = lambda t: F.greatest(F.length(t), F.lit(1))
-    letters = lambda t: F.array(*[F.length(t) - F.length(F.translate(t, c, "")) for c in "abcdefghijklmnopqrstuvwxyz "])
-    pairs = durable(candidates(queries_, corpus))
-    q = queries_.select("query_id", "text", letters(F.col("text")).alias("_q"))
-    rows = corpus.select("group_id", "ordinal", F.col("text").alias("row_text"), letters(F.col("text")).alias("_r"))
-    most = Window.partitionBy("query_id").orderBy(F.desc("n"), "group_id", "ordinal")
-    first = pairs.withColumn("_i", F.row_number().over(most)).where(F.col("_i") <= FIRST_SCORED)
-    first = first.join(F.broadcast(q), "query_id").join(rows, ["group_id", "ordinal"]).groupBy("query_id").agg(F.max(ratio(F.col("text"), F.col("row_text"))).alias("_least"))
-    both = pairs.join(F.broadcast(q.join(durable(first), "query_id")), "query_id").join(rows, ["group_id", "ordinal"])
-    longer, shorter = F.greatest(size(F.col("text")), size(F.col("row_text"))), F.least(size(F.col("text")), size(F.col("row_text")))
-    least = F.col("_least") - 10.0**-digits
-    add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    # other letters than these may all be shared
-    others = F.least(F.length("text") - add(F.col("_q")), F.length("row_text") - add(F.col("_r")))
-    shared = add(F.zip_with("_q", "_r", lambda x, y: F.least(x, y))) + others
-    close = both.where((shorter / longer >= least) & (F.greatest(shared, F.lit(1)) / longer >= least))
-    scored = close.select("query_id", F.round(ratio(F.col("text"), F.col("row_text")), digits).alias("score"), "group_id", "ordinal")
-    best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "group_id", "ordinal")).alias("b"))
-    return best.select("query_id", "b.group_id", "b.ordinal", (-F.col("b.s")).alias("score"))
+def nearest(queries_: DataFrame, corpus: DataFrame, digits: int = 9, n: int = 1, profile: Profile = ARABIC) -> DataFrame:
+    """The n candidates with the highest ratio of each query: query_id, group_id, ordinal, score (rounded), rank; of equals the
+    first. Every candidate is scored."""
+    pairs = _paired(candidates(queries_, corpus, profile), queries_, corpus)
+    scored = pairs.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), F.round(fast_ratio("text", "row_text"), digits).alias("score"))
+    return _ranked(scored, n).drop("ordinal_end")
 
 
 def _ranked(scored: DataFrame, n: int = 1) -> DataFrame:
@@ -77,16 +64,19 @@ def _ranked(scored: DataFrame, n: int = 1) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def _scored(pairs: DataFrame, queries_: DataFrame, corpus: DataFrame, score: Column) -> DataFrame:
-    rows = corpus.select("group_id", "ordinal", F.col("text").alias("row_text"), F.col("evidence").alias("row_evidence"))
-    both = pairs.join(queries_.select("query_id", "text", "evidence"), "query_id").join(rows, ["group_id", "ordinal"])
-    return both.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), "row_text", score.alias("score"))
+def _paired(pairs: DataFrame, queries_: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The pairs with text and row_text, spread over tasks whatever their queries."""
+    small_batches(pairs.sparkSession)
+    rows = corpus.select("group_id", "ordinal", F.col("text").alias("row_text"))
+    both = pairs.join(queries_.select("query_id", "text"), "query_id").join(rows, ["group_id", "ordinal"])
+    return both.repartition("query_id", "group_id", "ordinal")
 
 
-def top(queries_: DataFrame, corpus: DataFrame, n: int = SEEDS) -> DataFrame:
+def top(queries_: DataFrame, corpus: DataFrame, n: int = SEEDS, profile: Profile = ARABIC) -> DataFrame:
     """The n best single rows of each query."""
-    score = discovery_score(F.col("text"), F.col("row_text"), F.col("evidence"), F.col("row_evidence"))
-    return _ranked(_scored(candidates(queries_, corpus), queries_, corpus, score), n)
+    both = _paired(candidates(queries_, corpus, profile), queries_, corpus)
+    score = discovery_scores(profile)("text", "row_text")
+    return _ranked(both.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), "row_text", score.alias("score")), n)
 
 
 def span_starts(seeds: DataFrame, corpus: DataFrame, back: int = 2) -> DataFrame:
@@ -101,22 +91,30 @@ def opening_starts(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
     return groups.join(corpus.where("ordinal = first_ordinal").select("group_id", "ordinal"), "group_id").select("query_id", "group_id", "ordinal")
 
 
-def match(queries_: DataFrame, corpus: DataFrame, threshold: float = FIRST_THRESHOLD, widen_below: float = 0.72) -> DataFrame:
+def match(queries_: DataFrame, corpus: DataFrame, threshold: float = FIRST_THRESHOLD, widen_below: float = 0.72, profile: Profile = ARABIC) -> DataFrame:
     """One row or span for each query that reaches the threshold: query_id, group_id, ordinal, ordinal_end (null for one row), score.
 
-    Single rows come first; for queries whose best is below widen_below, spans of two and three rows around the best rows and
-    at the groups' openings are scored too, and win only with a higher score.
+    Single rows come first; for queries whose best is below widen_below, spans of two and three rows around the 20 best rows are
+    scored too; in a wide corpus, queries of three words that are still below the threshold also meet the spans at all groups'
+    openings. Spans win only with a higher score. Empty queries match nothing.
     """
-    singles = top(queries_, corpus)
-    best = singles.where("rank = 1")
-    weak = queries_.join(best.where(F.col("score") >= widen_below).select("query_id"), "query_id", "left_anti")
-    seeds = singles.join(weak.select("query_id"), "query_id", "left_semi")
-    starts = span_starts(seeds, corpus).union(opening_starts(seeds, corpus)).distinct()
-    wide = starts.join(spans(corpus).select("group_id", "ordinal", "ordinal_end", F.col("text").alias("row_text")), ["group_id", "ordinal"])
-    wide = wide.join(weak.select("query_id", "text"), "query_id")
-    score = F.when(F.size(split_words(F.col("text"))) >= 3, F.greatest(ratio(F.col("text"), F.col("row_text")), fragment_score(F.col("text"), F.col("row_text")))).otherwise(ratio(F.col("text"), F.col("row_text")))
-    wide = wide.select("query_id", "group_id", "ordinal", "ordinal_end", "row_text", score.alias("score"))
-    return _ranked(best.drop("rank").unionByName(wide)).where(F.col("score") >= threshold).select("query_id", "group_id", "ordinal", "ordinal_end", "score")
+    queries_ = durable(queries_.where("text <> ''"))
+    singles = durable(top(queries_, corpus, SEEDS, profile).drop("row_text"))
+    best = singles.where("rank = 1").drop("rank")
+    wide = corpus.select("group_id").limit(WIDE + 1).count() > WIDE
+    texts = spans(corpus).select("group_id", "ordinal", "ordinal_end", F.col("text").alias("row_text"))
+    weak = best.where(F.col("score") < widen_below).select("query_id")
+
+    def scored(starts: DataFrame, always: bool) -> DataFrame:
+        both = starts.join(texts, ["group_id", "ordinal"]).join(queries_.select("query_id", "text"), "query_id").repartition("query_id", "group_id", "ordinal")
+        return both.select("query_id", "group_id", "ordinal", "ordinal_end", span_scores(profile)("text", "row_text", F.lit(always)).alias("score"))
+
+    best = durable(_ranked(best.unionByName(scored(span_starts(singles.join(weak, "query_id", "left_semi"), corpus), wide))).drop("rank"))
+    if wide:
+        low = best.where(F.col("score") < threshold).join(queries_.where("size(words) >= 3"), "query_id", "left_semi").select("query_id")
+        openings = F.broadcast(low).crossJoin(corpus.where("ordinal = first_ordinal").select("group_id", "ordinal"))
+        best = _ranked(best.unionByName(scored(openings, True))).drop("rank")
+    return best.where(F.col("score") >= threshold)
 
 
 def match_in_group(queries_: DataFrame, corpus: DataFrame, hint: str = "hint", low: str | None = None, high: str | None = None) -> DataFrame:
@@ -167,8 +165,7 @@ def unrivalled(local: DataFrame, anywhere: DataFrame, margin: float = 0.08) -> D
 
 def contained(results: DataFrame, queries_: DataFrame, corpus: DataFrame) -> DataFrame:
     """For spans, the row in them that fits best, with the better of its and the span's score; the earliest of equal rows."""
-    wide = results.where("ordinal_end is not null").withColumnRenamed("score", "span_score").withColumn("ordinal", F.explode(F.sequence("ordinal", "ordinal_end"))).drop("ordinal_end")
+    wide = results.where("ordinal_end is not null").select("query_id", "group_id", F.col("score").alias("span_score"), F.explode(F.sequence("ordinal", "ordinal_end")).alias("ordinal"))
     both = wide.join(queries_.select("query_id", "text"), "query_id").join(corpus.select("group_id", "ordinal", F.col("text").alias("row_text")), ["group_id", "ordinal"])
-    score = F.greatest(ratio(F.col("text"), F.col("row_text")), fragment_score(F.col("text"), F.col("row_text")))
-    ranked = _ranked(both.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), "span_score", score.alias("score")))
+    ranked = _ranked(both.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), "span_score", fast_fragment("text", "row_text").alias("score")))
     return ranked.select("query_id", "group_id", "ordinal", F.greatest("score", "span_score").alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from threadline.functions import signal, similarity, text
 from threadline.functions.features import mel_features
+from threadline.inference import check_widths
 from threadline.operators import corpus as corpora, decode, search
 
 P = text.LATIN
@@ -103,9 +104,9 @@ def argmax_collapse(spark, d):
 
 
 def ctc_decode(spark, d):
-    steps = _t(spark, d, "embeddings").select(F.col("label").alias("session_id"), F.col("vec_id").alias("t"), F.slice("embedding", 1, 4).alias("logits"))
-    vocabulary = spark.createDataFrame([(0, "a"), (1, "b"), (2, "▁c")], "token_id int, token string")
-    return decode.decode(steps, vocabulary, 3).select(F.col("session_id").alias("label"), "text")
+    steps = _t(spark, d, "embeddings").select(F.col("label").alias("session_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("logits"))
+    vocabulary = spark.createDataFrame([(i, ("▁" if i % 5 == 0 else "") + f"t{i}") for i in range(63)], "token_id int, token string")
+    return decode.decode(check_widths(steps, 64), vocabulary, 63).select(F.col("session_id").alias("label"), "text")
 
 
 def stall_gaps(spark, d):
@@ -146,19 +147,15 @@ def set_difference_words(spark, d):
 
 def best_match(spark, d):
     """For each benchmark item, the turn with the highest ratio among all that share a stem with it."""
-    return search.nearest(_queries(spark, d), _corpus(spark, d)).select("query_id", "group_id", "ordinal", "score")
-
-
-def word_alignment(spark, d):
-    c = _corpus(spark, d)
-    nxt = F.lead("words").over(Window.partitionBy("group_id").orderBy("ordinal"))
-    rows = c.select("group_id", "ordinal", "words", nxt.alias("following")).where("following is not null")
-    return rows.select("group_id", "ordinal", similarity.word_alignment(F.col("words"), F.col("following")).alias("a")).select("group_id", "ordinal", "a.*")
+    return search.nearest(_queries(spark, d), _corpus(spark, d), profile=P).select("query_id", "group_id", "ordinal", "score")
 
 
 def mel_frames(spark, d):
-    s = _t(spark, d, "embeddings").select("vec_id", mel_features(F.flatten(F.array_repeat("embedding", 10))).alias("m"))
-    return s.select("vec_id", "m.n_mels", "m.n_frames", F.size("m.features").alias("n_values"))
+    """Log-mel features of each vector as a sound: their number, and sums that change with any value of any bin or frame."""
+    s = _t(spark, d, "embeddings").select("vec_id", mel_features(F.flatten(F.array_repeat("embedding", 20))).alias("m"))
+    weighed = F.aggregate(F.transform("m.features", lambda x, i: x.cast("double") * (i % 97 + 1)), F.lit(0.0), lambda a, x: a + x)
+    squares = F.aggregate("m.features", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return s.select("vec_id", "m.n_mels", "m.n_frames", F.size("m.features").alias("n_values"), F.round(weighed, 2).alias("weighed"), F.round(squares, 2).alias("squares"))
 
 
 NORM = r"trim(regexp_replace(lower(text), '[\p{P}\p{S}\p{Z}\s]+', ' ', 'g'))"
@@ -174,13 +171,18 @@ LEVEL = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE
 #: DuckDB counts bytes where Spark counts characters, so letters outside ASCII are first mapped to single bytes.
 FLAT = "translate({x}, 'áàâäãçéèêëíìîïñóòôöõúùûüß', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
 
+#: Every row that shares a stem with a query, else (in a small corpus) every row with a similar one, else every row; with its ratio.
+CLOSE = "len(list_filter(x.evidence, lambda a: len(list_filter(y.longs, lambda b: 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.72)) > 0)) > 0"
+CANDIDATES = f"""{CORPUS}, q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {FLAT.format(x=NORM)} AS text, {EVIDENCE} AS evidence FROM benchmark),
+n AS (SELECT DISTINCT query_id, group_id, ordinal FROM (SELECT group_id, ordinal, unnest(evidence) AS stem FROM c) JOIN (SELECT query_id, unnest(evidence) AS stem FROM q WHERE len(evidence) >= 2) USING (stem)),
+fx AS (SELECT query_id, list_transform(evidence, lambda s: {FLAT.format(x='s')}) AS evidence FROM q WHERE len(evidence) >= 2 AND query_id NOT IN (SELECT query_id FROM n) AND (SELECT count(*) FROM c) <= 200),
+fy AS (SELECT group_id, ordinal, list_transform(list_filter(list_transform(list_filter(words, lambda w: length(w) >= 4), lambda w: {STEM}), lambda s: length(s) >= 3), lambda s: {FLAT.format(x='s')}) AS longs FROM c),
+near AS (SELECT query_id, group_id, ordinal FROM n UNION ALL SELECT query_id, group_id, ordinal FROM fx x, fy y WHERE {CLOSE}),
+m AS (SELECT * FROM near UNION ALL SELECT query_id, group_id, ordinal FROM q, c WHERE query_id NOT IN (SELECT query_id FROM near)),
+r AS (SELECT query_id, group_id, ordinal, round({RATIO.format(a='x', b='y')}, 9) AS score FROM (SELECT query_id, group_id, ordinal, q.text AS x, {FLAT.format(x='c.text')} AS y FROM m JOIN q USING (query_id) JOIN c USING (group_id, ordinal)))"""
+
 SQL = {
-    "best_match": f"""WITH {CORPUS}, q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {FLAT.format(x=NORM)} AS text, {EVIDENCE} AS evidence FROM benchmark),
-a AS (SELECT group_id, ordinal, stem FROM c, unnest(evidence) AS t(stem)), b AS (SELECT query_id, stem FROM q, unnest(evidence) AS t(stem)),
-n AS (SELECT query_id, group_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, group_id, ordinal) AS i FROM a JOIN b USING (stem) GROUP BY query_id, group_id, ordinal),
-s AS (SELECT query_id, group_id, ordinal, q.text AS x, {FLAT.format(x='c.text')} AS y FROM n JOIN q USING (query_id) JOIN c USING (group_id, ordinal) WHERE i <= 20),
-r AS (SELECT query_id, group_id, ordinal, round({RATIO.format(a='x', b='y')}, 9) AS score FROM s),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) AS rank FROM r) SELECT query_id, group_id, ordinal, score FROM k WHERE rank = 1""",
+    "best_match": f"""WITH {CANDIDATES}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) AS rank FROM r) SELECT query_id, group_id, ordinal, score FROM k WHERE rank = 1""",
     "text_normalize": f"SELECT doc_id, {NORM} AS normalized FROM documents",
     "text_words": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS n_letters FROM (SELECT doc_id, {WORDS} AS w FROM documents)",
     "stem_tokens": f"WITH {CORPUS} SELECT group_id, ordinal, array_to_string(list_sort(evidence), ' ') AS evidence FROM c",
@@ -197,7 +199,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gr
     "signal_quality": f"WITH s AS (SELECT vec_id, {LEVEL} AS r, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS p, len(list_filter(embedding, lambda x: abs(x::DOUBLE) >= 0.3)) / len(embedding) AS k FROM embeddings) SELECT vec_id, round(r, 6) AS rms, round(p, 6) AS peak, round(20 * log10(greatest(r, 1e-6)), 6) AS decibels, round(k, 6) AS clipped, CASE WHEN k >= 0.005 THEN 'clipped' WHEN r < 0.05 OR p < 0.1 THEN 'silence' ELSE 'speech' END AS status FROM s",
     "preemphasis": "SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * (embedding[i]::DOUBLE - CASE WHEN i = 1 THEN 0 ELSE 0.97::DOUBLE * embedding[i - 1]::DOUBLE END))), 4) AS weighed FROM embeddings",
     "argmax_collapse": "WITH e AS (SELECT vec_id, label, (list_position(embedding, list_max(embedding)) - 1) % 4 AS token_id FROM embeddings), b AS (SELECT *, lag(token_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM e) SELECT label, count(*) AS n_tokens, CAST(sum(token_id) AS BIGINT) AS token_sum FROM b WHERE (b IS NULL OR b <> token_id) AND token_id <> 3 GROUP BY label",
-    "ctc_decode": "WITH e AS (SELECT vec_id, label, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS t FROM embeddings), b AS (SELECT *, lag(t) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM e) SELECT label, trim(coalesce(string_agg(CASE WHEN (b IS NULL OR b <> t) AND t <> 3 THEN ['a', 'b', ' c'][t + 1] END, '' ORDER BY vec_id), '')) AS text FROM b GROUP BY label",
+    "ctc_decode": "WITH e AS (SELECT vec_id, label, list_position(embedding, list_max(embedding)) - 1 AS t FROM embeddings), b AS (SELECT *, lag(t) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM e) SELECT label, trim(coalesce(string_agg(CASE WHEN (b IS NULL OR b <> t) AND t <> 63 THEN CASE WHEN t % 5 = 0 THEN ' ' ELSE '' END || 't' || t END, '' ORDER BY vec_id), '')) AS text FROM b GROUP BY label",
     "stall_gaps": "WITH e AS (SELECT user_id, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6::DOUBLE AS gap FROM events) SELECT user_id, count(*) AS n_gaps, round(max(gap), 3) AS longest FROM e WHERE gap > 2 GROUP BY user_id",
     "confirm_streaks": "WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e), k AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY user_id, run) SELECT user_id, max(n) AS longest_run, count(*) AS n_runs FROM k GROUP BY user_id",
     "newest_n_per_session": "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM e WHERE rn <= 32 GROUP BY user_id",
@@ -209,5 +211,5 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, gr
 ALL = (
     text_normalize, text_words, stem_tokens, informative_filter, levenshtein_ratio, partial_ratio, stem_index, index_prune, group_lookup, end_flags, span_concat, opening_rows,
     scoped_band_join, signal_quality, preemphasis, argmax_collapse, ctc_decode, stall_gaps, confirm_streaks, newest_n_per_session, monotonic_check, sha256_text,
-    set_difference_words, best_match, word_alignment, mel_frames,
+    set_difference_words, best_match, mel_frames,
 )
