@@ -7,17 +7,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from threadline.llm.components import components, joined
-from threadline.durable import durable, let_go
-from threadline.llm.textbytes import ODD, Spans, chunks, mixed, runs, table, text_bytes
+from threadline.durable import durable, let_go, small_batches
+from threadline.llm.textbytes import ODD, chunks, mixed, runs, span_hashes, table, text_bytes
 
 WORD = r"[0-9A-Za-z]"
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 #: A shingle in a larger share of the documents weighs less; there are at most (shingles of a document) / RARE such shingles.
 RARE = 0.001
+#: Bytes of text that a worker takes on at once, and shingles that gather before they are counted.
+CHUNK, GATHERED = 1 << 20, 400_000
 #: Entries of a sampler's table of random numbers.
 TABLE = 1 << 16
 #: Partners that one copy of a hot document's text meets.
@@ -38,7 +41,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none
     doc = np.searchsorted(offsets, start, "right") - 1
-    word = Spans(fold[data]).of(start, end)
+    word = span_hashes(fold[data], start, end)
+    del start, end
     n = np.bincount(doc, minlength=len(offsets) - 1)
     left = np.repeat(np.cumsum(n), n) - np.arange(len(doc))  # words from here to the end of the document
     h = np.zeros(len(word), np.uint64)
@@ -71,37 +75,64 @@ class Weights:
         return out
 
 
+class Counter:
+    """Lossy counting (Manku and Motwani, 2002) of the documents that hold a shingle: what is left out stands in at most
+    `share` of the documents seen plus one. New shingles gather until there are GATHERED of them, so that one merge serves many."""
+
+    def __init__(self, share: float):
+        self.width = max(1, int(1 / share))
+        self.keys, self.counts, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.new: list[np.ndarray] = []
+        self.gathered = self.seen = self.done = 0
+
+    def add(self, h: np.ndarray, documents: int) -> None:
+        """h: the shingles of some documents, each document's once."""
+        self.new.append(h)
+        self.gathered += len(h)
+        self.seen += documents
+        if self.gathered >= GATHERED or self.seen // self.width > self.done:
+            self.merge()
+
+    def merge(self) -> None:
+        """Takes in what has gathered; at the end of a bucket of `width` documents, drops what is too rare."""
+        if self.gathered:
+            new = np.sort(np.concatenate(self.new))
+            self.new, self.gathered = [], 0
+            at = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+            new, n = new[at], np.diff(np.append(at, len(new))).astype(np.int32)
+            place = np.searchsorted(self.keys, new)
+            known = np.zeros(len(new), bool)
+            known[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] == new[place < len(self.keys)]
+            self.counts[place[known]] += n[known]
+            fresh, place = ~known, place[~known]
+            self.keys = np.insert(self.keys, place, new[fresh])
+            self.counts = np.insert(self.counts, place, n[fresh])
+            self.missed = np.insert(self.missed, place, np.int32(self.done))
+        if self.seen // self.width > self.done:
+            self.done = self.seen // self.width
+            self._keep(self.counts + self.missed > self.done)
+
+    def _keep(self, keep: np.ndarray) -> None:
+        self.keys, self.counts, self.missed = self.keys[keep], self.counts[keep], self.missed[keep]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        self._keep(self.counts + self.missed > -(-self.seen // self.width))
+        return self.keys, self.counts
+
+
 def _local_counts(share: float):
-    """Lossy counting (Manku and Motwani, 2002) of the documents that hold a shingle, over a task's documents: what is left
-    out stands in at most `share` of them plus one."""
-    width = max(1, int(1 / share))
+    """Shingles that may be frequent in a task's documents, and how often they were seen since they were counted."""
 
     def run(batches):
-        keys, counts, missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seen = done = 0
+        counter = Counter(share)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 data, offsets = text_bytes(part.column(0))
-                _, h, _ = shingles(data, offsets)
-                new, n = np.unique(h, return_counts=True)
-                both = np.concatenate([keys, new])
-                order = np.argsort(both, kind="stable")
-                both = both[order]
-                c = np.concatenate([counts, n])[order]
-                m = np.concatenate([missed, np.full(len(new), done)])[order]
-                first = np.ones(len(both), bool)
-                first[1:] = both[1:] != both[:-1]
-                at = np.flatnonzero(first)
-                keys = both[at]
-                counts, missed = (np.add.reduceat(c, at), np.minimum.reduceat(m, at)) if len(at) else (c, m)
-                seen += len(offsets) - 1
-                if seen // width > done:
-                    done = seen // width
-                    keep = counts + missed > done
-                    keys, counts, missed = keys[keep], counts[keep], missed[keep]
-        keep = counts + missed > -(-seen // width)
-        for i in range(0, int(keep.sum()), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep][i : i + 100_000].view(np.int64)), pa.array(counts[keep][i : i + 100_000])], names=["h", "n"])
+                counter.add(shingles(data, offsets)[1], len(offsets) - 1)
+        keys, counts = counter.found()
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000].astype(np.int64))], names=["h", "n"])
 
     return run
 
@@ -128,7 +159,7 @@ def fit_weights(docs: DataFrame, rare: float = RARE) -> Weights:
         keys = wanted.value
         count = np.zeros(len(keys), np.int64)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 _, h, _ = shingles(*text_bytes(part.column(0)))
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 count += np.bincount(at[keys[at] == h], minlength=len(keys))
@@ -203,7 +234,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     def run(batches):
         sampler = Sampler(BANDS * ROWS)
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
+            for part in chunks(batch, "text", CHUNK):
                 bands = band_hashes(*text_bytes(part.column(2)), shared.value, sampler)
                 some = bands.any(1)
                 offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
@@ -213,20 +244,36 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     return docs.select("id", F.md5(F.col("text").cast("binary")).alias("text_key"), "text").mapInArrow(run, "id long, text_key string, bands array<long>")
 
 
-def similarities(weights: Weights, first: pa.Array, second: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts."""
-    n = len(first)
+def similarities(weights: Weights, first: pa.Array, second: pa.Array, which: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of each text in first with second[which]; texts in second are cut into shingles once."""
+    n, m = len(first), len(second)
     a, b = shingles(*text_bytes(first)), shingles(*text_bytes(second))
     wa, wb = weights.of(a[1], a[2]), weights.of(b[1], b[2])
-    total = np.bincount(a[0], wa, n) + np.bincount(b[0], wb, n)
-    doc, h, w = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([wa, wb])
-    order = np.lexsort((h, doc))
-    doc, h, w = doc[order], h[order], w[order]
-    same = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
-    shared = np.bincount(doc[1:][same], np.minimum(w[1:], w[:-1])[same], n)
+    total = np.bincount(a[0], wa, n) + np.bincount(b[0], wb, m)[which]
+    known = np.unique(b[1])
+    if not len(known):
+        return np.zeros(n)
+    keys = b[0] * len(known) + np.searchsorted(known, b[1])  # rising, as shingles are sorted by text and hash
+    at = np.minimum(np.searchsorted(known, a[1]), len(known) - 1)
+    here = np.flatnonzero(known[at] == a[1])
+    wanted = which[a[0][here]] * len(known) + at[here]
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[place] == wanted
+    shared = np.bincount(a[0][here][hit], np.minimum(wa[here][hit], wb[place[hit]]), n)
     return np.divide(shared, total - shared, out=np.zeros(n), where=total > shared)
 
 
+def _pair_chunks(batch: pa.RecordBatch):
+    """Slices of a batch of pairs (a, b, text_a, text_b) with about CHUNK bytes of text_a, and of text_b where b changes."""
+    b = batch.column(1).to_numpy()
+    sizes = [pa.compute.binary_length(batch.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3)]
+    group = np.cumsum(sizes[0] + sizes[1] * np.append(True, b[1:] != b[:-1])) // CHUNK if len(b) else np.zeros(0, np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(b)]
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        if y > x:
+            yield batch.slice(x, y - x)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
     """The pairs (a, b) with at least this similarity. texts (id, text) holds all their ids. Where many pairs share b, its text
     is copied for every SALT_PARTNERS of them, so that no task meets them all."""
@@ -239,10 +286,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text_a", 1 << 20):
-                s = similarities(shared.value, part.column(2), part.column(3))
-                keep = pa.array(s >= similarity - 1e-9)
-                yield part.select(["a", "b"]).filter(keep)
+            for part in _pair_chunks(batch):
+                _, first, which = np.unique(part.column(1).to_numpy(), return_index=True, return_inverse=True)
+                s = similarities(shared.value, part.column(2), part.column(3).take(pa.array(first)), which)
+                yield part.select(["a", "b"]).filter(pa.array(s >= similarity - 1e-9))
 
     out = durable(both.mapInArrow(run, "a long, b long"))
     del both, left, right, copies
@@ -256,7 +303,7 @@ def _tokens(members: DataFrame, weights: Weights) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", CHUNK):
                 doc, h, times = shingles(*text_bytes(part.column(1)))
                 ids = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(shared.value.of(h, times))], names=["h", "id", "w"])
@@ -301,6 +348,28 @@ def _across(inside: DataFrame, tokens: DataFrame, roots: DataFrame, similarity:
     return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def _units(docs: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is compared: unit, text_key, head (the least id with the text) and bands of each distinct text; id and text_key of
+    all rows; and pairs (a, b) of units that belong together because one id has both texts.
+
+    A unit is its head, but for the texts of ids that have several, whose units are numbers beyond all ids."""
+    members = durable(signatures(docs.where("text is not null and id is not null"), weights))
+    rows = members.select("id", "text_key")
+    distinct = members.groupBy("text_key").agg(F.min("id").alias("head"), F.first("bands").alias("bands"))
+    several = durable(rows.groupBy("id").agg(F.min("text_key").alias("_a"), F.max("text_key").alias("_b")).where("_a <> _b").select("id"))
+    if several.isEmpty():
+        units = durable(distinct.withColumn("unit", F.col("head")))
+        return units, rows, units.select(F.col("unit").alias("a"), F.col("unit").alias("b")).where("false")
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    number = F.monotonically_increasing_id()
+    beyond = F.lit(high + 1) + number if high < 1 << 62 else F.lit(low - 1) - number
+    marked = distinct.join(several.withColumnRenamed("id", "head").withColumn("_several", F.lit(True)), "head", "left")
+    units = durable(marked.withColumn("unit", F.when(F.col("_several"), beyond).otherwise(F.col("head"))).drop("_several"))
+    owned = rows.join(several, "id").distinct().join(units.select("text_key", "unit"), "text_key").select("id", "unit")
+    least = owned.groupBy("id").agg(F.min("unit").alias("b"))
+    return units, rows, durable(owned.join(least, "id").where("unit <> b").select(F.col("unit").alias("a"), "b").distinct())
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: id_column and class_id, the least id of its class.
 
@@ -309,18 +378,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column:
     at 0.8, more above); classes are the components of the links. In a bucket of texts that share a band, all are compared
     with one of them, which most texts share a bucket with; wherever this leaves these in more than one component, pairs across
     the components are compared as well, but for those that what they share with any other text rules out, so that no link
-    that could join classes is lost. Null texts are classes of their own.
-    Rows that repeat an id are in one class, compared by the text whose MD5 is least; an empty table gives an empty result.
-    Rows with a null id get class_id null.
+    that could join classes is lost. Null texts are classes of their own. Texts without words are one class where they are equal.
+    Rows that repeat an id are in one class, and so is all that any of their texts is linked with; an empty table gives an
+    empty result. Rows with a null id get class_id null.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     weights = fit_weights(docs)
-    members = durable(signatures(docs.where("text is not null and id is not null"), weights))
-    let_go(docs.sparkSession)
-    # one id stands for each text
-    first = durable(members.groupBy("text_key").agg(F.min("id").alias("head")))
-    heads = members.join(first, [members["text_key"] == first["text_key"], members["id"] == first["head"]], "left_semi").groupBy("id").agg(F.min_by("bands", "text_key").alias("bands"))
-    banded = durable(heads.select("id", F.explode("bands").alias("band")))
+    units, rows, same = _units(docs, weights)
+    let_go(spark)
+    banded = durable(units.select(F.col("unit").alias("id"), F.explode("bands").alias("band")))
     sizes = durable(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     banded = durable(banded.join(sizes, "band"))
     # the member that the others of a bucket are compared with is the one that most texts share a bucket with
@@ -328,33 +396,42 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_column:
     turn = F.struct("met", (-F.col("id")).alias("_id"), F.col("id").alias("id"))
     buckets = durable(banded.join(met, "id").groupBy("band").agg(F.max(turn)["id"].alias("b")))
     pairs = durable(banded.join(buckets, "band").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    let_go(docs.sparkSession)
-    wanted = pairs.select(F.col("a").alias("id")).union(buckets.select(F.col("b").alias("id"))).distinct()
-    texts = durable(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")))
-    roots = components(_verified(pairs, texts, weights, similarity))
-    let_go(docs.sparkSession)
+    let_go(spark)
+    wanted = pairs.select(F.col("a").alias("unit")).union(buckets.select(F.col("b").alias("unit"))).distinct()
+    wanted = units.join(wanted, "unit", "left_semi").select(F.col("unit"), F.col("head").alias("id"), "text_key")
+    keyed = docs.where("text is not null and id is not null").withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    texts = durable(keyed.join(wanted, ["id", "text_key"]).groupBy("unit").agg(F.first("text").alias("text")).withColumnRenamed("unit", "id"))
+    roots = components(_verified(pairs, texts, weights, similarity).union(same))
+    let_go(spark)
     # stars of three or more that are not yet one class: first texts that share something rare are compared, then pairs
     # across what components are left, where these may still be similar enough
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = durable(pairs.select(F.col("b").alias("star"), F.col("a").alias("id")).union(pairs.select("b", "b").distinct()))
     inside = _open(stars, roots)
-    tokens = durable(_tokens(texts.join(inside.select("id").distinct(), "id", "left_semi"), weights))
-    rare = durable(tokens.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a")).where(f"n between 2 and {FEW}").select("h", "a"))
-    kin = durable(tokens.join(rare, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
-    roots = joined(roots, _verified(kin, texts, weights, similarity))
-    let_go(docs.sparkSession)
-    seen = seen.union(kin)
-    across = _across(_open(stars, roots), tokens, roots, similarity)
-    roots = joined(roots, _verified(durable(across.join(seen, ["a", "b"], "left_anti")), texts, weights, similarity))
-    classes = first.join(roots, first["head"] == roots["node"], "left").select("text_key", F.coalesce("root", "head").alias("class_id"))
-    known = members.select("id", "text_key").join(durable(classes), "text_key").select("id", "class_id")
+    if not inside.isEmpty():
+        tokens = durable(_tokens(texts.join(inside.select("id").distinct(), "id", "left_semi"), weights))
+        rare = durable(tokens.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a")).where(f"n between 2 and {FEW}").select("h", "a"))
+        kin = durable(tokens.join(rare, "h").where("id <> a").select("a", F.col("id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
+        roots = joined(roots, _verified(kin, texts, weights, similarity))
+        let_go(spark)
+        seen = seen.union(kin)
+        across = _across(_open(stars, roots), tokens, roots, similarity)
+        roots = joined(roots, _verified(durable(across.join(seen, ["a", "b"], "left_anti")), texts, weights, similarity))
+    rooted = durable(units.join(roots, units["unit"] == roots["node"], "left").select("text_key", "head", F.coalesce("root", "unit").alias("root")))
+    heads = rooted.groupBy("root").agg(F.min("head").alias("class_id"))
+    known = rows.join(rooted.join(heads, "root").select("text_key", "class_id"), "text_key").select("id", "class_id")
     rest = docs.where("text is null or id is null").select("id", F.col("id").alias("class_id"))
+    mixed_ids = rest.join(rows.select("id").distinct(), "id", "left_semi").isEmpty()
+    if not mixed_ids:  # an id with a null text and others
+        of_id = known.groupBy("id").agg(F.min("class_id").alias("_class"))
+        rest = rest.join(of_id, "id", "left").select("id", F.coalesce("_class", "class_id").alias("class_id"))
     return known.union(rest).withColumnRenamed("id", id_column)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class: the one whose doc_id is the class's least. Rows with a null doc_id stay; of rows
-    that repeat the least id, the one whose text has the least MD5 stays, and of equal rows one. Columns stay as they are.
+    that repeat the least id, the one whose text has the least MD5 stays (a null text counts as empty), and of equal rows one:
+    all its texts are one class, so no class is lost. Columns stay as they are; an empty table gives an empty result.
     """
     kept = durable(near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct())
     let_go(docs.sparkSession)

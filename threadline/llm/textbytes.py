@@ -58,6 +58,28 @@ class Spans:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * ODD2)
 
 
+#: Bytes of text that are hashed at once.
+HASHED = 1 << 18
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What Spans(data).of(start, end) gives, for ranges that follow each other, in memory of a slice and not of all of data."""
+    at = np.empty(2 * len(start), np.int64)
+    at[0::2], at[1::2] = start, end
+    sums = np.zeros(len(at), np.uint64)
+    code, up, down = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1)), powers(int(ODD), min(HASHED, len(data))), powers(_INVERSE, min(HASHED, len(data) + 1))
+    carry, lo = np.zeros(1, np.uint64), int(np.searchsorted(at, 1))
+    first = np.zeros(len(start), np.uint64)
+    for a in range(0, len(data), HASHED):
+        part = np.cumsum(code[data[a : a + HASHED]] * up[: len(data) - a], dtype=np.uint64) * np.uint64(pow(int(ODD), a, 1 << 64)) + carry
+        hi = int(np.searchsorted(at, a + len(part) + 1))
+        sums[lo:hi] = part[at[lo:hi] - a - 1]
+        x, y = np.searchsorted(start, [a, a + HASHED])
+        first[x:y] = down[start[x:y] - a] * np.uint64(pow(_INVERSE, a, 1 << 64))
+        carry, lo = part[-1:].copy(), hi
+    return mixed((sums[1::2] - sums[0::2]) * first + (end - start).astype(np.uint64) * ODD2)
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the longest ranges where inside holds, which never cross a row's border."""
     n = len(inside)
