@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from threadline.llm.ordering import bucket_count, bucket_totals, group_key, hash_bucket, shuffle_key
-
-
-def _fractions(rows: DataFrame, buckets: int, ties: list[str]) -> DataFrame:
-    """Adds _f, the fractional rank (rank - 0.5) / n of each row in its source's seeded shuffle, and _range, which rises with it."""
-    rows = rows.withColumn("_bucket", hash_bucket(F.col("_key"), buckets))
-    totals = bucket_totals(rows, ["_source"], "_bucket", rows=F.lit(1))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", *ties)
-    ranked = rows.withColumn("_rank", F.row_number().over(inside)).join(totals, ["_source", "_bucket"])
-    fraction = (F.col("before_rows") + F.col("_rank") - 0.5) / F.col("all_rows")
-    ranked = ranked.withColumn("_f", fraction).drop("_rank", "_bucket", "before_rows", "all_rows")
-    return ranked.withColumn("_range", F.floor(F.col("_f") * buckets))
+from threadline.llm.ordering import content_hash, group_key, is_slim, numbered, running, shuffle_key
 
 
 def assign_shards(
@@ -25,20 +14,25 @@ def assign_shards(
 
     Rows are shuffled by a seeded hash within each source; all rows are then sorted by fractional rank and cut into pieces
     whose row counts differ by one at most, so that each shard holds each source in its proportion. Null sources are a source
-    of their own, null ids are shuffled as one id. Rows that share an id are ordered by the columns in ties; rows equal in
-    these too are interchangeable. An empty table gives an empty result. Other columns pass through untouched, whatever their
-    names; columns named shard or slot are replaced.
+    of their own, null ids are shuffled as one id. Rows that share an id are ordered by the columns in ties, or by a hash of all
+    columns if none are named; rows equal in these too are interchangeable. An empty table gives an empty result. Other columns
+    pass through untouched, whatever their names; columns named shard or slot are replaced. Texts take no part in the ranking:
+    tables with strings are numbered, and rows meet their places by that number.
     """
     docs = docs.drop("shard", "slot")
-    buckets = bucket_count(docs.count())
-    keys = [group_key(source).alias("_source"), shuffle_key(seed, id_column).alias("_key")]
-    rows = docs.select(*keys, *[F.col(t).alias(f"_t{i}") for i, t in enumerate(ties)], F.struct("*").alias("_kept"))
-    tied = [f"_t{i}" for i in range(len(ties))]
-    ranked = _fractions(rows, buckets, tied)
-    totals = bucket_totals(_fractions(docs.select(*keys), buckets, []), [], "_range", rows=F.lit(1))
-    inside = Window.partitionBy("_range").orderBy("_f", "_key", *tied)
-    placed = ranked.withColumn("_rank", F.row_number().over(inside)).join(totals, "_range")
-    placed = placed.withColumn("_at", F.col("before_rows") + F.col("_rank") - 1)
-    placed = placed.withColumn("_shard", F.expr(f"_at * {n_shards}L div all_rows"))
+    tied = [f"_t{i}" for i in range(max(1, len(ties)))]
+    keys = {"_source": group_key(source), "_key": shuffle_key(seed, id_column)} | dict(zip(tied, [F.col(t) for t in ties] or [content_hash(docs)], strict=True))
+    whole = None
+    if is_slim(docs, source):
+        rows = docs.select(F.struct("*").alias("_kept"), *[c.alias(k) for k, c in keys.items()])
+    else:
+        whole = numbered(docs, **keys)
+        rows = whole.drop("_kept")
+    ranked = running(rows, ["_source"], ["_key", *tied], rows=F.lit(1)).withColumn("_f", (F.col("run_rows") - 0.5) / F.col("all_rows"))
+    placed = running(ranked.drop("run_rows", "all_rows", "_source"), [], ["_f", "_key", *tied], rows=F.lit(1))
+    placed = placed.withColumn("_at", F.col("run_rows") - 1).withColumn("_shard", F.expr(f"_at * {n_shards}L div all_rows"))
     slot = F.expr(f"_at - (_shard * all_rows + {n_shards - 1}L) div {n_shards}L")
-    return placed.select("_kept.*", F.col("_shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    placed = placed.select("_kept" if whole is None else "_row", F.col("_shard").cast("int").alias("_shard"), slot.cast("long").alias("_slot"))
+    if whole is not None:
+        placed = whole.select("_kept", "_row").join(placed, "_row")
+    return placed.select("_kept.*", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
