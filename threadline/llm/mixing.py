@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadline.durable import durable
-from threadline.llm.ordering import bucket_count, bucket_totals, group_key, hash_bucket, shuffle_key
+from threadline.llm.ordering import bucket_count, bucket_totals, content_hash, group_key, numbered, running, shuffle_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,48 +20,48 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     weight, no source gets over most times its size, and what it can't take goes to the others by weight.
 
     Sources that reach their cap do so in the order of cap / weight, so running sums in that order give the level at which the
-    rest share what is left. The table has one row per source.
+    rest share what is left. There may be any number of sources; one without words has target 0.
     """
-    by_name = Window.orderBy("_source")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    rows = sizes.withColumn("_w", weight).withColumn("_cap", F.col("total") * float(most)).withColumn("_turn", F.col("_cap") / F.col("_w"))
-    order = Window.orderBy("_turn", "_source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns(
-        {
-            "_left": F.sum("total").over(Window.partitionBy()) * float(share) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)),
-            "_share": F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    rows = rows.withColumn("_level", F.col("_left") / F.col("_share"))
-    level = F.min(F.when(F.col("_level") <= F.col("_turn"), F.struct("_turn", "_source", "_level"))).over(Window.partitionBy())
-    rows = rows.withColumn("_l", F.coalesce(level["_level"], F.lit(float("inf"))))
-    return rows.select("_source", "total", F.least(F.col("_cap"), F.col("_l") * F.col("_w")).alias("target"))
+    named = running(sizes, [], ["_source"], n=F.lit(1), size=F.col("total"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("run_n") - 1) % len(weights) + 1).cast("int"))
+    rows = named.select("_source", "total", F.col("all_size").alias("_all"), weight.alias("_w"), (F.col("total") * float(most)).alias("_cap"))
+    rows = running(rows.withColumn("_turn", F.col("_cap") / F.col("_w")), [], ["_turn", "_source"], cap=F.col("_cap"), w=F.col("_w"))
+    left = F.col("_all") * float(share) - (F.col("run_cap") - F.col("_cap"))
+    rows = rows.withColumn("_level", left / (F.col("all_w") - (F.col("run_w") - F.col("_w"))))
+    first = rows.agg(F.min(F.when(F.col("_level") <= F.col("_turn"), F.struct("_turn", "_source", "_level"))).alias("l")).first()["l"]
+    level = float("inf") if first is None else first["_level"]
+    return rows.select("_source", "total", F.least(F.col("_cap"), F.lit(level) * F.col("_w")).alias("target"))
 
 
 def allocate(
-    docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, seed: int = 29, source: str = "source", id_column: str = "doc_id"
+    docs: DataFrame,
+    weights: list[float],
+    share: float = 1.5,
+    most: int = 2,
+    seed: int = 29,
+    source: str = "source",
+    id_column: str = "doc_id",
+    carry: tuple[str, ...] = (),
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """docs(id, source, size) with source_size, target and times: how often the mix takes each row (0 .. most).
+    """docs(id, source, size) with source_size, target, times (how often the mix takes each row, 0 .. most) and the columns named in carry.
 
     Each source's rows are shuffled by a seeded hash and queue most times over. A copy's virtual finish time is the source's
     words up to its end divided by the source's target. All copies are sorted by that time in ranges, and the queue is cut where
-    the words taken would pass the total of the targets. Rows of size 0 take nothing. Null sources are one source, the last.
-    An empty table gives an empty result. Repeated rows queue one after the other.
+    the words taken would pass the total of the targets. Rows of size 0 take nothing, and so do all rows of a source without
+    words, whose target is 0. Null sources are one source, the last; null ids are shuffled as one id. An empty table gives an
+    empty result. Rows that share an id queue one after the other, short ones first, then by the columns named in ties; rows equal
+    in these too are interchangeable.
     """
     rows = durable(
-        docs.select(id_column, "size", group_key(source).alias("_source"), shuffle_key(seed, id_column).alias("_key")).withColumn("_size", F.coalesce("size", F.lit(0)))
+        docs.select(id_column, *carry, *ties, "size", group_key(source).alias("_source"), shuffle_key(seed, id_column).alias("_key"), F.coalesce("size", F.lit(0)).alias("_size"))
     )
-    n = rows.count()
-    buckets = bucket_count(n)
-    rows = rows.withColumn("_bucket", hash_bucket(F.col("_key"), buckets))
-    totals = bucket_totals(rows, ["_source"], "_bucket", size=F.col("_size"))
-    targets = source_targets(rows.groupBy("_source").agg(F.sum("_size").alias("total")), weights, share, most)
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = rows.withColumn("_sum", F.sum("_size").over(inside)).join(totals.join(targets, "_source"), ["_source", "_bucket"])
-    queued = durable(queued.withColumn("_sum", F.col("_sum") + F.col("before_size")).drop("before_size", "all_size", "_bucket"))
-
-    copies = queued.where("_size > 0").select("_size", "_key", F.posexplode(_finishes(most)).alias("_copy", "_finish"))
+    buckets = bucket_count(rows.count())
+    targets = durable(source_targets(rows.groupBy("_source").agg(F.sum("_size").alias("total")), weights, share, most))
+    queued = running(rows, ["_source"], ["_key", "_size", *ties], size=F.col("_size")).withColumnRenamed("run_size", "_sum").drop("all_size")
+    queued = durable(queued.join(targets, "_source"))
+
+    copies = queued.where("_size > 0 and target > 0").select("_size", "_key", F.posexplode(_finishes(most)).alias("_copy", "_finish"))
     # ranges of the finish time: even up to 1, where most copies that are taken lie, and ever wider beyond
     even = F.floor(F.least(F.col("_finish"), F.lit(1.0)) * buckets)
     copies = copies.withColumn("_range", even + F.floor(F.log2(F.greatest(F.col("_finish"), F.lit(1.0))) * (buckets // 16)))
@@ -82,28 +82,25 @@ def allocate(
             earlier = (f < cut["_finish"]) | ((f == cut["_finish"]) & ((F.col("_key") < cut["_key"]) | ((F.col("_key") == cut["_key"]) & (F.lit(i) <= cut["_copy"]))))
             taken = taken + F.when((F.col("_size") > 0) & earlier, 1).otherwise(0)
     return queued.select(
-        id_column, "_key", F.col("_source"), "size", F.col("total").alias("source_size"), "target", taken.cast("int").alias("times"), _finishes(most).alias("finishes")
+        id_column, *carry, "_key", F.col("_source"), "size", F.col("total").alias("source_size"), "target", taken.cast("int").alias("times"), _finishes(most).alias("finishes")
     )
 
 
 def _finishes(most: int) -> Column:
-    """Virtual finish times of a row's copies."""
-    end = lambda i: (F.col("total") * F.lit(i) + F.col("_sum")) / F.col("target")
+    """Virtual finish times of a row's copies; null if the source has no target."""
+    end = lambda i: F.try_divide(F.col("total") * F.lit(i) + F.col("_sum"), F.col("target"))
     return F.array(*[end(i) for i in range(most)])
 
 
 def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, seed: int = 29) -> DataFrame:
     """The mix itself: rows of documents, each as often as it is taken, sorted in ranges by virtual finish time.
 
-    Columns stay as they are. Null text has no words and is never taken. Rows that agree in id, source and size take the plan's
-    entries for these in any order; each entry is used once.
+    Columns stay as they are, whatever their names. Null text has no words and is never taken, nor is any row of a source
+    without words. Rows are numbered first, and meet what the queue takes of them by their number, so that repeated rows and
+    null ids count each by itself. An empty table gives an empty result.
     """
-    keys = ["_id", "_source", "_size"]
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
-    plan = allocate(docs.select("doc_id", "source", word_count("text").alias("size")), weights, share, most, seed).where("times > 0")
-    plan = plan.select(name, "_source", F.col("size").alias("_size"), F.expr("slice(finishes, 1, times)").alias("_mine"))
-    plan = plan.groupBy(*keys).agg(F.collect_list("_mine").alias("_plan"))
-    rows = docs.select(name, group_key("source").alias("_source"), word_count("text").alias("_size"), F.crc32(F.col("text").cast("binary")).alias("_crc"), F.struct("*").alias("_kept"))
-    rows = rows.where("_size > 0").withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_crc")))
-    out = rows.join(plan, keys).withColumn("_finish", F.explode(F.expr("try_element_at(_plan, _k)")))
-    return out.repartitionByRange(F.col("_finish"), F.col("_id")).sortWithinPartitions("_finish", "_id").select("_kept.*")
+    rows = numbered(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=word_count("text"), _content=content_hash(docs))
+    plan = allocate(rows.drop("_kept"), weights, share, most, seed, carry=("_row",), ties=("_content",)).where("times > 0")
+    plan = plan.select("_row", F.expr("slice(finishes, 1, times)").alias("_mine"))
+    out = rows.select("_kept", "_row").join(plan, "_row").withColumn("_finish", F.explode("_mine"))
+    return out.repartitionByRange(F.col("_finish"), F.col("_row")).sortWithinPartitions("_finish", "_row").select("_kept.*")
