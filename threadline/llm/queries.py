@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -71,9 +72,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The session's setting that holds the secret key of surrogates; without it each run draws its own.
+SURROGATE_KEY = "spark.threadline.surrogates.key"
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace_entities(docs).select("doc_id", "n_entities", "kinds", "text")
+    return surrogates.replace_entities(docs, spark.conf.get(SURROGATE_KEY, None) or secrets.token_hex(16)).select("doc_id", "n_entities", "kinds", "text")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

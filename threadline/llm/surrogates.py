@@ -16,14 +16,17 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w-])\d{3}-\d{3}-\d{4}\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
-    "name": r"(?=\p{Lu})(?<= )(?<=\b(?:Mr|Ms|Dr|Sr|Mrs|Mme|Sra|Herr|Frau|Miss|г-н|г-жа)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"(?=[DFHMSг])(?<![\p{L}\p{N}_])(?:Mr|Ms|Dr|Sr|Mrs|Mme|Sra|Herr|Frau|Miss|г-н|г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
+# A title with what follows it up to the name, and the titles that tell a gender.
+TITLE = r"^(?:Mr|Ms|Dr|Sr|Mrs|Mme|Sra|Herr|Frau|Miss|г-н|г-жа)\.? (?=\p{Lu}\p{Ll})"
+WOMEN, MEN = r"^(?:Ms|Mrs|Mme|Sra|Frau|Miss|г-жа)\.? ", r"^(?:Mr|Sr|Herr|г-н)\.? "
 # Syllables of invented names, in each script.
 SYLLABLES = {
     "Latin": "ba be bi bo da de di do fa fe fi fo ga ge go ha he ho ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se so ta te ti to va ve vi vo za ze zo".split(),
     "Cyrillic": "ба бе би бо да де ди до га ге го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се со та те ти то ва ве ви во за зе зо".split(),
 }
-#: Names that end like these are taken for women's.
+#: Without a title that tells, given names that end like these are taken for women's; Cyrillic surnames tell by themselves.
 FEMININE = "(?:a|e|ie|y|а|я)$"
 #: Up to so many entities whose surrogate isn't their first choice are named in the plan; more are joined to the texts.
 MOST_EXCEPTIONS = 1000
@@ -45,7 +48,17 @@ def _may_hold() -> Column:
     """Whether a text can hold any entity: all kinds but names have a digit, @, = or a key's first letters, names a title."""
     text = F.col("_text")
     quick = text.rlike("[0-9@=]") | F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA"))
-    return F.coalesce(quick | text.rlike(r" (?=\p{Lu})(?<=\b(?:Mr|Ms|Dr|Sr|Mrs|Mme|Sra|Herr|Frau|Miss|г-н|г-жа)\.? )"), F.lit(False))
+    return F.coalesce(quick | text.rlike(PATTERNS["name"]), F.lit(False))
+
+
+def _bare(match: Column) -> Column:
+    """What a match stands for: a name without its title, and all else as it is."""
+    return F.regexp_replace(match, TITLE, "")
+
+
+def _gender(match: Column) -> Column:
+    """f or m, by a name's title; n where it doesn't tell."""
+    return F.when(match.rlike(WOMEN), F.lit("f")).when(match.rlike(MEN), F.lit("m")).otherwise(F.lit("n"))
 
 
 def kind_of(entity: Column) -> Column:
@@ -57,7 +70,9 @@ def kind_of(entity: Column) -> Column:
 
 
 def _hash(key: str, *parts: Column) -> Column:
-    return F.xxhash64(F.lit(key), *parts)
+    """60 bits of a SHA-256 of key and parts, which can't be foretold without the key."""
+    text = F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
 def _permuted(number: Column, high: Column, low: Column, tag: Column, key: str) -> Column:
@@ -146,20 +161,24 @@ def _email(entity: Column, key: str, attempt: Column) -> Column:
     return F.concat(_letters(F.concat(local), key + "|", F.concat(attempt.cast("string"), domain), "email"), F.lit("@mail"), F.substring(seed, 1, 10), F.lit(".example.org"))
 
 
-def _name(entity: Column, key: str, attempt: Column) -> Column:
-    """Each word becomes an invented name in its script; women's and men's names keep their endings' gender."""
+def _name(entity: Column, key: str, attempt: Column, gender: Column) -> Column:
+    """Each word becomes an invented name in its script, the same one wherever it is a surname or a given name of that gender. The
+    first of two words is a given name, whose ending tells its gender; a single word is a surname."""
 
-    def word(w: Column) -> Column:
+    def word(w: Column, i: Column) -> Column:
         cyrillic = w.rlike(r"^\p{IsCyrillic}")
+        given = (i == 0) & F.contains(entity, F.lit(" "))
+        woman = F.when(given & (gender != "n"), gender == "f").otherwise(w.rlike(FEMININE))
         seed = F.sha2(F.concat(F.lit(f"{key}:name:"), attempt.cast("string"), F.lit(":"), w).cast("binary"), 256)
 
-        def made(script: str, feminine: str, masculine: str) -> Column:
+        def made(script: str) -> Column:
             pool = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-            part = lambda i: F.element_at(pool, F.pmod(_hash(key, seed, i), F.lit(len(SYLLABLES[script]))).cast("int") + 1)
-            parts = F.array_join(F.transform(F.sequence(F.lit(0), (F.lit(2) + F.floor(attempt / 3)).cast("int")), part), "")
-            return F.initcap(F.concat(parts, F.when(w.rlike(FEMININE), F.lit(feminine)).otherwise(F.lit(masculine))))
+            part = lambda k: F.element_at(pool, F.pmod(_hash(key, seed, k), F.lit(len(SYLLABLES[script]))).cast("int") + 1)
+            return F.array_join(F.transform(F.sequence(F.lit(0), (F.lit(2) + F.floor(attempt / 3)).cast("int")), part), "")
 
-        return F.when(cyrillic, made("Cyrillic", "на", "рон")).otherwise(made("Latin", "na", "ron"))
+        latin = F.concat(made("Latin"), F.when(~given, F.lit("ler")).when(woman, F.lit("na")).otherwise(F.lit("ron")))
+        other = F.concat(made("Cyrillic"), F.when(~given & woman, F.lit("ина")).when(~given, F.lit("ин")).when(woman, F.lit("на")).otherwise(F.lit("рон")))
+        return F.initcap(F.when(cyrillic, other).otherwise(latin))
 
     return F.array_join(F.transform(F.split(entity, " "), word), " ")
 
@@ -170,8 +189,8 @@ def _longer(entity: Column, key: str, attempt: Column) -> Column:
     return F.when(attempt < LONGER_FROM, F.lit("")).otherwise(F.substring(more, F.lit(1), (attempt - LONGER_FROM + 1) * 3))
 
 
-def surrogate(entity: Column, key: str, attempt: Column) -> Column:
-    """The stand-in of an entity: of its kind, its script and, but for names, mail domains and exhausted formats, its length and punctuation."""
+def surrogate(entity: Column, key: str, attempt: Column, gender: Column) -> Column:
+    """The stand-in of an entity: of its kind, its script, its gender and, but for names, mail domains and exhausted formats, its length and punctuation."""
 
     def of(kind: Column) -> Column:
         code = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})\b", 1))).otherwise(F.lit(0))
@@ -182,7 +201,7 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
             .when(kind == "phone", _let(code, lambda n: _digits(entity, n, key, "phone", attempt)))
             .when(kind == "ssn", _digits(entity, F.lit(0), key, "ssn", attempt))
             .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), _letters(F.substring(entity, F.lit(5), F.length(entity)), key, attempt, "access")))
-            .when(kind == "name", _name(entity, key, attempt))
+            .when(kind == "name", _name(entity, key, attempt, gender))
             .when(entity.rlike("^[0-9a-f]+$"), _hex(entity, key, attempt))
             .when(entity.rlike("^[0-9A-F]+$"), F.upper(_hex(entity, key, attempt)))
             .otherwise(_letters(entity, key, attempt, "secret"))
@@ -193,61 +212,95 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
 
 
 def _attempts(entities: DataFrame, key: str) -> DataFrame:
-    """_e and _n: entities that need another attempt than 0, so that no two entities share a surrogate and none gets a surrogate
-    that occurs as an entity itself. entities: distinct values in _e. Who clashes goes on to its next attempt; as later ones are
-    longer, the search ends even if all values of a format occur."""
-    made = durable(entities.select("_e", F.lit(0).alias("_n"), surrogate(F.col("_e"), key, F.lit(0)).alias("_s")))
+    """_e, _n and _g: entities that need another attempt than 0, so that no two entities share a surrogate and none gets a surrogate
+    that occurs as an entity itself; and names whose titles differ in what they tell, with the gender that is left. entities: _e
+    and _g, distinct. Who clashes goes on to its next attempt; as later ones are longer, the search ends even if all values of a
+    format occur."""
+    men, women = F.bool_or(F.col("_g") == "m"), F.bool_or(F.col("_g") == "f")
+    settled = entities.groupBy("_e").agg(F.when(men & ~women, "m").when(women & ~men, "f").otherwise("n").alias("_g"), (F.count("*") > 1).alias("_differ"))
+    made = durable(settled.select("_e", "_g", "_differ", F.lit(0).alias("_n"), surrogate(F.col("_e"), key, F.lit(0), F.col("_g")).alias("_s")))
+    known = made.select(F.col("_e").alias("_s"))
     while True:
         shared = made.groupBy("_s").agg(F.count("*").alias("n"), F.min(F.struct("_n", "_e"))["_e"].alias("_first")).where("n > 1").select("_s", "_first")
-        clash = made.join(shared, "_s").where("_e <> _first").select("_e", "_n").union(made.join(entities.select(F.col("_e").alias("_s")), "_s").select("_e", "_n")).distinct()
-        moved = clash.select("_e", (F.col("_n") + 1).alias("_n"))
-        moved = durable(moved.select("_e", "_n", surrogate(F.col("_e"), key, F.col("_n")).alias("_s")))
+        columns = ["_e", "_g", "_differ", "_n"]
+        clash = made.join(shared, "_s").where("_e <> _first").select(columns).union(made.join(known, "_s").select(columns)).distinct()
+        moved = clash.withColumn("_n", F.col("_n") + 1)
+        moved = durable(moved.withColumn("_s", surrogate(F.col("_e"), key, F.col("_n"), F.col("_g"))))
         if moved.isEmpty():
-            return made.where("_n > 0").select("_e", "_n")
+            return made.where("_n > 0 or _differ").select("_e", "_n", "_g")
         made = durable(made.join(moved.select("_e"), "_e", "left_anti").unionByName(moved))
 
 
-def _literal(exceptions: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in sorted(exceptions.items()) for x in pair])
+def _literal(exceptions: dict[str, tuple[int, str]]) -> Column:
+    """A map from entities to struct(n, g)."""
+    return F.create_map(*[x for e, (n, g) in sorted(exceptions.items()) for x in (F.lit(e), F.struct(F.lit(n).alias("n"), F.lit(g).alias("g")))])
 
 
 def _with_attempts(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """rows with _attempts, a map from those of their entities in _found that need another attempt than 0; null if none does."""
-    rows = rows.withColumn("_set", F.array_distinct("_found"))
+    """rows with _attempts, a map from those of their entities in _found that are in again; null if none is."""
+    rows = rows.withColumn("_set", F.array_distinct(F.transform("_found", _bare)))
     some = rows.where(F.size("_set") > 0)
     sets = some.select("_set").distinct().select("_set", F.explode("_set").alias("_e")).join(again, "_e")
-    maps = sets.groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("_e", "_n"))).alias("_attempts"))
-    without = rows.where(F.size("_set") == 0).withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+    maps = sets.groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("_e", F.struct(F.col("_n").alias("n"), F.col("_g").alias("g"))))).alias("_attempts"))
+    without = rows.where(F.size("_set") == 0).withColumn("_attempts", F.lit(None).cast("map<string,struct<n:int,g:string>>"))
     return some.join(maps, "_set", "left").select(*without.columns).union(without)
 
 
-def replace_entities(docs: DataFrame, key: str = "threadline", text: str = "text") -> DataFrame:
+def _again(gap: Column, names: Column) -> Column:
+    """A text between entities, as struct(text, n): the words of the document's names in it, n of them, get their stand-ins.
+    names: structs of word and new."""
+    words = F.transform(names, lambda x: x["word"])
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    found = F.regexp_extract_all(gap, pattern, F.lit(0))
+    new = F.transform(found, lambda w: F.element_at(names, F.array_position(words, w).cast("int"))["new"])
+    put = F.array_join(F.flatten(F.zip_with(F.split(gap, pattern, -1), F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
+    return F.when(F.size(names) > 0, F.struct(put.alias("text"), F.size(found).alias("n"))).otherwise(F.struct(gap.alias("text"), F.lit(0).alias("n")))
+
+
+def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with their text rewritten, n_entities (occurrences) and kinds (the kinds found, sorted).
 
     Emails, access keys, passwords, tokens, IPv4 addresses, phone and card numbers, US social security numbers and names after
-    a title are replaced. One entity has one surrogate in all documents, and no two entities share one: digits are permuted
-    within their format by a keyed permutation, other surrogates are hashed, and the surrogates of all distinct entities are
-    checked against each other and against the entities themselves; who clashes tries again. Null stays null, and texts
-    without entities stay as they are. Every row counts by itself; an empty table gives an empty result. Columns named
+    a title are replaced; so are the words of such a name wherever they stand in the same document. One entity has one
+    surrogate in all documents, and no two entities share one: digits are permuted within their format by a keyed permutation,
+    other surrogates are hashed with the key, and the surrogates of all distinct entities are checked against each other and
+    against the entities themselves; who clashes tries again. Who has the key can undo the permutation, so there is no default
+    one. A title decides the gender of a given name; where titles of one name differ, the one that tells does. Null stays null,
+    and texts without entities stay as they are. Every row counts by itself; an empty table gives an empty result. Columns named
     n_entities or kinds are replaced, all others pass through.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     docs = docs.drop("n_entities", "kinds")
     none = F.array().cast("array<string>")
     found = F.when(_may_hold(), F.regexp_extract_all(F.col("_text"), F.lit(_any()), F.lit(0))).otherwise(none)
-    entities = durable(docs.select(F.col(text).alias("_text")).select(F.explode(F.array_distinct(found)).alias("_e")).distinct())
+    matches = docs.select(F.col(text).alias("_text")).select(F.explode(F.array_distinct(found)).alias("_m"))
+    entities = durable(matches.select(_bare(F.col("_m")).alias("_e"), _gender(F.col("_m")).alias("_g")).distinct())
     entities = durable(entities.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, entities.rdd.getNumPartitions()), "_e"))
-    again = _attempts(entities, key)
+    again = durable(_attempts(entities, key))
     few = again.limit(MOST_EXCEPTIONS + 1).collect()
     rows = docs.select(F.struct("*").alias("_kept"), F.col(text).alias("_text")).withColumn("_found", found)
+    tried = None
     if len(few) > MOST_EXCEPTIONS:
         rows, tried = _with_attempts(rows, again), F.col("_attempts")
-    else:
-        tried = _literal({r["_e"]: r["_n"] for r in few}) if few else None
-    attempt = lambda e: F.lit(0) if tried is None else F.coalesce(F.element_at(tried, e), F.lit(0))
-    new = F.transform("_found", lambda e: surrogate(e, key, attempt(e)))
-    gaps = F.split(F.col("_text"), _any(), -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
+    elif few:
+        tried = _literal({r["_e"]: (r["_n"], r["_g"]) for r in few})
+
+    def parsed(m: Column) -> Column:
+        """struct(m, e, new): a match, its entity and the entity's stand-in."""
+        first = F.struct(F.lit(0).alias("n"), _gender(m).alias("g"))
+        made = lambda e: _let(first if tried is None else F.coalesce(F.element_at(tried, e), first), lambda t: surrogate(e, key, t["n"], t["g"]))
+        return _let(_bare(m), lambda e: F.struct(m.alias("m"), e.alias("e"), made(e).alias("new")))
+
+    rows = rows.withColumn("_parsed", F.transform("_found", parsed))
+    pairs = lambda x: F.zip_with(F.split(x["e"], " "), F.split(x["new"], " "), lambda w, n: F.struct(w.alias("word"), n.alias("new")))
+    named = F.flatten(F.transform(F.filter("_parsed", lambda x: x["m"] != x["e"]), pairs))
+    rows = rows.withColumn("_names", F.filter(named, lambda x: F.length(x["word"]) >= 3))
+    rows = rows.withColumn("_gaps", F.transform(F.split(F.col("_text"), _any(), -1), lambda g: _again(g, F.col("_names"))))
+    new = F.transform("_parsed", lambda x: F.concat(F.substring(x["m"], F.lit(1), F.length(x["m"]) - F.length(x["e"])), x["new"]))
+    whole = F.array_join(F.flatten(F.zip_with("_gaps", F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g["text"], s))), "")
+    count = F.size("_found") + F.aggregate("_gaps", F.lit(0), lambda n, g: n + g["n"])
     rows = rows.withColumn("_new", F.when(F.size("_found") > 0, whole).otherwise(F.col("_text")))
-    kinds = F.array_sort(F.array_distinct(F.transform("_found", kind_of)))
+    kinds = F.array_sort(F.array_distinct(F.transform("_parsed", lambda x: kind_of(x["e"]))))
     kept = [F.col("_new").alias(c) if c == text else F.col(f"_kept.`{c}`") for c in docs.columns]
-    return rows.select(*kept, F.size("_found").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    return rows.select(*kept, F.when(F.size("_found") > 0, count).otherwise(0).cast("long").alias("n_entities"), kinds.alias("kinds"))
