@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadline.durable import small_batches
 from threadline.llm.ordering import shuffle_key
 from threadline.llm.textbytes import chunks, text_bytes
 
-#: The training sample: documents of each language, the longest of them in bytes, and symbols of each language.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_SYMBOLS = 200, 20_000, 30_000
+#: The training sample: documents of each language and of all together, characters of a document (a random window of longer
+#: ones), symbols of each language, and languages (those with the most documents).
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS, SAMPLE_SYMBOLS, MOST_LANGUAGES = 200, 20_000, 10_000, 30_000, 1000
 #: Symbols of all languages together, which bounds the automata to about 400 bytes each; with many languages each gets less.
 ALL_SYMBOLS = 600_000
 LANE = 256
@@ -91,22 +93,42 @@ def completed(automaton: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, seed: int = 7) -> Model:
-    """From labelled rows (doc_id, text, lang): all languages, each learned from a bounded random sample of its documents."""
-    usable = labelled.where("lang is not null and text is not null and octet_length(text) <= %d" % SAMPLE_DOC_BYTES)
-    order = Window.partitionBy("lang").orderBy("_key", "doc_id")
-    chosen = usable.select("doc_id", "lang", shuffle_key(seed, "doc_id").alias("_key")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_DOCS)
-    texts = usable.join(F.broadcast(chosen.select("doc_id", "lang", "_key")), ["doc_id", "lang"]).select("lang", "_key", "text")
-    rows = sorted(texts.collect())
+    """From labelled rows (doc_id, text, lang): all languages, each learned from a bounded random sample of its documents.
+
+    Rows without a text or a language teach nothing. Rows that repeat both id and text count once, so that one document can't
+    fill the sample; a null id is an id like others. Of long documents a random window is taken. An empty table gives a model
+    without languages, which leaves every text undecided.
+    """
+    usable = labelled.where("lang is not null and text is not null")
+    usable = usable.select("lang", "text", F.md5(F.concat(shuffle_key(seed, "doc_id"), F.xxhash64("text").cast("string")).cast("binary")).alias("_key"))
+    known = [r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    if not known:
+        return build({})
+    usable = usable.where(F.col("lang").isin(known))
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(known)))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))
+    chosen = usable.groupBy("lang", "_key").agg(F.lit(1).alias("_one")).withColumn("_n", first).where(F.col("_n") <= each).select("lang", "_key")
+    start = F.pmod(F.xxhash64("_key"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    texts = usable.join(F.broadcast(chosen), ["lang", "_key"]).select("lang", "_key", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     by_language: dict[str, list[bytes]] = {}
-    for r in rows:
+    for r in sorted(texts.groupBy("lang", "_key").agg(F.min("text").alias("text")).collect()):
         by_language.setdefault(r["lang"], []).append(r["text"].encode())
-    return build({k: b"\n".join(v[:SAMPLE_DOCS]) for k, v in by_language.items()})
+    return build(by_language)
 
 
-def build(texts: dict[str, bytes]) -> Model:
-    """A model from each language's text."""
+def _shares(sizes: list[int], budget: int) -> list[int]:
+    """What each of some documents gives to a budget: equal shares, where short ones give all they have."""
+    out, left = [0] * len(sizes), budget
+    for done, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - done))
+        left -= out[i]
+    return out
+
+
+def build(texts: dict[str, list[bytes]]) -> Model:
+    """A model from each language's texts, of which each gives an equal share of the symbols."""
     most = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(texts)))
-    seen = np.unique(np.frombuffer(b"".join(texts.values()), np.uint8))
+    seen = np.unique(np.frombuffer(b"".join(t for ts in texts.values() for t in ts), np.uint8))
     symbol = np.zeros(256, np.uint8)
     symbol[97:123] = np.arange(1, 27)
     symbol[65:91] = np.arange(1, 27)
@@ -116,8 +138,8 @@ def build(texts: dict[str, bytes]) -> Model:
     alphabet = 28 + len(high)
     tables, lengths = [], []
     for lang in sorted(texts):
-        s, _ = symbols(np.frombuffer(texts[lang], np.uint8), np.array([0, len(texts[lang])]), symbol)
-        s = s[:most]
+        parts = [symbols(np.frombuffer(t + b"\n", np.uint8), np.array([0, len(t) + 1]), symbol)[0] for t in texts[lang]]
+        s = np.concatenate([p[:n] for p, n in zip(parts, _shares([len(p) for p in parts], most), strict=True)])
         tables.append(completed(suffix_automaton(s, alphabet)))
         lengths.append(max(2, len(s)))
     return Model(sorted(texts), symbol, tables, lengths)
@@ -161,6 +183,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     score: by how much of the second's phrases the winner needs fewer (1 if there is but one language). Texts that are null or
     have no letter are `und` with score 0. Columns of these two names are replaced, all others pass through. Every row is judged by itself; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(column: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -187,6 +210,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select("*", letter).mapInArrow(run, schema)
 
 
+def keep_languages(docs: DataFrame, model: Model, wanted: list[str] | None = None) -> DataFrame:
+    """docs in one of the wanted languages, or in any that the model knows; undecided texts go. Columns stay as they are, whatever
+    their names. Every row is judged by itself; an empty table gives an empty result."""
+    ok = F.col("lang_pred") != UNDECIDED if wanted is None else F.col("lang_pred").isin(wanted)
+    if not {"lang_pred", "score", "_letters"} & set(docs.columns):
+        return identify(docs, model).where(ok).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = identify(docs.select(F.struct("*").alias("_kept"), F.col("text").alias("_text")), model, "_text")
+    return judged.where(ok).select("_kept.*")
+
+
 def held_out(id_column: str = "doc_id") -> Column:
-    """Documents that are never learned from."""
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0
+    """Documents that are never learned from; among them those without an id."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
