@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadline.durable import durable
+from threadline.durable import durable, small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A block is 8 words of 64 bits, a cache line; each URL sets 8 bits of one block.
@@ -16,8 +16,8 @@ BLOCK_WORDS = 8
 BITS_PER_URL = 16
 #: The filter never takes more; a longer list only passes more URLs to the exact join.
 MAX_FILTER_BYTES = 32 << 20
-#: A list of at most so many URLs is broadcast to the join; a longer one is shuffled.
-BROADCAST_URLS = 100_000
+#: A list of at most so many bytes of URLs is broadcast to the join; a longer one is shuffled, with the possible hits only.
+BROADCAST_BYTES = 8 << 20
 #: Query parameters that don't tell pages apart.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid)"
 
@@ -98,20 +98,21 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = ()
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest wins, and its verdict holds.
     Without a rule, listed urls are blocked and all others allowed. URLs that the Bloom filter passes are joined with the list
-    itself; the others can't be listed and skip the join. A url that is null or without :// is never listed. Repeated rows are judged each by
+    itself; the others can't be listed and never meet the join. A url that is null or without :// is never listed. Repeated rows are judged each by
     itself; an empty list blocks nothing. Columns of the five names are replaced, all others pass through.
     """
     spark, pages = pages.sparkSession, pages.drop("host", "path", "rule", "listed", "verdict")
+    small_batches(spark)
     wanted = durable(listed.select(canonical_url(listed_url).alias("_u")).where("_u is not null").distinct())
-    exact = wanted.select(F.col("_u").alias("_key"), F.lit(True).alias("listed"))
-    exact = F.broadcast(exact) if wanted.count() <= BROADCAST_URLS else exact
+    size = wanted.agg(F.sum(F.octet_length("_u"))).first()[0] or 0
     blocks, words = bloom_blocks(wanted, "_u")
     host, path = split_url(url)
-    rows = pages.select(F.struct("*").alias("_kept"), F.col(url).alias("_url"), host.alias("_host"), path.alias("_path"), canonical_url(url).alias("_c"))
+    rows = pages.select(F.struct("*").alias("_kept"), host.alias("_host"), path.alias("_path"), canonical_url(url).alias("_c"))
     rows = rows.withColumn("_r", rule_of(F.col("_host"), F.col("_path"), rules))
-    possible = F.col("_c").isNotNull() & in_bloom(blocks, words, spark)(F.xxhash64(F.col("_c")), F.xxhash64(F.col("_c"), F.lit(1)))
-    # only possible hits keep a join key; the rest get keys that no listed url has, spread over all tasks
-    rows = rows.withColumn("_key", F.when(possible, F.col("_c")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("_url").cast("string"))))
-    rows = rows.join(exact, "_key", "left").withColumn("_listed", F.coalesce("listed", F.lit(False)))
+    rows = rows.withColumn("_may", F.col("_c").isNotNull() & in_bloom(blocks, words, spark)(F.xxhash64(F.col("_c")), F.xxhash64(F.col("_c"), F.lit(1))))
+    other = rows.where("not _may").select("_kept", "_host", "_path", "_r", F.lit(False).alias("_listed"))
+    exact = wanted.select(F.col("_u").alias("_c"), F.lit(True).alias("_hit"))
+    possible = rows.where("_may").join(F.broadcast(exact) if size <= BROADCAST_BYTES else exact, "_c", "left")
+    rows = other.union(possible.select("_kept", "_host", "_path", "_r", F.coalesce("_hit", F.lit(False)).alias("_listed")))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("_listed"), "block").otherwise("allow"))
     return rows.select("_kept.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_r.rule").alias("rule"), F.col("_listed").alias("listed"), verdict.alias("verdict"))
