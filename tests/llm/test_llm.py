@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadline.llm import decontamination, langid, licenses, mixing, neardup, qualityrules, sharding, suffixindex, surrogates, urlfilter
+from threadline.llm import decontamination, langid, licenses, mixing, neardup, qualityrules, sharding, surrogates, urlfilter
 from threadline.llm.components import components, joined
 
+KEY = "a key of the tests"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _kept string"
 PLAIN = "the river carries small boats past quiet villages and old stone bridges every single morning before the market opens for trade in town"
 
@@ -81,9 +82,9 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_decontamination(spark, odd, empty, monkeypatch, limit):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", limit)
+@pytest.mark.parametrize("words", [1 << 20, 1 << 10])
+def test_decontamination(spark, odd, empty, monkeypatch, words):
+    monkeypatch.setattr(decontamination, "SCREEN_WORDS", words)
     items = [(1, PLAIN), (10, "Small BOATS!"), (2, ""), (3, None), (4, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, [PLAIN + " more", "small boats. Small, boats", None, "nothing here", "x " + PLAIN.upper()])
@@ -141,32 +142,6 @@ def test_quality_of_odd_rows(odd, empty):
     assert qualityrules.judge(empty).count() == 0
 
 
-def test_suffix_dedup(spark, odd, empty):
-    random = np.random.default_rng(5)
-    base = ["".join(random.choice(list("abcdeé "), 400)) for _ in range(6)]
-    texts = [base[i % 6][a:b] + base[(i + 1) % 6][:c] for i, (a, b, c) in enumerate(random.integers(0, 400, (40, 3)))] + [base[0], base[0], "", "short"]
-    first, want = {}, {}
-    for i, t in enumerate(texts):
-        raw, mask = t.encode(), bytearray(len(t.encode()))
-        for j in range(len(raw) - 49):
-            k = raw[j : j + 50]
-            if first.setdefault(k, i) < i:
-                mask[j : j + 50] = b"\1" * 50
-        kept = bytes(c for c, m in zip(raw, mask, strict=True) if not m)
-        want[i] = (len(raw), sum(mask), len(re.findall(rb"\x01+", bytes(mask))), hashlib.sha256(kept).hexdigest())
-    got = suffixindex.remove_repeats(documents(spark, texts)).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got} == want
-    assert suffixindex.remove_repeats(odd).count() == 8 and suffixindex.remove_repeats(empty).count() == 0
-
-
-def test_levels_halve():
-    family = suffixindex.Family()
-    for i in range(20):
-        family.add(np.arange(i * 10, i * 10 + 15, dtype=np.uint64), np.full(15, i))
-    sizes = [len(k) for k, _ in family.levels]
-    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-
-
 def test_near_duplicates(spark, odd, empty):
     random = np.random.default_rng(3)
     words = ["w%d" % i for i in range(500)]
@@ -224,7 +199,7 @@ def test_components_of_random_graphs(spark, seed):
 
 
 def test_language_model_survives_packing():
-    model = langid.build({"x": b"one two three one two", "y": "zw\u00f6lf elf zehn".encode()})
+    model = langid.build({"x": [b"one two three one two"], "y": ["zw\u00f6lf elf zehn".encode(), b"drei"]})
     again = pickle.loads(pickle.dumps(model))
     assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True)) and len(pickle.dumps(model)) < sum(t.nbytes for t in model.tables)
 
@@ -270,7 +245,7 @@ def test_no_known_sentence_is_screened_out(spark):
 
 def test_surrogates(spark, odd, empty):
     texts = ["mail a.b7@mail3.example.com from 10.20.30.40 or +1 (988) 555-2485, card 4539578763621486", "a.b7@mail3.example.com again, Mrs. Anna Berg", None, PLAIN]
-    got = {r["doc_id"]: r for r in surrogates.replace_entities(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(documents(spark, texts), KEY).collect()}
     new = got[0]["text"]
     for e in ("a.b7@", "10.20.30.40", "988", "4539578763621486", "Anna"):
         assert e not in new + got[1]["text"]
@@ -280,23 +255,131 @@ def test_surrogates(spark, odd, empty):
     assert sum(sum(divmod(int(c) * 2, 10)) if i % 2 == 0 else int(c) for i, c in enumerate(card)) % 10 == 0
     assert got[2]["text"] is None and got[3]["text"] == PLAIN and got[3]["n_entities"] == 0
     ips = spark.range(3000).select(F.concat_ws(".", F.lit("9"), F.lit("8"), (F.col("id") / 250).cast("int").cast("string"), (F.col("id") % 250).cast("string")).alias("text"))
-    assert surrogates.replace_entities(ips).select("text").distinct().count() == 3000
-    assert surrogates.replace_entities(odd).columns == [*odd.columns, "n_entities", "kinds"] and surrogates.replace_entities(empty).count() == 0
+    assert surrogates.replace_entities(ips, KEY).select("text").distinct().count() == 3000
+    assert surrogates.replace_entities(odd, KEY).columns == [*odd.columns, "n_entities", "kinds"] and surrogates.replace_entities(empty, KEY).count() == 0
 
 
 def test_surrogates_of_exhausted_formats(spark, monkeypatch):
     values = [str(i) for i in range(10)] + [f"{i:02}" for i in range(100)]
     texts = [f"password={v}" for v in values] + ["password=3 password=x7y", "none", None]
-    few = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts)).collect()}
+    few = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts), KEY).collect()}
     new = [few[i].removeprefix("password=") for i in range(len(values))]
     assert len(set(new)) == len(values) and not set(new) & set(values)
     assert few[110].startswith(few[3] + " password=") and few[111] == "none" and few[112] is None
     monkeypatch.setattr(surrogates, "MOST_EXCEPTIONS", 3)
-    assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts)).collect()} == few
+    assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts), KEY).collect()} == few
 
 
 def test_secrets_in_any_case(spark):
     texts = ['TOKEN = "9233A8EC00B1"', 'Token = "9233a8ec00b1"', "PASSWORD=Xy7pq", 'token = "9233A8EC00B1"']
-    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts), KEY).collect()}
     assert re.fullmatch(r'TOKEN = "[0-9A-F]{12}"', got[0]) and re.fullmatch(r'Token = "[0-9a-f]{12}"', got[1]) and re.fullmatch(r"PASSWORD=[A-Z][a-z]\d[a-z]{2}", got[2])
     assert all(got[i] != t for i, t in enumerate(texts)) and got[3] == got[0].replace("TOKEN", "token")
+
+
+def test_titles_decide_gender_and_later_mentions_follow(spark):
+    texts = [
+        "Mr. George Blake met Mrs. Ann Martin. Later George Blake left, and Blake paid; Annual talks went on with Martin.",
+        "Dr. George Blake wrote to Herr Blake.",
+        "Frau Robin Stone, г-жа Анна Иванова и г-н Петр Иванов. Иванов ушел.",
+        "Blake without a title stays.",
+    ]
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(documents(spark, texts), KEY).collect()}
+    first = re.fullmatch(r"Mr\. (\w+ron) (\w+) met Mrs\. (\w+na) (\w+)\. Later (\w+) (\w+) left, and (\w+) paid; Annual talks went on with (\w+)\.", got[0]["text"])
+    george, blake, ann, martin = first.groups()[:4]
+    assert first.groups()[4:] == (george, blake, blake, martin) and len({george, blake, ann, martin}) == 4
+    assert got[1]["text"] == f"Dr. {george} {blake} wrote to Herr {blake}."
+    assert re.fullmatch(r"Frau \w+na \w+, г-жа \w+на \w+ина и г-н \w+рон (\w+ин)\. \1 ушел\.", got[2]["text"])
+    assert got[3]["text"] == texts[3] and got[0]["n_entities"] == 6 and got[0]["kinds"] == ["name"]
+    other = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts), "another key").collect()}
+    assert george not in other[0] and blake not in other[0]
+    with pytest.raises(ValueError):
+        surrogates.replace_entities(documents(spark, texts), "")
+
+
+HEADERS = {
+    "GPL-3.0-or-later": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+}
+
+
+def test_headers_as_they_are_written(spark):
+    df = documents(spark, list(HEADERS.values())).withColumn("licenses", F.lit("x"))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: [name] for i, name in enumerate(HEADERS)}
+    assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES) and {s for r in licenses.RULES for s in r.sentences} <= set(licenses.SENTENCES)
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_urls_of_odd_tables(spark, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "BROADCAST_BYTES", most)
+    urls = ["http://a.org/x", "http://a.org/x", None, "", "no url", "http://b.org/y?utm_source=z", "HTTP://B.org/y/", "http://c.org/" + "p" * 100_000, "://", "http://"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h"), (None, urls[0], None)], "page_id int, url string, host string").withColumns({c: F.lit(3) for c in ("_c", "_kept", "verdict", "_hit", "_may")})
+    listed = spark.createDataFrame([("https://www.a.org/x/",), ("http://b.org/y",), (None,), ("http://a.org/x",), ("x",)], "url string")
+    got = urlfilter.judge_urls(pages, listed)
+    assert got.columns == ["page_id", "url", "_c", "_kept", "_hit", "_may", "host", "path", "rule", "listed", "verdict"]
+    rows = collections.Counter((r["page_id"], r["host"], r["verdict"]) for r in got.collect())
+    want = {(0, "a.org", "block"): 2, (1, "a.org", "block"): 1, (None, "a.org", "block"): 1, (2, "", "allow"): 1, (3, "", "allow"): 1, (4, "", "allow"): 1, (5, "b.org", "block"): 1, (6, "b.org", "block"): 1, (7, "c.org", "allow"): 1, (8, "", "allow"): 1, (9, "", "allow"): 1}
+    assert rows == want
+    assert urlfilter.judge_urls(pages.where("false"), listed).count() == 0
+
+
+def test_removed_spans(spark):
+    item = " ".join(f"w{i}" for i in range(13))
+    texts = ["Before, " + item.upper() + "! after", "nothing Here", None, item, "w0 w1 " + item + " w2"]
+    df = documents(spark, texts).withColumn("_hits", F.lit("x"))
+    got = decontamination.remove_spans(df, spark.createDataFrame([(1, item)], "item_id int, text string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {0: "before after", 1: "nothing Here", 2: None, 3: "", 4: "w0 w1 w2"} and got.columns == df.columns
+
+
+def test_no_window_slips_through_the_screen(spark):
+    """Windows of every length at every place of a document."""
+    random = np.random.default_rng(0)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 6))
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(1, 18)]
+    texts = [" ".join([word() for _ in range(at)] + items[n - 1][1].split()[:13] + [word() for _ in range(5)]) for n in range(1, 18) for at in range(0, 15)]
+    rows = decontamination.contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), ["doc_id", "text"]).select("*", decontamination.words_hit(F.col("_hits")).alias("n")).collect()
+    for r in rows:
+        assert (r["_n_words"], r["n"], r["_items"]) == brute_hits(r["text"], items)
+    assert len(rows) == len(texts) and all(r["n"] for r in rows)
+
+
+def test_training_on_repeated_and_null_ids(spark):
+    sets = {"xx": "ka ki ko ku sa si so".split(), "yy": "ber gar dol fum hin".split()}
+    random = np.random.default_rng(5)
+    text = lambda lang: " ".join("".join(random.choice(sets[lang], 3)) for _ in range(30))
+    one = text("xx")
+    rows = [(7, one, "xx")] * 300 + [(7, text("xx"), "xx") for _ in range(20)] + [(None, text("yy"), "yy") for _ in range(50)] + [(1, None, "xx"), (2, text("xx"), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    per_text = len(langid.symbols(np.frombuffer(one.encode() + b"\n", np.uint8), np.array([0, len(one) + 1]), model.symbol)[0])
+    assert model.languages == ["xx", "yy"] and model.lengths[0] <= 21 * 1.2 * per_text  # the repeated text counts once
+    assert [r["lang_pred"] for r in langid.identify(df.where("text is not null"), model).collect()] == ["xx"] * 320 + ["yy"] * 50 + ["xx"]
+    assert [tuple(t.tolist()) for t in langid.train(df.repartition(5)).tables] == [tuple(t.tolist()) for t in model.tables]
+
+
+def test_long_documents_teach_a_window(spark, monkeypatch):
+    rows = [(1, "ka ki ko " * 50_000, "xx"), (2, "ber gar dol " * 10, "yy")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["xx", "yy"] and 1000 < model.lengths[0] <= langid.SAMPLE_CHARS + 1
+    assert langid._shares([5, 100, 100], 65) == [5, 30, 30] and langid._shares([1, 2], 10) == [1, 2]
+
+
+def test_languages_of_many_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, f"word{i} text", f"l{i % 5}") for i in range(23)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["l0", "l1", "l2"]
+
+
+def test_clashing_names(spark):
+    df = documents(spark, [PLAIN, "mail a@b.example.com"]).withColumns({c: F.lit("x") for c in ("_text", "_found", "_gaps", "n_entities", "lang_pred", "_letters", "sentence_ids", "_source", "_t0", "_f")})
+    assert surrogates.replace_entities(df, KEY).count() == 2 and licenses.scan_licenses(df).count() == 2
+    assert sharding.assign_shards(df, 2).columns == [*df.columns, "shard", "slot"] and langid.keep_languages(df, langid.build({"x": [b"ab"]})).columns == df.columns
+    assert mixing.mix_sources(df, [1.0]).columns == df.columns
