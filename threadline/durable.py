@@ -33,11 +33,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like durable(), as a Parquet table in the shared folder: smaller, for wide or many rows. The table goes when the driver ends."""
+    """Like durable(), as a Parquet table in the shared folder: smaller, for wide or many rows. The table goes when the driver ends.
+    Packed by zstd, as snappy's buffers outside the heap stay until the executor next collects its garbage."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
