@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threadline.durable import durable, written
+
 #: What separates words, once A-Z are lower-cased, and the window's length.
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Distinct windows that may be broadcast, at some 200 bytes each; beyond it the same join is made by shuffling.
-BROADCAST_WINDOWS = 1_000_000
-#: Bits of the screen for each window.
-SCREEN_BITS = 32
+#: The screen has a 64-bit word for each gram, and no more words than this, which bounds what goes to the tasks; beyond it the
+#: screen only lets more documents through.
+SCREEN_WORDS = 1 << 20
+#: Bits that a gram sets in its word of the screen.
+SCREEN_BITS = 4
 
 
 def words(text: Column) -> Column:
@@ -21,11 +24,17 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(low, NOT_A_WORD), ""), F.array().cast("array<string>"))
 
 
-def _window_hashes(hashes: Column, length: int) -> Column:
-    """Hashes of all runs of length words, in order, from the words' own hashes."""
-    n = F.size(hashes) - length + 1
-    one = lambda i: F.xxhash64(F.slice(hashes, i, length))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)).otherwise(F.array().cast("array<bigint>"))
+def _hashes(word_hashes: Column, length: int, step: int = 1) -> Column:
+    """Hashes of the runs of length words that begin at the first word and every step words on, from the words' own hashes."""
+    n = F.size(word_hashes) - length + 1
+    one = lambda i: F.xxhash64(F.slice(word_hashes, i, length))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(step)), one)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _gram(length: int) -> tuple[int, int]:
+    """(words, step): every window of length words holds a whole run of so many words that begins at a multiple of step."""
+    words = (length + 1) // 2
+    return words, length - words + 1
 
 
 def benchmark_windows(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -41,64 +50,82 @@ def benchmark_windows(benchmark: DataFrame, text: str = "text", item: str = "ite
     return rows.groupBy("_length", F.array_join("_w", " ").alias("_words"), "_hash").agg(F.collect_set("_item").alias("_items"))
 
 
-def _screen(windows: DataFrame, count: int) -> tuple[int, str]:
-    """A bitmap with the low bits of every window's hash, as the text of a literal array of longs, and its bits."""
-    bits = 1 << max(10, (count * SCREEN_BITS).bit_length())
-    cell = f"(_hash & {bits - 1}L)"
-    rows = windows.select(F.expr(f"shiftright({cell}, 6)").alias("cell"), F.expr(f"shiftleft(1L, cast({cell} & 63 as int))").alias("bit"))
-    marks = {r["cell"]: r["bits"] for r in rows.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()}
-    return bits, ",".join(str(marks.get(i, 0)) for i in range(bits // 64))
+def _screen(windows: DataFrame, lengths: list[int]) -> tuple[int, str]:
+    """A blocked Bloom filter of the grams of all windows: its words, as the text of a literal array of longs, and their number."""
+    grams = None
+    for length in lengths:
+        own = windows.where(F.col("_length") == length).select(F.explode(_hashes(F.transform(F.split("_words", " "), lambda w: F.xxhash64(w)), _gram(length)[0])).alias("h"))
+        grams = own if grams is None else grams.union(own)
+    grams = grams.distinct()
+    cells = 1 << min(SCREEN_WORDS.bit_length() - 1, max(10, grams.count().bit_length()))
+    marks = grams.select(F.col("h").bitwiseAND(F.lit(cells - 1).cast("long")).alias("cell"), _bits(F.col("h")).alias("bits")).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    found = {r["cell"]: r["bits"] for r in marks.collect()}
+    return cells, ",".join(str(found.get(i, 0)) for i in range(cells))
 
 
-def _positions(hashes: Column, length: int) -> Column:
-    return F.transform(_window_hashes(hashes, length), lambda h, i: F.struct((i + 1).alias("at"), F.lit(length).alias("length"), h.alias("hash")))
+def _bits(h: Column) -> Column:
+    """The bits of a hash in its word; the low bits of the hash choose the word."""
+    out = None
+    for i in range(SCREEN_BITS):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 20 + 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
 
 
-def _marked(screen: tuple[int, str], h: Column) -> Column:
-    """Whether the screen has a mark where this hash would put it."""
-    bits, marks = screen
+def _may_hit(screen: tuple[int, str], word_hashes: Column, lengths: list[int]) -> Column:
+    """Whether a document can hold a window: it must hold a gram of one at a multiple of the gram's step."""
+    cells, marks = screen
     bitmap = F.split(F.lit(marks), ",").cast("array<bigint>")
-    cell = h.bitwiseAND(F.lit(bits - 1).cast("long"))
-    return F.getbit(F.element_at(bitmap, F.shiftright(cell, 6).cast("int") + 1), cell.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+    marked = lambda h: F.element_at(bitmap, h.bitwiseAND(F.lit(cells - 1).cast("long")).cast("int") + 1).bitwiseAND(_bits(h)) == _bits(h)
+    out = F.lit(False)
+    for words_, step in sorted({_gram(length) for length in lengths}):
+        out = out | F.exists(_hashes(word_hashes, words_, step), marked)
+    return out
+
+
+def _places(word_hashes: Column, length: int) -> Column:
+    return F.transform(_hashes(word_hashes, length), lambda h, i: F.struct((i + 1).alias("at"), F.lit(length).alias("_length"), h.alias("_hash")))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, kept: Column, window: int) -> DataFrame:
+    """_kept (as given), _n_words, _hits and _items of each row of docs."""
+    windows = durable(benchmark_windows(benchmark, window=window))
+    lengths = sorted(r["_length"] for r in windows.select("_length").distinct().collect())
+    scan = docs.select(kept.alias("_kept"), F.col("text").alias("_text"), words(F.col("text")).alias("_w"))
+    none = [F.array().cast("array<struct<at:int,length:int>>").alias("_hits"), F.array().cast("array<string>").alias("_items")]
+    if not lengths:
+        return scan.select("_kept", F.size("_w").alias("_n_words"), *none)
+    # the partition's number keeps the filters below from being pushed under the hashes, which would be computed for each gram
+    scan = scan.select("*", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"), F.spark_partition_id().alias("_part"))
+    may = _may_hit(_screen(windows, lengths), F.col("_h"), lengths)
+    clean = scan.where(~may & (F.col("_part") >= 0)).select("_kept", F.size("_w").alias("_n_words"), *none)
+    rows = written(scan.where(may & (F.col("_part") >= 0)).select("_kept", "_w", F.md5(F.col("_text").cast("binary")).alias("_key")))
+    # copies of a text have the same hits, which are looked for once
+    texts = rows.groupBy("_key").agg(F.first("_w").alias("_w")).select("_key", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    hits = texts.select("_key", F.explode(F.concat(*[_places(F.col("_h"), n) for n in lengths])).alias("_p")).select("_key", "_p.*").join(windows, ["_hash", "_length"])
+    hits = hits.groupBy("_key").agg(F.collect_list(F.struct("at", F.col("_length").alias("length"), "_words", "_items")).alias("_found"))
+    same = F.filter(F.coalesce("_found", F.array()), lambda x: F.array_join(F.slice("_w", x["at"], x["length"]), " ") == x["_words"])
+    found = rows.join(hits, "_key", "left").withColumn("_found", same)
+    found = found.select(
+        "_kept",
+        F.size("_w").alias("_n_words"),
+        F.sort_array(F.transform("_found", lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length")))).alias("_hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda x: x["_items"])))).alias("_items"),
+    )
+    return clean.union(found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
     """The columns named in keep, and _n_words, _hits (position and length of the windows found, sorted) and _items (the ids
     of the items found, sorted as strings) of each row of docs.
 
-    Word windows of the document are hashed, screened by a bitmap, and the few left are joined with the windows' own words, so
-    that no hash collision counts. Bitmap and windows are broadcast while there are at most BROADCAST_WINDOWS; beyond, all
-    windows of documents go into a shuffled join. Null texts and texts without words have no hits. Each row is judged by
-    itself, repeated ids included; an empty benchmark gives no hits, an empty table no rows.
+    A screen rules out most documents: a Bloom filter of all runs of half a window's words, in which only every half window of a
+    document is looked up. What it lets through is a few per cent; there all windows are hashed and joined with the benchmark's
+    by hash, and hits are compared word by word, so that no collision counts. Spark broadcasts the windows if they are
+    small and shuffles otherwise; only texts that pass the screen are ever shuffled. Null texts and texts without words have no
+    hits. Each row is judged by itself, repeated ids and texts included; an empty benchmark gives no hits, an empty table no rows.
     """
-    windows = benchmark_windows(benchmark, window=window)
-    found = {r["_length"]: r["n"] for r in windows.groupBy("_length").agg(F.count("*").alias("n")).collect()}  # a row a length
-    small = sum(found.values()) <= BROADCAST_WINDOWS
-    scan = docs.select(F.struct(*keep).alias("_kept"), words(F.col("text")).alias("_w"), F.monotonically_increasing_id().alias("_row"))
-    scan = scan.select("_row", "_kept", "_w", F.size("_w").alias("_n_words"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    at = [F.array().cast("array<struct<at:int,length:int,hash:bigint>>")]
-    screen = _screen(windows, sum(found.values())) if small and found else None
-    for length in sorted(found):
-        one = _positions(F.col("_h"), length)
-        at.append(F.filter(one, lambda s: _marked(screen, s["hash"])) if screen else one)
-    pairs = scan.select("_row", "_kept", "_w", "_n_words", F.posexplode_outer(F.concat(*at)).alias("_i", "_p"))
-    pairs = pairs.select(
-        "_row",
-        F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_kept")).alias("_kept"),
-        "_n_words",
-        F.struct("_p.at", "_p.length").alias("_at"),
-        F.col("_p.length").alias("_length"),
-        F.col("_p.hash").alias("_hash"),
-        F.array_join(F.slice("_w", F.coalesce("_p.at", F.lit(1)), F.coalesce("_p.length", F.lit(0))), " ").alias("_words"),
-    )
-    joined = pairs.join(F.broadcast(windows) if small else windows, ["_hash", "_length", "_words"], "left")
-    per_row = joined.groupBy("_row").agg(
-        F.first("_kept", ignorenulls=True).alias("_kept"),
-        F.max("_n_words").alias("_n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("_items").isNotNull(), F.col("_at")))).alias("_hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_items"),
-    )
-    return per_row.select("_kept.*", "_n_words", "_hits", "_items")
+    return _judged(docs, benchmark, F.struct(*[F.col(f"`{c}`") for c in keep]), window).select("_kept.*", "_n_words", "_hits", "_items")
 
 
 def words_hit(hits: Column) -> Column:
@@ -117,13 +144,15 @@ def is_contaminated(n_words: Column, n_hit: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents of which a twentieth of the words or more lies in benchmark windows; columns as they are."""
-    judged = contamination(docs, benchmark, docs.columns, window)
-    return judged.where(~is_contaminated(F.col("_n_words").cast("long"), words_hit(F.col("_hits")))).select(*docs.columns)
+    judged = _judged(docs, benchmark, F.struct("*"), window)
+    return judged.where(~is_contaminated(F.col("_n_words").cast("long"), words_hit(F.col("_hits")))).select("_kept.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs whose text keeps only the normalised words outside the windows found, joined by a space; texts without hits stay as they are."""
-    judged = contamination(docs, benchmark, docs.columns, window)
+    """docs whose text keeps only the normalised words outside the windows found, joined by a space; texts without hits, null ones
+    among them, stay as they are. Other columns pass through."""
+    judged = _judged(docs, benchmark, F.struct("*"), window)
     inside = lambda i: F.exists("_hits", lambda h: (i + 1 >= h["at"]) & (i + 1 < h["at"] + h["length"]))
-    rest = F.array_join(F.filter(words(F.col("text")), lambda w, i: ~inside(i)), " ")
-    return judged.withColumn("text", F.when(F.size("_hits") > 0, rest).otherwise(F.col("text"))).select(*docs.columns)
+    rest = F.array_join(F.filter(words(F.col("_kept.text")), lambda w, i: ~inside(i)), " ")
+    text = F.when(F.size("_hits") > 0, rest).otherwise(F.col("_kept.text"))
+    return judged.select(*[text.alias(c) if c == "text" else F.col(f"_kept.`{c}`") for c in docs.columns])
