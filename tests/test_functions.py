@@ -136,13 +136,13 @@ def test_fast_scores_equal_the_columns(spark):
     words = "river rivers stone stones glitter under moonlight quiet old bridge bridges the and".split()
     text_ = lambda n: " ".join(random.choice(words, n))
     pairs = [(text_(int(random.integers(0, 6))), text_(int(random.integers(0, 25)))) for _ in range(80)] + [("", ""), ("river", "river"), ("a b", "")]
-    from threadline.functions.scores import fast_fragment, fast_ratio
+    from threadline.functions.scores import fast_direct, fast_fragment, fast_ratio
 
     q, t = F.col("q"), F.col("t")
     fragment = F.when(F.size(text.split_words(q)) >= 2, F.greatest(similarity.ratio(q, t), similarity.fragment_score(q, t))).otherwise(similarity.ratio(q, t))
-    rows = spark.createDataFrame(pairs, "q string, t string").select(similarity.ratio(q, t).alias("a"), fast_ratio("q", "t").alias("b"), fragment.alias("c"), fast_fragment("q", "t").alias("d"), similarity.partial_ratio(q, t).alias("p"), "q", "t")
+    rows = spark.createDataFrame(pairs, "q string, t string").select(similarity.ratio(q, t).alias("a"), fast_ratio("q", "t").alias("b"), fragment.alias("c"), fast_fragment("q", "t").alias("d"), similarity.direct_score(q, t).alias("e"), fast_direct("q", "t").alias("f"), similarity.partial_ratio(q, t).alias("p"), "q", "t")
     for r in rows.collect():
-        assert r["a"] == pytest.approx(r["b"]) and r["c"] == pytest.approx(r["d"]), (r["q"], r["t"])
+        assert r["a"] == pytest.approx(r["b"]) and r["c"] == pytest.approx(r["d"]) and r["e"] == pytest.approx(r["f"]), (r["q"], r["t"])
         assert distance.partial_ratios(r["q"], [r["t"]])[0] == pytest.approx(r["p"] if r["q"] and r["t"] else 0.0)
 
 

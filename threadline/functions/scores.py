@@ -43,6 +43,16 @@ def fast_fragment(text: pd.Series, row: pd.Series) -> pd.Series:
     return pd.Series(_with_fragments(text, row, base, np.array([len(t.split()) >= 2 for t in text], bool)))
 
 
+@F.pandas_udf(T.DoubleType())
+def fast_direct(text: pd.Series, row: pd.Series) -> pd.Series:
+    """What similarity.direct_score() gives."""
+    base = _base(text, row)
+    n, size = text.fillna("").str.len().to_numpy(), row.fillna("").str.len().to_numpy()
+    several = np.array([len(t.split()) >= 2 for t in text.fillna("")], bool)
+    wide = several & (((n >= 8) & ((base > 0.15) | (size > 3 * n))) | ((n >= 6) & (n < 8) & (base > 0.15)))
+    return pd.Series(np.where((n == 0) | (size == 0), 0.0, _with_fragments(text, row, base, wide)))
+
+
 class _Heard:
     """A query's evidence, and which of it each stem of rows is close to."""
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadline.durable import durable, small_batches
-from threadline.functions.scores import discovery_scores, fast_fragment, fast_ratio, span_scores
-from threadline.functions.similarity import continuation_bonus, direct_score, has_evidence, scoped_score
+from threadline.functions.scores import discovery_scores, fast_direct, fast_fragment, fast_ratio, span_scores
+from threadline.functions.similarity import continuation_bonus, has_evidence, scoped_score
 from threadline.functions.text import ARABIC, Profile, evidence_stems, normalize, split_words, stems
 from threadline.operators.corpus import spans, stem_index
 
@@ -124,7 +124,8 @@ def match_in_group(queries_: DataFrame, corpus: DataFrame, hint: str = "hint", l
         joined = joined.where(F.col("ordinal") >= F.coalesce(F.col(low), F.col("ordinal")))
     if high:
         joined = joined.where(F.col("ordinal") <= F.coalesce(F.col(high), F.col("ordinal")))
-    scored = joined.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), direct_score(F.col("text"), F.col("row_text")).alias("score"))
+    joined = joined.repartition("query_id", "group_id", "ordinal")
+    scored = joined.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), fast_direct("text", "row_text").alias("score"))
     return _ranked(scored).drop("rank")
 
 
