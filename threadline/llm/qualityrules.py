@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadline.durable import durable
-from threadline.llm.textbytes import ODD, Spans, chunks, mixed, runs, table, text_bytes
+from threadline.durable import durable, small_batches
+from threadline.llm.textbytes import ODD, chunks, mixed, runs, span_hashes, table, text_bytes
 
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = b"#*$%&|<>"
@@ -38,8 +38,7 @@ def count_features(batch: pa.RecordBatch) -> np.ndarray:
     start, end = runs(inside, offsets)
     doc = np.searchsorted(offsets, start, "right") - 1
     out[:, 0] = np.bincount(doc, minlength=n)
-    spans = Spans(data)
-    word = spans.of(start, end)
+    word = span_hashes(data, start, end)
     if len(word) > 2:
         same = doc[2:] == doc[:-2]
         first = np.flatnonzero(same)
@@ -57,7 +56,7 @@ def count_features(batch: pa.RecordBatch) -> np.ndarray:
     keep = worded[b] > worded[a]
     a, b, line_doc = a[keep], b[keep], line_doc[keep]
     out[:, 5] = np.bincount(line_doc, minlength=n)
-    line = spans.of(a, b) ^ mixed(line_doc.astype(np.uint64) * ODD)
+    line = span_hashes(data, a, b) ^ mixed(line_doc.astype(np.uint64) * ODD)
     _, firsts = np.unique(line, return_index=True)
     dup = np.ones(len(line), bool)
     dup[firsts] = False
@@ -72,10 +71,11 @@ def features(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", 1 << 20):
                 counts = count_features(part.select(["_text"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(counts[:, i]) for i in range(len(COUNTS))]], names=[id_column, *COUNTS])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, F.col(text).alias("_text")).mapInArrow(run, f"{id_column} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
@@ -101,49 +101,57 @@ def votes() -> dict[str, Column]:
     }
 
 
-#: Before any row is seen, how often a rule votes -1, 0, 1 on good rows, on rows bad in its own way, and in another way.
-GOOD, OWN, OTHER = (0.02, 0.18, 0.8), (0.9, 0.05, 0.05), (0.1, 0.2, 0.7)
-#: On rows that are bad in a rule's way, the rule itself says so at least this often.
-ANCHOR = 0.7
-#: On good rows, each rule votes -1 at most this often.
-FALSE_ALARM = 0.01
+#: Before any row is seen, how often a rule votes -1, 0, 1 on good rows, on rows bad in its own way, and in another way; each
+#: counts as BEFORE rows.
+GOOD, OWN, OTHER, BEFORE = (0.02, 0.18, 0.8), (0.9, 0.05, 0.05), (0.1, 0.2, 0.7), 4.0
+#: What is believed of how often a rule accuses good rows and rows bad in its own way, and how many rows the belief is worth, as a
+#: multiple of all rows and of that kind's rows. It keeps the kinds from trading places; the votes move the estimates around it.
+FALSE_ALARM, SURE = (0.005, 2.0), (0.9, 1.0)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, weight: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+def posteriors(votes_: np.ndarray, share: np.ndarray, table_: np.ndarray) -> np.ndarray:
+    """The probability of each kind, given a row of votes (-1, 0, 1) of each rule."""
+    z = np.log(share)[None, :] + np.log(table_[:, np.arange(votes_.shape[1]), votes_ + 1]).sum(2).T
+    out = np.exp(z - z.max(1, keepdims=True))
+    return out / out.sum(1, keepdims=True)
+
+
+def fit(
+    patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 300, false_alarm: tuple[float, float] = FALSE_ALARM, sure: tuple[float, float] = SURE
+) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over counted vote patterns: the shares of rows that are good, and bad in each rule's way, and
     how often each rule votes -1, 0, 1 on each of these kinds of rows ((1 + rules) x rules x 3).
 
     There is a kind of bad rows for each rule, since what one rule finds, others needn't. Votes are independent given the
-    kind. The figures of GOOD, OWN and OTHER count as `weight` rows of each kind.
+    kind. All shares are estimated from the votes, with priors: Dirichlet ones worth BEFORE rows, and Beta ones on how often a
+    rule accuses good rows (false_alarm) and its own kind (sure). No estimate is clamped. Ends when nothing changes any more.
     """
     kinds = 1 + rules
     before = np.empty((kinds, rules, 3))
     before[0], before[1:] = GOOD, OTHER
     before[np.arange(1, kinds), np.arange(rules)] = OWN
-    share, table = np.full(kinds, 0.1 / rules), before.copy()
+    share, table_ = np.full(kinds, 0.1 / max(1, rules)), before.copy()
     share[0] = 0.9
     if not patterns:
-        return share, table
-    v, n = np.array([p for p, _ in patterns]) + 1, np.array([c for _, c in patterns], float)
+        return share, table_
+    v, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
     # at first a row is bad in the ways that its rules name, and good if none does
-    part = np.concatenate([(v != 0).all(1, keepdims=True), v == 0], 1).astype(float)
+    part = np.concatenate([(v != -1).all(1, keepdims=True), v == -1], 1) * n[:, None] / np.maximum(1, (v == -1).sum(1, keepdims=True))
     for turn in range(rounds):
         if turn:
-            z = np.log(share)[None, :] + np.log(table[:, np.arange(rules), v]).sum(2).T
-            part = np.exp(z - z.max(1, keepdims=True))
-        part *= (n / part.sum(1))[:, None]
-        share = (part.sum(0) + 1) / (n.sum() + kinds)
+            part = posteriors(v, share, table_) * n[:, None]
+        size, old = part.sum(0), table_.copy()
+        share = (size + 1) / (n.sum() + kinds)
         for j in range(rules):
-            counts = np.stack([np.bincount(v[:, j], part[:, k], 3) for k in range(kinds)]) + weight * before[:, j]
-            table[:, j] = counts / counts.sum(1, keepdims=True)
-            if table[0, j, 0] > FALSE_ALARM:
-                table[0, j, 1:] *= (1 - FALSE_ALARM) / table[0, j, 1:].sum()
-                table[0, j, 0] = FALSE_ALARM
-            own = table[j + 1, j]
-            if own[0] < ANCHOR:
-                own[1:] *= (1 - ANCHOR) / own[1:].sum()
-                own[0] = ANCHOR
-    return share, table
+            counts = np.stack([np.bincount(v[:, j] + 1, part[:, k], 3) for k in range(kinds)]) + BEFORE * before[:, j]
+            table_[:, j] = counts / counts.sum(1, keepdims=True)
+            for k, (mean, worth), rows in ((0, false_alarm, n.sum()), (j + 1, sure, size[j + 1])):
+                accuses = (counts[k, 0] + worth * rows * mean) / (counts[k].sum() + worth * rows)
+                table_[k, j, 1:] *= (1 - accuses) / table_[k, j, 1:].sum()
+                table_[k, j, 0] = accuses
+        if turn and np.abs(table_ - old).max() < 1e-9:
+            break
+    return share, table_
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -157,12 +165,12 @@ def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rules = votes()
     voted = counted.select(*[c.alias(k) for k, c in rules.items()])
     patterns = [(tuple(r[k] for k in rules), r["n"]) for r in voted.groupBy(*rules).agg(F.count("*").alias("n")).collect()]
-    share, table = fit(sorted(patterns), len(rules))
+    share, table_ = fit(sorted(patterns), len(rules))
     # the odds of each kind against good rows, from the rules' votes
     odds = F.lit(0.0)
     for kind in range(1, len(share)):
         z = F.lit(float(np.log(share[kind] / share[0])))
-        for c, worth in zip(rules.values(), np.log(table[kind] / table[0]).tolist(), strict=True):
+        for c, worth in zip(rules.values(), np.log(table_[kind] / table_[0]).tolist(), strict=True):
             z = z + F.when(c == -1, worth[0]).when(c == 1, worth[2]).otherwise(worth[1])
         odds = odds + F.exp(z)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
