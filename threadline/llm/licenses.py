@@ -25,17 +25,61 @@ SENTENCES = {
     "gpl3.work": "this work is licensed under the gnu general public license version 3",
     "gpl3.licensed": "licensed under the gnu general public license version 3",
     "gpl3.title": "gnu general public license version 3",
-    "gpl.redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2.redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl.hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "cc-by-nc.licensed": "licensed under cc by nc 4 0",
+    "gpl2.title": "gnu general public license version 2",
+    "gpl2.licensed": "licensed under the gnu general public license version 2",
+    "gpl.free": "this program is free software",
+    "gpl3.redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl.redistribute": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gnu.either-2": "either version 2 of the license or at your option any later version",
+    "gnu.either-2.1": "either version 2 1 of the license or at your option any later version",
+    "gnu.either-3": "either version 3 of the license or at your option any later version",
+    "gpl.hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl.implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl.received": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl.free": "this library is free software",
+    "lgpl.redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl3.redistribute": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3.redistribute": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3.title": "gnu affero general public license version 3",
     "cc-by.licensed": "licensed under cc by 4 0",
     "cc-by-sa.licensed": "licensed under cc by sa 4 0",
+    "cc-by-nc.licensed": "licensed under cc by nc 4 0",
+    "cc-by-nd.licensed": "licensed under cc by nd 4 0",
+    "cc-by-nc-sa.licensed": "licensed under cc by nc sa 4 0",
+    "cc-by-nc-nd.licensed": "licensed under cc by nc nd 4 0",
+    "cc-by.work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa.work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc.work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd.work": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa.work": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd.work": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
     "cc0.dedicated": "to the extent possible under law the author has waived all copyright and related rights to this work",
+    "cc0.waived": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "bsd.redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd.source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd.binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd.advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd.endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc.as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "mpl2.subject": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2.obtain": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl2.obtain-safely": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl2.title": "mozilla public license version 2 0",
+    "epl2.available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl2.title": "eclipse public license v 2 0",
+    "unlicense.free": "this is free and unencumbered software released into the public domain",
+    "unlicense.anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib.as-is": "this software is provided as is without any express or implied warranty",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib.origin": "the origin of this software must not be misrepresented",
+    "boost.licensed": "distributed under the boost software license version 1 0",
+    "boost.title": "boost software license version 1 0",
+    "ofl.licensed": "this font software is licensed under the sil open font license version 1 1",
+    "artistic2.title": "the artistic license 2 0",
+    "postgresql.grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "domain.placed": "this work has been placed in the public domain",
     "any.rights": "all rights reserved",
 }
 
@@ -60,19 +104,53 @@ RULES = (
     Rule("Apache-2.0", ("apache2.licensed-the-license",)),
     Rule("Apache-2.0", ("apache2.licensed",)),
     Rule("Apache-2.0", ("apache2.title",)),
-    Rule("GPL-3.0-or-later", ("gpl.redistribute", "gpl.hope")),
-    Rule("GPL-3.0-or-later", ("gpl.redistribute",)),
-    Rule("GPL-2.0-or-later", ("gpl2.redistribute", "gpl.hope")),
-    Rule("GPL-2.0-or-later", ("gpl2.redistribute",)),
+    Rule("GPL-3.0-or-later", ("gpl3.redistribute", "gpl.hope")),
+    Rule("GPL-3.0-or-later", ("gpl3.redistribute",)),
+    Rule("GPL-3.0-or-later", ("gpl.redistribute", "gnu.either-3")),
+    Rule("GPL-2.0-or-later", ("gpl.redistribute", "gnu.either-2")),
     Rule("GPL-3.0", ("gpl3.work",)),
     Rule("GPL-3.0", ("gpl3.licensed",)),
     Rule("GPL-3.0", ("gpl3.title",)),
+    Rule("GPL-2.0", ("gpl2.licensed",)),
+    Rule("GPL-2.0", ("gpl2.title",)),
+    Rule("LGPL-3.0-or-later", ("lgpl3.redistribute",)),
+    Rule("LGPL-3.0-or-later", ("lgpl.redistribute", "gnu.either-3")),
+    Rule("LGPL-2.1-or-later", ("lgpl.redistribute", "gnu.either-2.1")),
+    Rule("AGPL-3.0-or-later", ("agpl3.redistribute",)),
+    Rule("AGPL-3.0", ("agpl3.title",)),
     Rule("CC-BY-NC-4.0", ("cc-by-nc.licensed",)),
+    Rule("CC-BY-NC-4.0", ("cc-by-nc.work",)),
     Rule("CC-BY-SA-4.0", ("cc-by-sa.licensed",)),
+    Rule("CC-BY-SA-4.0", ("cc-by-sa.work",)),
     Rule("CC-BY-4.0", ("cc-by.licensed",)),
+    Rule("CC-BY-4.0", ("cc-by.work",)),
+    Rule("CC-BY-ND-4.0", ("cc-by-nd.licensed",)),
+    Rule("CC-BY-ND-4.0", ("cc-by-nd.work",)),
+    Rule("CC-BY-NC-SA-4.0", ("cc-by-nc-sa.licensed",)),
+    Rule("CC-BY-NC-SA-4.0", ("cc-by-nc-sa.work",)),
+    Rule("CC-BY-NC-ND-4.0", ("cc-by-nc-nd.licensed",)),
+    Rule("CC-BY-NC-ND-4.0", ("cc-by-nc-nd.work",)),
     Rule("CC0-1.0", ("cc0.dedicated",)),
+    Rule("CC0-1.0", ("cc0.waived",)),
+    Rule("BSD-4-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.advertising")),
     Rule("BSD-3-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary", "bsd.endorse")),
     Rule("BSD-2-Clause", ("bsd.redistribution", "bsd.source", "bsd.binary")),
+    Rule("ISC", ("isc.grant",)),
+    Rule("0BSD", ("0bsd.grant",)),
+    Rule("MPL-2.0", ("mpl2.subject", "mpl2.obtain")),
+    Rule("MPL-2.0", ("mpl2.subject", "mpl2.obtain-safely")),
+    Rule("MPL-2.0", ("mpl2.title",)),
+    Rule("EPL-2.0", ("epl2.available",)),
+    Rule("EPL-2.0", ("epl2.title",)),
+    Rule("Unlicense", ("unlicense.free",)),
+    Rule("Zlib", ("zlib.as-is", "zlib.grant")),
+    Rule("Zlib", ("zlib.grant", "zlib.origin")),
+    Rule("BSL-1.0", ("boost.licensed",)),
+    Rule("BSL-1.0", ("boost.title",)),
+    Rule("OFL-1.1", ("ofl.licensed",)),
+    Rule("Artistic-2.0", ("artistic2.title",)),
+    Rule("PostgreSQL", ("postgresql.grant",)),
+    Rule("LicenseRef-PublicDomain", ("domain.placed",)),
     Rule("LicenseRef-AllRightsReserved", ("any.rights",)),
 )
 #: A sentence ends at . ! ? ; : followed by a space, at a line's end before an empty line or a line end after one of these, or at any line's end.
@@ -103,8 +181,10 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tup
 
     A known sentence may also be wrapped over lines: sentences are looked for both line by line and, where lines break inside a
     sentence, over the paragraph. What either finds counts, in the order of the text: by where a sentence begins, then by its
-    length; what both find counts once. Null and empty texts have empty lists. Each row is judged by itself.
+    length; what both find counts once. Null and empty texts have empty lists. Each row is judged by itself, repeated ones too;
+    an empty table gives an empty result. Columns named sentence_ids or licenses are replaced, all others pass through.
     """
+    docs = docs.drop("sentence_ids", "licenses")
     wanted = F.array(*[F.lit(s) for s in known.values()])
     names = F.array(*[F.lit(k) for k in known])
     place = lambda s: F.array_position(wanted, s)

@@ -179,8 +179,9 @@ rules(n, license, ids) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 v AS (SELECT r, 0 AS wrapped, text FROM d UNION ALL SELECT r, 1, regexp_replace(regexp_replace(text, '([^.!?;:\n\s])[ \t]*\n[ \t]*(\S)', '\1 \2', 'g'), '([^.!?;:\n\s])[ \t]*\n[ \t]*(\S)', '\1 \2', 'g') FROM d),
 p AS (SELECT r, wrapped, i, trim(regexp_replace(lower(parts[i]), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT r, wrapped, regexp_split_to_array(text, '[.!?;:]+\s+|[.!?;:]*\n+') AS parts FROM v), unnest(range(1, len(parts) + 1)) AS t(i)),
-f AS (SELECT r, wrapped, count(*) AS n, string_agg(k, ' ' ORDER BY i) AS ids FROM p JOIN known USING (s) GROUP BY r, wrapped),
-best AS (SELECT r, arg_max(ids, n * 2 - wrapped) AS ids FROM f GROUP BY r),
+w AS (SELECT *, coalesce(sum(length(replace(s, ' ', ''))) OVER (PARTITION BY r, wrapped ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM p),
+f AS (SELECT DISTINCT r, at_, length(s) AS n, s, k FROM w JOIN known USING (s)),
+best AS (SELECT r, string_agg(k, ' ' ORDER BY at_, n, s) AS ids FROM f GROUP BY r),
 m AS (SELECT r, license, min(rules.n) AS n FROM best, rules WHERE regexp_matches(' ' || best.ids || ' ', rules.ids) GROUP BY r, license),
 a AS (SELECT r, count(*) AS n, string_agg(license, ' ' ORDER BY m.n) AS licenses FROM m GROUP BY r)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, CAST(coalesce(a.n, 0) AS BIGINT) AS n_licenses
