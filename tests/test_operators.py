@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadline.functions import text
-from threadline.operators import corpus, decode, search
+from threadline.operators import corpus, decode, ordered, search
 from threadline.sources import files
 
 ROWS = [
@@ -83,3 +83,18 @@ def test_vocabulary_and_sound(spark, tmp_path):
         w.writeframes(b"\x00\x40" * 800)
     samples = files.read_wav(spark, str(tmp_path / "s.wav")).first()["samples"]
     assert len(samples) == 1600 and samples[0] == pytest.approx(0.5)
+
+
+def test_what_came_before_in_groups_of_any_size(spark):
+    rows = [(None if i % 7 == 0 else (i % 5 if i % 3 else 1), i, i * 31 % 17) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, i int, x int").repartition(5)
+    got = {r["i"]: r for r in ordered.with_previous(df, ["g"], ["i"], p=F.col("x"), q=F.col("i")).collect()}
+    run = {r["i"]: r for r in ordered.with_running(df, ["g"], ["i"], {"s": F.col("x")}, {"m": F.col("x")}).collect()}
+    assert len(got) == len(run) == 500
+    seen = {}
+    for g, i, x in rows:
+        old = seen.setdefault(g, [])
+        assert (got[i]["p"], got[i]["q"]) == ((old[-1][1], old[-1][0]) if old else (None, None))
+        assert run[i]["s"] == sum(v for _, v in old) + x and run[i]["m"] == max((v for _, v in old), default=None)
+        old.append((i, x))
+    assert ordered.with_previous(df.where("false"), ["g"], ["i"], p=F.col("x")).count() == 0

@@ -23,9 +23,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="threadline-checkpoint-")
+        _goes_at_the_end(spark, where)
     context.setCheckpointDir(where)
 
 
+def _goes_at_the_end(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the shared checkpoint folder; its lineage ends there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -39,8 +46,7 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _goes_at_the_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

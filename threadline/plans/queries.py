@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from threadline.functions import signal, similarity, text
 from threadline.functions.features import mel_features
 from threadline.inference import check_widths
-from threadline.operators import corpus as corpora, decode, search
+from threadline.operators import corpus as corpora, decode, ordered, search
 
 P = text.LATIN
 
@@ -98,9 +98,8 @@ def preemphasis(spark, d):
 
 def argmax_collapse(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", "label", (signal.argmax(F.col("embedding")) % 4).alias("token_id"))
-    before = F.lag("token_id").over(Window.partitionBy("label").orderBy("vec_id"))
-    kept = e.withColumn("b", before).where("(b is null or b <> token_id) and token_id <> 3")
-    return kept.groupBy("label").agg(F.count("*").alias("n_tokens"), F.sum("token_id").cast("long").alias("token_sum"))
+    e = ordered.with_previous(e, ["label"], ["vec_id"], b=F.col("token_id"))
+    return e.where("(b is null or b <> token_id) and token_id <> 3").groupBy("label").agg(F.count("*").alias("n_tokens"), F.sum("token_id").cast("long").alias("token_sum"))
 
 
 def ctc_decode(spark, d):
@@ -110,15 +109,17 @@ def ctc_decode(spark, d):
 
 
 def stall_gaps(spark, d):
-    e = _t(spark, d, "events").withColumn("next", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    gap = (F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    e = _t(spark, d, "events").select("user_id", "event_id", "ts")
+    e = ordered.with_previous(e, ["user_id"], ["ts", "event_id"], before=F.col("ts"))
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))) / 1e6
     return e.withColumn("gap", gap).where("gap > 2").groupBy("user_id").agg(F.count("*").alias("n_gaps"), F.round(F.max("gap"), 3).alias("longest"))
 
 
 def confirm_streaks(spark, d):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _t(spark, d, "events").withColumn("new", F.coalesce((F.lag("event_type").over(order) != F.col("event_type")).cast("int"), F.lit(1)))
-    e = e.withColumn("run", F.sum("new").over(order))
+    e = _t(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    e = ordered.with_previous(e, ["user_id"], ["ts", "event_id"], before=F.col("event_type"))
+    e = e.withColumn("new", F.coalesce((F.col("before") != F.col("event_type")).cast("int"), F.lit(1)))
+    e = ordered.with_running(e, ["user_id"], ["ts", "event_id"], sums={"run": F.col("new")})
     return e.groupBy("user_id", "run").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("longest_run"), F.count("*").alias("n_runs"))
 
 
@@ -128,9 +129,8 @@ def newest_n_per_session(spark, d):
 
 
 def monotonic_check(spark, d):
-    e = _t(spark, d, "events").withColumn("step", F.pmod("event_id", F.lit(7)))
-    before = F.max("step").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("before", before)
+    e = _t(spark, d, "events").select("user_id", "ts", "event_id", F.pmod("event_id", F.lit(7)).alias("step"))
+    e = ordered.with_running(e, ["user_id"], ["ts", "event_id"], maxima={"before": F.col("step")})
     return e.groupBy("user_id").agg(F.sum((F.col("step") < F.col("before")).cast("long")).alias("regressions"), F.max("step").alias("reach"))
 
 
