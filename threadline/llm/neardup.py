@@ -46,7 +46,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.bincount(doc, minlength=len(offsets) - 1)
     left = np.repeat(np.cumsum(n), n) - np.arange(len(doc))  # words from here to the end of the document
     h = np.zeros(len(word), np.uint64)
-    for i in range(SHINGLE):
+    for i in range(min(SHINGLE, len(word))):
         part = mixed(word + np.uint64((i + 1) * int(ODD) % (1 << 64)))
         h[: len(h) - i] += np.where(left[: len(h) - i] > i, part[i:], np.uint64(0))
     keep = (left >= SHINGLE) | ((left == n[doc]) & (left < SHINGLE))
