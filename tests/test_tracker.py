@@ -195,7 +195,7 @@ def test_ambiguous_openings_wait_after_completion():
 def test_opening_formula_hook():
     rows = {(1, 1): "بسم الله الرحمن الرحيم", (1, 2): "الحمد لله رب العالمين", (1, 3): "الرحمن الرحيم", (1, 4): "مالك يوم الدين"}
     idx = Index(rows)
-    heard = "بس الله الرحيم"
+    heard = "بس الرحمن الرحيم"
     _, plain = played(idx, [heard], hint=1)
     _, hooked = played(idx, [heard], hint=1, settings=tracker.Settings(opening_group=1))
     assert [s.ordinal for s in hooked] == [1] and [s.ordinal for s in plain] != [1]
