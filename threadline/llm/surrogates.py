@@ -296,7 +296,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     pairs = lambda x: F.zip_with(F.split(x["e"], " "), F.split(x["new"], " "), lambda w, n: F.struct(w.alias("word"), n.alias("new")))
     named = F.flatten(F.transform(F.filter("_parsed", lambda x: x["m"] != x["e"]), pairs))
     rows = rows.withColumn("_names", F.filter(named, lambda x: F.length(x["word"]) >= 3))
-    rows = rows.withColumn("_gaps", F.transform(F.split(F.col("_text"), _any(), -1), lambda g: _again(g, F.col("_names"))))
+    rows = rows.withColumn("_gaps", F.when(F.size("_found") > 0, F.transform(F.split(F.col("_text"), _any(), -1), lambda g: _again(g, F.col("_names")))))
     new = F.transform("_parsed", lambda x: F.concat(F.substring(x["m"], F.lit(1), F.length(x["m"]) - F.length(x["e"])), x["new"]))
     whole = F.array_join(F.flatten(F.zip_with("_gaps", F.concat(new, F.array(F.lit(""))), lambda g, s: F.array(g["text"], s))), "")
     count = F.size("_found") + F.aggregate("_gaps", F.lit(0), lambda n, g: n + g["n"])
