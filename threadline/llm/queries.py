@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over whole tables, and their SQL where there is one."""
+"""The thirteen operators and the pipeline as queries over whole tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from threadline.llm import decontamination, langid, licenses, mixing, neardup, qualityrules, sharding, suffixindex, surrogates, urlfilter
+from threadline.llm import bpe, decontamination, langid, licenses, merkle, mixing, neardup, periodic, qualityrules, sharding, suffixindex, surrogates, urlfilter
 
 URL_RULES = (
     urlfilter.Rule("block", "net", "/"),
@@ -97,8 +97,55 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), mixing.word_count("text").cast("int")
+    start = F.pmod(F.floor(h / 10), n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + F.pmod(F.floor(h / 10), F.lit(8))))).cast("int")
+    docs = docs.select("doc_id", F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), periodic.looped(F.col("text"), start, period)).otherwise(F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs).select("doc_id", "runs", "collapsed", periodic.longest(F.col("runs")).alias("best"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), F.concat(r.period.cast("string"), F.lit("\n"))))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    spoilt = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    fields = [F.col(c) for c in merkle.COLUMNS]
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", merkle.leaf(*fields).alias("leaf"), merkle.leaf(*fields[:-1], spoilt).alias("given"))
+    manifest = merkle.build(docs)
+    root = F.lit(manifest.root)
+    proofs = manifest.proofs().withColumn("folded", merkle.folded(F.col("given"), F.col("path")))
+    return proofs.select(
+        "doc_id",
+        merkle.shown(F.col("leaf")).alias("leaf"),
+        merkle.shown(F.col("subroot")).alias("subroot"),
+        merkle.shown(root).alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.shown(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == root).alias("verified"),
+    )
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True, keep=["doc_id"])
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sharding, op2_neardup, op3_url_filter, op4_quality_rules, op5_mixing, op6_decontamination, op7_pii_surrogates, op8_suffix_dedup, op9_language_id, op10_license_scan)
+    ops = (op1_sharding, op2_neardup, op3_url_filter, op4_quality_rules, op5_mixing, op6_decontamination, op7_pii_surrogates, op8_suffix_dedup, op9_language_id, op10_license_scan, op11_periodic_runs, op12_merkle_manifest, op13_bpe)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
