@@ -79,6 +79,17 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _packed_words(words: pa.Array) -> list[bytes]:
+    data, at = text_bytes(words)
+    return [_packed(np.diff(at)), len(data).to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)]
+
+
+def _unpacked_words(sizes: bytes, data: bytes) -> pa.Array:
+    at = np.append(0, np.cumsum(_unpacked(sizes), dtype=np.int64))
+    plain = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), plain)
+
+
 def _cut(kept: pa.Array, texts: pa.Array, block: int, buckets: int):
     """A block's rows for _blocks: one with its documents (bucket -1), and one with the words of each bucket."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
@@ -94,39 +105,24 @@ def _cut(kept: pa.Array, texts: pa.Array, block: int, buckets: int):
     number[by_times] = np.arange(len(words), dtype=np.uint32)
     data, at = text_bytes(words)
     bucket = (span_hashes(data, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    bucket = bucket[by_times]
+    yield block, -1, kept, [_packed(counts), _packed(number[codes]), _packed(bucket)]
     order = np.argsort(bucket, kind="stable")
-    yield block, -1, kept, [_packed(counts), _packed(number[codes]), _packed(number[order])], None
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    words = words.take(pa.array(order))
+    words = words.take(pa.array(by_times[order]))
     for b in np.flatnonzero(np.diff(edges)):
-        yield block, int(b), kept[:0], [], words[edges[b] : edges[b + 1]]
+        yield block, int(b), kept[:0], _packed_words(words[edges[b] : edges[b + 1]])
 
 
 def _schema(kept: T.DataType) -> T.StructType:
-    """block; bucket, -1 for a block's documents; those; packed numbers; words or None."""
-    return T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("bucket", T.IntegerType()),
-            T.StructField("kept", T.ArrayType(kept)),
-            T.StructField("packs", T.ArrayType(T.BinaryType())),
-            T.StructField("words", T.ArrayType(T.StringType())),
-        ]
-    )
-
-
-def _row(block: int, bucket: int, kept: pa.Array, packs: list[bytes], words: pa.Array | None) -> pa.RecordBatch:
-    offsets = pa.array([0, 0 if words is None else len(words)], pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([block], pa.int64()),
-            pa.array([bucket], pa.int32()),
-            pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
-            pa.array([packs], pa.list_(pa.binary())),
-            pa.ListArray.from_arrays(offsets, pa.array([], pa.string()) if words is None else words),
-        ],
-        names=["block", "bucket", "kept", "packs", "words"],
-    )
+    """block; bucket, -1 for a block's documents; those; packs: of the documents' words, or of the bucket's."""
+    fields = {"block": T.LongType(), "bucket": T.IntegerType(), "kept": T.ArrayType(kept), "packs": T.ArrayType(T.BinaryType())}
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+def _row(block: int, bucket: int, kept: pa.Array, packs: list[bytes]) -> pa.RecordBatch:
+    kept = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), kept, pa.array([packs], pa.list_(pa.binary()))], names=["block", "bucket", "kept", "packs"])
 
 
 def _blocks(rows: DataFrame, buckets: int, size: int) -> DataFrame:
@@ -162,8 +158,8 @@ def _encoded(blocks: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         loaded = _loaded(tokenizer)
-        lists = group.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        lists = [_unpacked_words(*x) for x in group.column("packs").to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
         words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         sizes, ids = [], []
         for a in range(0, len(words), WORDS):
@@ -171,14 +167,14 @@ def _encoded(blocks: DataFrame, tokenizer: str) -> DataFrame:
                 sizes.append(len(e.ids))
                 ids.extend(e.ids)
         sizes, ids = np.array(sizes, np.int64), np.array(ids, np.uint32)
-        first, edges = np.cumsum(sizes) - sizes, np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        first, edges = np.cumsum(sizes) - sizes, np.append(0, np.cumsum([len(x) for x in lists]))
         packs = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = codes[a:b]
             packs.append([_packed(sizes[own]), _packed(ids[_spread(first[own], sizes[own])])])
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "packs": pa.array(packs, pa.list_(pa.binary()))})
 
-    of = blocks.where("bucket >= 0").select("block", "bucket", "words")
+    of = blocks.where("bucket >= 0").select("block", "bucket", "packs")
     return of.groupBy("bucket").applyInArrow(run, "block long, bucket int, packs array<binary>")
 
 
@@ -198,7 +194,8 @@ def _put_back(blocks: DataFrame, packs: DataFrame, tokenizer: str, decoded: bool
         kept, own, sizes, ids = None, None, [], []
 
         def whole():
-            counts, codes, order = map(_unpacked, own)
+            counts, codes, bucket = map(_unpacked, own)
+            order = np.argsort(bucket, kind="stable")
             size, flat = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (sizes, ids))
             starts = np.cumsum(size, dtype=np.int64) - size
             at, many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
