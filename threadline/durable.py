@@ -50,6 +50,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, column: str) -> DataFrame:
+    """Like written(), in as many buckets by column as the session has shuffle partitions: a join or a group by this column then doesn't
+    move these rows. The table's entry in the catalog goes at once, since the result knows its files."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name, parts = f"threadline_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    df.write.format("parquet").bucketBy(parts, column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    _goes_at_the_end(spark, path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_BYTES from here on, unless the session has its own limit: a batch of 10,000 long texts would fill a worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
