@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from threadline.durable import small_batches, written
+from threadline.durable import small_batches, written_by
 from threadline.llm.textbytes import span_hashes, text_bytes
 
 #: Bytes of text in a block, of text for each bucket of words, and of text that is given out at once.
@@ -185,15 +185,14 @@ def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _put_back(blocks: DataFrame, packs: DataFrame, tokenizer: str, decoded: bool) -> DataFrame:
-    """Documents with their ids, and decoded texts if asked for: a block's documents, then its packs by bucket, pass by in order."""
+    """Documents with their ids, and decoded texts if asked for. Blocks are stored by number, so they don't travel: the packs come to them."""
     kind = blocks.schema["kept"].dataType.elementType
     fields = [T.StructField("_kept", kind), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
     def run(batches):
         table = pieces(tokenizer) if decoded else None
-        kept, own, sizes, ids = None, None, [], []
 
-        def whole():
+        def whole(kept, own, sizes, ids):
             counts, codes, bucket = map(_unpacked, own)
             order = np.argsort(bucket, kind="stable")
             size, flat = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (sizes, ids))
@@ -216,19 +215,11 @@ def _put_back(blocks: DataFrame, packs: DataFrame, tokenizer: str, decoded: bool
 
         for batch in batches:
             for i in range(batch.num_rows):
-                packs = batch.column(2)[i].as_py()
-                if batch.column(0)[i].as_py() < 0:
-                    if kept is not None:
-                        yield from whole()
-                    kept, own, sizes, ids = batch.column(1)[i].values, packs, [], []
-                else:
-                    sizes.append(_unpacked(packs[0]))
-                    ids.append(_unpacked(packs[1]))
-        if kept is not None:
-            yield from whole()
-
-    both = blocks.where("bucket < 0").select("block", "bucket", "kept", "packs").unionByName(packs, allowMissingColumns=True)
-    both = both.repartition("block").sortWithinPartitions("block", "bucket").select("bucket", "kept", "packs")
+                packs = batch.column(2)[i].as_py() or []
+                yield from whole(batch.column(0)[i].values, batch.column(1)[i].as_py(), [_unpacked(x["packs"][0]) for x in packs], [_unpacked(x["packs"][1]) for x in packs])
+
+    gathered = packs.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "packs"))).alias("coded"))
+    both = blocks.where("bucket < 0").select("block", "kept", "packs").join(gathered.hint("merge"), "block", "left").select("kept", "packs", "coded")
     return both.mapInArrow(run, T.StructType(fields))
 
 
@@ -246,7 +237,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
     names = [c for c in (keep or docs.columns) if c not in ("ids", "decoded")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_kept"), F.col(text).alias("_text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = written(_blocks(rows, max(16, min(1 << 30, -(-size // BUCKET))), block))
+    blocks = written_by(_blocks(rows, max(16, min(1 << 30, -(-size // BUCKET))), block), "block")
     out = _put_back(blocks, _encoded(blocks, tokenizer), tokenizer, decoded)
     return out.select("_kept.*", "ids", *(["decoded"] if decoded else []))
 
