@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadline.durable import durable, small_batches
 from threadline.functions.scores import discovery_scores, fast_direct, fast_fragment, fast_ratio, span_scores
-from threadline.functions.similarity import continuation_bonus, has_evidence, scoped_score
+from threadline.functions.similarity import continuation_bonus, scoped_score
 from threadline.functions.text import ARABIC, Profile, evidence_stems, normalize, split_words, stems
 from threadline.operators.corpus import spans, stem_index
+from threadline.operators.similar import similar_words
 
 FIRST_THRESHOLD, LATER_THRESHOLD = 0.65, 0.45
 SEEDS = 20
@@ -32,20 +33,22 @@ def sharing_a_stem(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
     return wanted.join(stem_index(corpus), "stem").select("query_id", "group_id", "ordinal").distinct()
 
 
-def similar_stems(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC) -> DataFrame:
-    """query_id, group_id, ordinal of rows with a stem, of a word of four letters or more, that is close to one of the query's. Every
-    query meets every row: for corpora of at most WIDE rows."""
-    rows = corpus.select("group_id", "ordinal", stems(F.filter("words", lambda w: F.length(w) >= 4), profile).alias("_longs"))
-    both = queries_.select("query_id", "evidence").crossJoin(F.broadcast(rows))
-    return both.where(has_evidence(F.col("evidence"), F.col("_longs"))).select("query_id", "group_id", "ordinal")
+def similar_stems(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC, threshold: float = 0.72) -> DataFrame:
+    """query_id, group_id, ordinal of rows with a stem, of a word of four letters or more, that is close to one of the query's. Only
+    distinct stems are compared, see similar_words(); what rows and queries have of them is joined afterwards."""
+    wanted = queries_.select("query_id", F.explode("evidence").alias("word"))
+    rows = corpus.select("group_id", "ordinal", F.explode(F.array_distinct(stems(F.filter("words", lambda w: F.length(w) >= 4), profile))).alias("other"))
+    close = durable(similar_words(wanted, rows.select(F.col("other").alias("word")), threshold).select("word", "other"))
+    return wanted.join(close, "word").select("query_id", "other").distinct().join(rows, "other").select("query_id", "group_id", "ordinal").distinct()
 
 
-def candidates(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC) -> DataFrame:
+def candidates(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC, similar_up_to: int | None = WIDE) -> DataFrame:
     """query_id, group_id, ordinal. Queries with two stems or more meet every row that shares one; those that find none meet, in a
-    corpus of at most WIDE rows, the rows with a similar stem; who then has no row, and who has less evidence, meets all rows."""
+    corpus of at most similar_up_to rows (None: of any size), the rows with a similar stem; who then has no row, and who has less
+    evidence, meets all rows."""
     found = durable(sharing_a_stem(queries_.where("size(evidence) >= 2"), corpus))
     rest = queries_.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    if corpus.select("group_id").limit(WIDE + 1).count() <= WIDE:
+    if similar_up_to is None or corpus.select("group_id").limit(similar_up_to + 1).count() <= similar_up_to:
         similar = durable(similar_stems(rest.where("size(evidence) >= 2"), corpus, profile))
         found, rest = found.union(similar), rest.join(similar.select("query_id").distinct(), "query_id", "left_anti")
     return found.union(F.broadcast(rest.select("query_id")).crossJoin(corpus.select("group_id", "ordinal")))

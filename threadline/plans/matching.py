@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadline.functions import signal, similarity, text
-from threadline.operators import corpus as corpora, search
+from threadline.operators import corpus as corpora, search, similar
 from threadline.plans.queries import CANDIDATES, CORPUS, EVIDENCE, FLAT, NORM, P, STEM, STOP, _corpus, _queries, _t
 from threadline.streaming import sinks, tracker
 
@@ -136,9 +136,15 @@ def hint_fallback(spark, d):
 
 
 def fuzzy_theta_join(spark, d):
-    names = _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.col("n_name").alias("raw_text"))
-    parts = _t(spark, d, "region").select(F.lit(0).alias("group_id"), F.col("r_regionkey").cast("int").alias("ordinal"), F.col("r_name").alias("raw_text"), F.col("r_name").alias("clean_text"))
-    return search.similar_stems(search.queries(names, P), corpora.prepare(parts, P), P)
+    """The turns with a stem that is close to one of a benchmark item's."""
+    return search.similar_stems(_queries(spark, d), _corpus(spark, d), P)
+
+
+def similar_stem_pairs(spark, d):
+    """Stems of the benchmark and stems of the documents that are close to each other."""
+    own = lambda t: _t(spark, d, t).select(F.explode(text.evidence_stems(text.words(F.col("text"), P), P)).alias("word"))
+    found = similar.similar_words(own("benchmark"), own("documents"))
+    return found.select("word", "other", F.round("ratio", 6).alias("ratio"))
 
 
 def top_seeds(spark, d):
@@ -296,8 +302,6 @@ def _tail(best: str) -> str:
 LAST, PENULTIMATE = BEST.format(r="ns[len(ns)]"), "CASE WHEN len(ns) >= 2 THEN " + BEST.format(r="ns[len(ns) - 1]") + " ELSE 0 END"
 HINTED = f"{FLAT_ROWS}, own AS (" + _scored("SELECT a.group_id || '/' || a.ordinal AS query_id, b.group_id, b.ordinal, a.text AS q, b.text AS t FROM f a JOIN f b ON a.group_id = b.group_id AND b.ordinal BETWEEN a.ordinal + 1 AND a.ordinal + 3", "q", "t") + "), best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY direct_ DESC, group_id, ordinal) = 1)"
 NAMED = "named AS (SELECT x.n_nationkey AS query_id, CAST(y.n_regionkey AS INTEGER) AS group_id, CAST(y.n_nationkey AS INTEGER) AS ordinal, round(1 - levenshtein(x.n_name, y.n_name)::DOUBLE / greatest(length(x.n_name), length(y.n_name)), 6) AS score FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey), best AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) = 1)"
-SHORT_EVIDENCE = f"list_distinct(list_filter(list_transform(list_filter(string_split(lower({{x}}), ' '), lambda w: length(w) >= 4 AND w NOT IN ({STOP})), lambda w: {STEM}), lambda s: length(s) >= 3))"
-SHORT_LONGS = f"list_filter(list_transform(list_filter(string_split(lower({{x}}), ' '), lambda w: length(w) >= 4), lambda w: {STEM}), lambda s: length(s) >= 3)"
 
 SQL = {
     "similarity_scores": f"""WITH {PAIRS}, s AS ({_scored('SELECT * FROM p', 'text', 'nt')}),
@@ -336,7 +340,12 @@ SELECT r.group_id, r.ordinal, CAST(n AS BIGINT) AS matched, len(nw) AS total, le
     "hint_fallback": f"""WITH {HINTED}, other AS ({_scored("SELECT a.group_id || '/' || a.ordinal AS query_id, b.group_id, b.ordinal, a.text AS q, b.text AS t FROM f a JOIN f b ON b.group_id = a.group_id + 1", 'q', 't')}),
 far AS (SELECT * FROM other QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY direct_ DESC, group_id, ordinal) = 1), good AS (SELECT * FROM best WHERE direct_ >= 0.25)
 SELECT query_id, group_id, ordinal, round(direct_, 6) AS score FROM (SELECT * FROM good UNION ALL SELECT * FROM far WHERE query_id NOT IN (SELECT query_id FROM good))""",
-    "fuzzy_theta_join": f"SELECT CAST(n_nationkey AS VARCHAR) AS query_id, 0 AS group_id, CAST(r_regionkey AS INTEGER) AS ordinal FROM nation, region WHERE len(list_filter({SHORT_EVIDENCE.format(x='n_name')}, lambda a: len(list_filter({SHORT_LONGS.format(x='r_name')}, lambda b: {NEAR.format(a='a', b='b', t='0.72')})) > 0)) > 0",
+    "fuzzy_theta_join": f"""WITH {CORPUS}, x AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_transform({EVIDENCE}, lambda s: {L(x='s')}) AS evidence FROM benchmark),
+y AS (SELECT group_id, ordinal, list_transform({LONG}, lambda s: {L(x='s')}) AS longs FROM c),
+a AS (SELECT DISTINCT unnest(evidence) AS a FROM x), b AS (SELECT DISTINCT unnest(longs) AS b FROM y), k AS (SELECT a, b FROM a, b WHERE {NEAR.format(a='a', b='b', t='0.72')})
+SELECT DISTINCT query_id, group_id, ordinal FROM (SELECT query_id, unnest(evidence) AS a FROM x) JOIN k USING (a) JOIN (SELECT group_id, ordinal, unnest(longs) AS b FROM y) USING (b)""",
+    "similar_stem_pairs": f"""WITH a AS (SELECT DISTINCT s AS word, {L(x='s')} AS a FROM (SELECT unnest({EVIDENCE}) AS s FROM benchmark)), b AS (SELECT DISTINCT s AS other, {L(x='s')} AS b FROM (SELECT unnest({EVIDENCE}) AS s FROM documents))
+SELECT word, other, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS ratio FROM a JOIN b ON length(a) >= 0.7 * length(b) AND length(b) >= 0.7 * length(a) WHERE {NEAR.format(a='a', b='b', t='0.72')}""",
     "top_seeds": f"""WITH {CANDIDATES}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) AS rank FROM r) SELECT query_id, rank, group_id, ordinal, score FROM k WHERE rank <= 20""",
     "ambiguous_rows": f"WITH {NAMED} SELECT query_id, group_id, ordinal, score FROM best b WHERE EXISTS (SELECT 1 FROM named n WHERE n.query_id = b.query_id AND (n.group_id <> b.group_id OR n.ordinal <> b.ordinal) AND n.score >= b.score - 0.05::DOUBLE)",
     "unrivalled_rows": f"WITH {NAMED} SELECT query_id, group_id, ordinal, score FROM named n WHERE ordinal = query_id - 1 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.query_id = n.query_id AND b.group_id <> n.group_id AND b.score >= n.score + 0.2::DOUBLE)",
@@ -360,5 +369,5 @@ SELECT session_id, returns, groups, regressions, leaps, last_group, reach FROM n
 
 ALL = (
     similarity_scores, stem_evidence, evidence_hits, word_alignment, phrase_predicates, key_lookup, row_count, group_index, neighbours, span_backtrack, group_match, hint_fallback,
-    fuzzy_theta_join, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
+    fuzzy_theta_join, similar_stem_pairs, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
 )
