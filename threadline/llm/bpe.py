@@ -20,9 +20,9 @@ from threadline.durable import small_batches, written_by
 from threadline.llm.textbytes import span_hashes, text_bytes
 
 #: Bytes of text in a block, of text for each bucket of words, and of text that is given out at once.
-BLOCK, BUCKET, OUT = 32 << 20, 8 << 20, 4 << 20
+BLOCK, BUCKET, OUT = 16 << 20, 8 << 20, 4 << 20
 #: Words that the tokenizer is given at once.
-WORDS = 8192
+WORDS = 2048
 
 
 def _loaded(tokenizer: str):
