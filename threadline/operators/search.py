@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadline.durable import durable, small_batches
-from threadline.functions.scores import discovery_scores, fast_direct, fast_fragment, fast_ratio, span_scores
+from threadline.functions.scores import discovery_scores, fast_direct, fast_fragment, span_scores
 from threadline.functions.similarity import continuation_bonus, scoped_score
 from threadline.functions.text import ARABIC, Profile, evidence_stems, normalize, split_words, stems
+from threadline.operators.bounded import nearest_by_ratio
 from threadline.operators.corpus import spans, stem_index
 from threadline.operators.similar import similar_words
 
@@ -56,10 +57,8 @@ def candidates(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC
 
 def nearest(queries_: DataFrame, corpus: DataFrame, digits: int = 9, n: int = 1, profile: Profile = ARABIC) -> DataFrame:
     """The n candidates with the highest ratio of each query: query_id, group_id, ordinal, score (rounded), rank; of equals the
-    first. Every candidate is scored."""
-    pairs = _paired(candidates(queries_, corpus, profile), queries_, corpus)
-    scored = pairs.select("query_id", "group_id", "ordinal", F.lit(None).cast("int").alias("ordinal_end"), F.round(fast_ratio("text", "row_text"), digits).alias("score"))
-    return _ranked(scored, n).drop("ordinal_end")
+    first. Candidates are compared unless a bound says that they can't be among these."""
+    return nearest_by_ratio(candidates(queries_, corpus, profile), queries_, corpus, n, digits)
 
 
 def _ranked(scored: DataFrame, n: int = 1) -> DataFrame:
