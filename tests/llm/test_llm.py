@@ -383,3 +383,23 @@ def test_clashing_names(spark):
     assert surrogates.replace_entities(df, KEY).count() == 2 and licenses.scan_licenses(df).count() == 2
     assert sharding.assign_shards(df, 2).columns == [*df.columns, "shard", "slot"] and langid.keep_languages(df, langid.build({"x": [b"ab"]})).columns == df.columns
     assert mixing.mix_sources(df, [1.0]).columns == df.columns
+
+
+def test_licenses_of_a_text_of_hits(spark):
+    """100,000 known sentences in one text: every one is found, in time that follows their number."""
+    import time
+
+    known = next(s for s in licenses.SENTENCES.values() if s == "all rights reserved")
+    name = next(k for k, s in licenses.SENTENCES.items() if s == known)
+    df = spark.createDataFrame([(1, "All rights reserved.\n" * 100_000)], "doc_id int, text string")
+    scanned = licenses.scan_licenses(df).select(F.size("sentence_ids").alias("n"), F.array_distinct("sentence_ids").alias("ids"))
+    scanned.where("n > 0").count()
+    began = time.time()
+    assert tuple(scanned.first()) == (100_000, [name])
+    assert time.time() - began < 30  # the square of that number would take hours
+
+
+def test_sums_before(spark):
+    sizes = [i % 11 for i in range(1000)]
+    df = spark.createDataFrame([(sizes,), (sizes[:1],), ([],)], "v array<int>").select(licenses._sums_before(F.col("v")).alias("s"))
+    assert [r["s"] for r in df.collect()] == [[sum(sizes[:i]) for i in range(1000)], [0], []]

@@ -176,12 +176,42 @@ def _hint(known: dict[str, str]) -> str:
     return "|".join(r"\Q%s\E" % w for w in chosen) or r"(?!)"
 
 
+#: Parts whose sums are carried along in one array, which grows by copies.
+CARRIED = 256
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each size the sum of those before it, in time that follows their number: first by blocks, then inside each."""
+
+    def carried(values: Column, start: Column) -> Column:
+        state = F.struct(start.cast("long").alias("sum"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(values, state, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")), lambda s: s["out"])
+
+    def of(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("sizes"), carried(totals, F.lit(0)).alias("start")), lambda z: carried(z["sizes"], z["start"])))
+
+    def blocks_of(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(CARRIED))
+        return F.transform(starts, lambda i: F.slice(values, i + 1, F.lit(CARRIED)))
+
+    bound = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  computed once, not for each element
+    return bound(sizes, lambda v: bound(blocks_of(v), of))
+
+
+def _sorted_once(items: Column) -> Column:
+    """The items in order, equal ones once."""
+    own = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1) != x))
+    return F.element_at(F.transform(F.array(F.array_sort(items)), own), 1)
+
+
 def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with sentence_ids (identifiers of the known sentences, in order) and licenses (in the order of the rules).
 
     A known sentence may also be wrapped over lines: sentences are looked for both line by line and, where lines break inside a
     sentence, over the paragraph. What either finds counts, in the order of the text: by where a sentence begins, then by its
-    length; what both find counts once. Null and empty texts have empty lists. Each row is judged by itself, repeated ones too;
+    length; what both find counts once. Time follows a text's length, whatever
+    the number of its hits. Null and empty texts have empty lists. Each row is judged by itself, repeated ones too;
     an empty table gives an empty result. Columns named sentence_ids or licenses are replaced, all others pass through.
     """
     docs = docs.drop("sentence_ids", "licenses")
@@ -193,17 +223,17 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tup
 
     def hits(parts: Column) -> Column:
         """Known sentences as structs of at (letters and digits before it, alike in both views), n (its length) and s."""
-        kept = F.filter(F.transform(parts, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: (F.length(x["s"]) <= longest) & x["s"].isin(*known.values()))
-        before = lambda i: F.length(F.replace(F.array_join(F.slice(parts, F.lit(1), i), ""), F.lit(" "), F.lit("")))
-        return F.transform(kept, lambda x: F.struct(before(x["i"]).alias("at"), F.length(x["s"]).alias("n"), x["s"].alias("s")))
+        before = _sums_before(F.transform(parts, lambda s: F.length(F.replace(s, F.lit(" "), F.lit("")))))
+        kept = F.filter(F.arrays_zip(parts.alias("s"), before.alias("at")), lambda x: (F.length(x["s"]) <= longest) & x["s"].isin(*known.values()))
+        return F.transform(kept, lambda x: F.struct(x["at"].alias("at"), F.length(x["s"]).alias("n"), x["s"].alias("s")))
 
     once = lambda parts: F.flatten(F.transform(F.array(parts), hits))
     lines = once(sentences(F.col("text")))
     wrapped = once(sentences(F.regexp_replace("text", r"([^.!?;:\n\s])[ \t]*\n[ \t]*(?=\S)", "$1 ")))
-    ids = F.transform(F.array_sort(F.array_union(lines, wrapped)), lambda x: F.element_at(names, place(x["s"]).cast("int")))
+    ids = F.transform(_sorted_once(F.concat(lines, wrapped)), lambda x: F.element_at(names, place(x["s"]).cast("int")))
     rows = docs.withColumn("sentence_ids", F.when(hinted, ids).otherwise(F.array().cast("array<string>")))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
-    ordered = lambda rule: line.rlike(" " + " (?:.* )?".join(x.replace(".", r"\.") for x in rule.sentences) + " ")
+    ordered = lambda rule: line.rlike("^" + "".join("(?>.*? %s(?= ))" % x.replace(".", r"\.") for x in rule.sentences))
     found, done = [], set()
     for rule in rules:
         if rule.license not in done:
