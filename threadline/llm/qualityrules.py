@@ -11,6 +11,8 @@ from threadline.llm.textbytes import ODD, chunks, mixed, runs, span_hashes, tabl
 
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = b"#*$%&|<>"
+#: Words that are hashed in windows at once.
+SLICE = 1 << 18
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marks", "n_ended_lines")
 
 
@@ -27,7 +29,7 @@ def count_features(batch: pa.RecordBatch) -> np.ndarray:
     flags[2] = table("[A-Za-z]")
     flags[3] = table("[A-Z]") & (np.arange(256) < 128)
     flags[4, list(b"!?")] = True
-    sums = lambda mask: np.add.reduceat(np.append(mask, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0)
+    sums = lambda mask: np.add.reduceat(np.append(mask, False).view(np.uint8), offsets[:-1], dtype=np.int64) * (np.diff(offsets) > 0)
     inside = flags[0][data]
     head = (data & 0xC0) != 0x80  # bytes that begin a character
     out[:, 1] = sums(inside & head)
@@ -36,24 +38,34 @@ def count_features(batch: pa.RecordBatch) -> np.ndarray:
     out[:, 7] = sums(flags[3][data])
     out[:, 8] = sums(flags[4][data])
     start, end = runs(inside, offsets)
-    doc = np.searchsorted(offsets, start, "right") - 1
+    doc = (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
     out[:, 0] = np.bincount(doc, minlength=n)
-    word = span_hashes(data, start, end)
+    word = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), SLICE):
+        x, y = start[a : a + SLICE], end[a : a + SLICE]
+        word[a : a + SLICE] = span_hashes(data[x[0] : y[-1]], x - x[0], y - x[0])
+    del end, inside, head
     if len(word) > 2:
-        same = doc[2:] == doc[:-2]
-        first = np.flatnonzero(same)
-        three = mixed(mixed(mixed(word[first]) + word[first + 1]) + word[first + 2]) ^ mixed(doc[first].astype(np.uint64) * ODD)
-        _, where, times = np.unique(three, return_inverse=True, return_counts=True)
-        again = first[times[where] > 1]
-        covered = np.zeros(len(word), bool)
-        for i in range(3):
-            covered[again + i] = True
+        three = np.empty(len(word) - 2, np.uint64)
+        for a in range(0, len(three), SLICE):
+            w, d = word[a : a + SLICE + 2], doc[a : a + SLICE + 2][:-2]
+            three[a : a + SLICE] = mixed(mixed(mixed(w[:-2]) + w[1:-1]) + w[2:]) ^ mixed(d.astype(np.uint64) * ODD)
+        del word
+        three = three[doc[2:] == doc[:-2]]
+        sorted_ = np.sort(three)
+        twice = np.unique(sorted_[1:][sorted_[1:] == sorted_[:-1]])
+        del sorted_
+        covered, first = np.zeros(len(doc), bool), np.flatnonzero(doc[2:] == doc[:-2])
+        for a in range(0, len(three), SLICE) if len(twice) else ():
+            t = three[a : a + SLICE]
+            again = first[a : a + SLICE][twice[np.minimum(np.searchsorted(twice, t), len(twice) - 1)] == t]
+            for i in range(3):
+                covered[again + i] = True
         out[:, 4] = np.bincount(doc[covered], minlength=n)
     # lines, of which those with a word count
     a, b = runs(data != 10, offsets)
     line_doc = np.searchsorted(offsets, a, "right") - 1
-    worded = np.concatenate([[0], np.cumsum(inside)])
-    keep = worded[b] > worded[a]
+    keep = np.searchsorted(start, b) > np.searchsorted(start, a)
     a, b, line_doc = a[keep], b[keep], line_doc[keep]
     out[:, 5] = np.bincount(line_doc, minlength=n)
     line = span_hashes(data, a, b) ^ mixed(line_doc.astype(np.uint64) * ODD)
@@ -102,11 +114,8 @@ def votes() -> dict[str, Column]:
 
 
 #: Before any row is seen, how often a rule votes -1, 0, 1 on good rows, on rows bad in its own way, and in another way; each
-#: counts as BEFORE rows.
-GOOD, OWN, OTHER, BEFORE = (0.02, 0.18, 0.8), (0.9, 0.05, 0.05), (0.1, 0.2, 0.7), 4.0
-#: What is believed of how often a rule accuses good rows and rows bad in its own way, and how many rows the belief is worth, as a
-#: multiple of all rows and of that kind's rows. It keeps the kinds from trading places; the votes move the estimates around it.
-FALSE_ALARM, SURE = (0.005, 2.0), (0.9, 1.0)
+#: counts as BEFORE rows, however many rows there are.
+GOOD, OWN, OTHER, BEFORE = (0.02, 0.18, 0.8), (0.7, 0.15, 0.15), (0.1, 0.2, 0.7), 4.0
 
 
 def posteriors(votes_: np.ndarray, share: np.ndarray, table_: np.ndarray) -> np.ndarray:
@@ -116,15 +125,14 @@ def posteriors(votes_: np.ndarray, share: np.ndarray, table_: np.ndarray) -> np.
     return out / out.sum(1, keepdims=True)
 
 
-def fit(
-    patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 300, false_alarm: tuple[float, float] = FALSE_ALARM, sure: tuple[float, float] = SURE
-) -> tuple[np.ndarray, np.ndarray]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, known: list[tuple[tuple[int, ...], bool, int]] = (), rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over counted vote patterns: the shares of rows that are good, and bad in each rule's way, and
     how often each rule votes -1, 0, 1 on each of these kinds of rows ((1 + rules) x rules x 3).
 
-    There is a kind of bad rows for each rule, since what one rule finds, others needn't. Votes are independent given the
-    kind. All shares are estimated from the votes, with priors: Dirichlet ones worth BEFORE rows, and Beta ones on how often a
-    rule accuses good rows (false_alarm) and its own kind (sure). No estimate is clamped. Ends when nothing changes any more.
+    There is a kind of bad rows for each rule, since what one rule finds, others needn't. Votes are independent given the kind.
+    known: patterns of labelled rows, whether they are good, and how many; these stay good, or bad in one way or another, and
+    so tell what votes alone can't: whether a rule that no other one confirms finds bad rows or accuses good ones. All shares
+    are estimated, under Dirichlet priors worth BEFORE rows (1 row for the shares of kinds). Ends when nothing changes any more.
     """
     kinds = 1 + rules
     before = np.empty((kinds, rules, 3))
@@ -132,40 +140,58 @@ def fit(
     before[np.arange(1, kinds), np.arange(rules)] = OWN
     share, table_ = np.full(kinds, 0.1 / max(1, rules)), before.copy()
     share[0] = 0.9
-    if not patterns:
+    if not len(patterns) + len(known):
         return share, table_
-    v, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
-    # at first a row is bad in the ways that its rules name, and good if none does
-    part = np.concatenate([(v != -1).all(1, keepdims=True), v == -1], 1) * n[:, None] / np.maximum(1, (v == -1).sum(1, keepdims=True))
+    rows = [(p, c, True, True) for p, c in patterns] + [(p, c, good, not good) for p, good, c in known]
+    v, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    may = np.repeat(np.array([r[2:] for r in rows], float), [1, rules], 1)
+    # at first a row is bad in the ways that its rules name, and good if none does, as far as its label allows
+    part = np.concatenate([(v != -1).all(1, keepdims=True), v == -1], 1) * may
+    part = np.where(part.sum(1, keepdims=True) > 0, part, may)
     for turn in range(rounds):
         if turn:
-            part = posteriors(v, share, table_) * n[:, None]
-        size, old = part.sum(0), table_.copy()
-        share = (size + 1) / (n.sum() + kinds)
+            part = posteriors(v, share, table_) * may + 1e-300 * may
+        part = part / part.sum(1, keepdims=True) * n[:, None]
+        old = table_.copy()
+        share = (part.sum(0) + 1) / (n.sum() + kinds)
         for j in range(rules):
             counts = np.stack([np.bincount(v[:, j] + 1, part[:, k], 3) for k in range(kinds)]) + BEFORE * before[:, j]
             table_[:, j] = counts / counts.sum(1, keepdims=True)
-            for k, (mean, worth), rows in ((0, false_alarm, n.sum()), (j + 1, sure, size[j + 1])):
-                accuses = (counts[k, 0] + worth * rows * mean) / (counts[k].sum() + worth * rows)
-                table_[k, j, 1:] *= (1 - accuses) / table_[k, j, 1:].sum()
-                table_[k, j, 0] = accuses
-        if turn and np.abs(table_ - old).max() < 1e-9:
+        if turn and np.abs(table_ - old).max() < 1e-7:
             break
     return share, table_
 
 
-def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def _known(counted: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
+    """Vote patterns of labelled rows and how many there are; rows of an id are counted before they meet its label."""
+    rules = votes()
+    own = counted.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id"), *[c.alias(k) for k, c in rules.items()]).agg(F.count("*").alias("n"))
+    given = labels.where("quality is not null").groupBy(F.col(id_column).alias("_id")).agg(F.min("quality").alias("_low"), F.max("quality").alias("_high")).where("_low = _high")
+    return own.join(given, "_id").groupBy(*rules, (F.col("_high") > 0).alias("good")).agg(F.sum("n").alias("n"))
+
+
+def judge(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id") -> DataFrame:
     """id, COUNTS, base_failed, posterior (the probability that the row is good) and kept, for every row.
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. All others are kept where the
-    posterior is 0.5 or more. What votes are worth comes from the votes on all rows, as counts of vote patterns (3 ** rules at most).
-    Null and empty texts fail; repeated rows are judged each by itself; an empty table gives an empty result.
+    posterior is 0.5 or more. What votes are worth comes from the votes on all rows, as counts of vote patterns (3 ** rules at most),
+    and from the labels (id and quality, 1 for good and 0 for bad) of as many rows as have one; ids with labels of both sorts count
+    as unlabelled. Labels never decide a row itself: equal votes give equal posteriors.
+    Null and empty texts fail; repeated rows are judged each by itself; long texts take some ten bytes a byte; an empty table gives
+    an empty result.
     """
     counted = durable(features(docs, id_column))
     rules = votes()
     voted = counted.select(*[c.alias(k) for k, c in rules.items()])
     patterns = [(tuple(r[k] for k in rules), r["n"]) for r in voted.groupBy(*rules).agg(F.count("*").alias("n")).collect()]
-    share, table_ = fit(sorted(patterns), len(rules))
+    known = []
+    if labels is not None:
+        known = sorted((tuple(r[k] for k in rules), r["good"], r["n"]) for r in _known(counted, labels, id_column).collect())
+        seen: dict[tuple[int, ...], int] = {}
+        for p, _, n in known:
+            seen[p] = seen.get(p, 0) + n
+        patterns = [(p, n - seen.get(p, 0)) for p, n in patterns if n > seen.get(p, 0)]
+    share, table_ = fit(sorted(patterns), len(rules), known)
     # the odds of each kind against good rows, from the rules' votes
     odds = F.lit(0.0)
     for kind in range(1, len(share)):
