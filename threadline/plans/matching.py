@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadline.functions import signal, similarity, text
-from threadline.operators import corpus as corpora, search, similar
+from threadline.operators import corpus as corpora, fragments, search, similar
 from threadline.plans.queries import CANDIDATES, CORPUS, EVIDENCE, FLAT, NORM, P, STEM, STOP, _corpus, _queries, _t
 from threadline.streaming import sinks, tracker
 
@@ -147,6 +147,14 @@ def similar_stem_pairs(spark, d):
     return found.select("word", "other", F.round("ratio", 6).alias("ratio"))
 
 
+def fragment_places(spark, d):
+    """Which documents have a benchmark item in them, with a tenth of its letters wrong at most, and where."""
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("needle_id"), text.normalize(F.col("text"), P).alias("text"))
+    docs = _t(spark, d, "documents").select("doc_id", text.normalize(F.col("text"), P).alias("text"))
+    found = fragments.find_fragments(items, docs, 0.9, "doc_id")
+    return found.select("needle_id", "doc_id", F.round("ratio", 6).alias("ratio"), "start")
+
+
 def top_seeds(spark, d):
     found = search.nearest(_queries(spark, d), _corpus(spark, d), n=search.SEEDS, profile=P)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "group_id", "ordinal", "score")
@@ -369,5 +377,5 @@ SELECT session_id, returns, groups, regressions, leaps, last_group, reach FROM n
 
 ALL = (
     similarity_scores, stem_evidence, evidence_hits, word_alignment, phrase_predicates, key_lookup, row_count, group_index, neighbours, span_backtrack, group_match, hint_fallback,
-    fuzzy_theta_join, similar_stem_pairs, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
+    fuzzy_theta_join, similar_stem_pairs, fragment_places, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
 )
