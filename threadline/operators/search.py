@@ -28,10 +28,51 @@ def queries(rows: DataFrame, profile: Profile = ARABIC) -> DataFrame:
     return out.withColumn("evidence", evidence_stems(F.col("words"), profile))
 
 
+#: A stem in more rows than this, and than a PARTS-th of all entries of the index, is frequent; so at most PARTS stems are.
+FREQUENT, PARTS = 10_000, 4096
+
+
+def frequent_stems(counts: DataFrame, least: int = FREQUENT) -> DataFrame:
+    """stem and _pieces, in how many pieces its rows are dealt, of the frequent stems. counts: stem and n, its rows."""
+    most = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // PARTS)
+    return counts.where(F.col("n") > most).select("stem", F.ceil(F.col("n") / most).cast("int").alias("_pieces"))
+
+
+def _dealt(index: DataFrame, frequent: DataFrame) -> DataFrame:
+    """index with _piece: the rows of a frequent stem are dealt into pieces, all others are one."""
+    pieces = F.coalesce("_pieces", F.lit(1))
+    return index.join(F.broadcast(frequent), "stem", "left").withColumn("_piece", F.pmod(F.xxhash64("group_id", "ordinal"), pieces).cast("int")).drop("_pieces")
+
+
+def sharing_stems(queries_: DataFrame, corpus: DataFrame, least: int = 1, frequent: int = FREQUENT) -> DataFrame:
+    """query_id, group_id, ordinal and shared, the number of stems in common, of rows that share `least` or more with the query.
+
+    Of a query's n stems only the n - least + 1 rarest in the corpus are looked up: a row that has `least` of them has one of
+    these. Rows of frequent stems are dealt into pieces, which a query that asks for the stem meets one by one, so that no task
+    has a stem of all rows; as at most PARTS stems are frequent, they are broadcast. Queries of fewer stems than `least` find
+    nothing; null evidence counts as none. Ids are unique in queries_ and in corpus.
+    """
+    index = stem_index(corpus)
+    counts = durable(index.groupBy("stem").agg(F.count("*").alias("n")))
+    often = durable(frequent_stems(counts, frequent))
+    asked = queries_.where(F.size("evidence") >= least).select("query_id", F.size("evidence").alias("_size"), F.explode("evidence").alias("stem"))
+    if least > 1:
+        rarest = Window.partitionBy("query_id").orderBy("n", "stem")
+        asked = asked.join(counts, "stem", "left").withColumn("_rank", F.row_number().over(rarest)).where(F.col("_rank") <= F.col("_size") - least + 1)
+    asked = asked.select("query_id", "stem").join(F.broadcast(often), "stem", "left")
+    asked = asked.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    found = asked.join(_dealt(index, often), ["stem", "_piece"]).groupBy("query_id", "group_id", "ordinal").agg(F.count("*").alias("shared"))
+    if least == 1:
+        return found
+    own = queries_.select("query_id", F.col("evidence").alias("_wanted"))
+    both = found.drop("shared").join(own, "query_id").join(corpus.select("group_id", "ordinal", "evidence"), ["group_id", "ordinal"])
+    both = both.select("query_id", "group_id", "ordinal", F.size(F.array_intersect("_wanted", "evidence")).cast("long").alias("shared"))
+    return both.where(F.col("shared") >= least)
+
+
 def sharing_a_stem(queries_: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, group_id, ordinal of rows that share evidence with the query."""
-    wanted = queries_.select("query_id", F.explode("evidence").alias("stem"))
-    return wanted.join(stem_index(corpus), "stem").select("query_id", "group_id", "ordinal").distinct()
+    return sharing_stems(queries_, corpus).drop("shared")
 
 
 def similar_stems(queries_: DataFrame, corpus: DataFrame, profile: Profile = ARABIC, threshold: float = 0.72) -> DataFrame:

@@ -135,6 +135,11 @@ def hint_fallback(spark, d):
     return search.hint_or_global(own, other, 0.25).select("query_id", "group_id", "ordinal", F.round("score", 6).alias("score"))
 
 
+def stem_overlap(spark, d):
+    """The turns that share three stems or more with a benchmark item."""
+    return search.sharing_stems(_queries(spark, d), _corpus(spark, d), 3)
+
+
 def fuzzy_theta_join(spark, d):
     """The turns with a stem that is close to one of a benchmark item's."""
     return search.similar_stems(_queries(spark, d), _corpus(spark, d), P)
@@ -348,6 +353,7 @@ SELECT r.group_id, r.ordinal, CAST(n AS BIGINT) AS matched, len(nw) AS total, le
     "hint_fallback": f"""WITH {HINTED}, other AS ({_scored("SELECT a.group_id || '/' || a.ordinal AS query_id, b.group_id, b.ordinal, a.text AS q, b.text AS t FROM f a JOIN f b ON b.group_id = a.group_id + 1", 'q', 't')}),
 far AS (SELECT * FROM other QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY direct_ DESC, group_id, ordinal) = 1), good AS (SELECT * FROM best WHERE direct_ >= 0.25)
 SELECT query_id, group_id, ordinal, round(direct_, 6) AS score FROM (SELECT * FROM good UNION ALL SELECT * FROM far WHERE query_id NOT IN (SELECT query_id FROM good))""",
+    "stem_overlap": f"WITH {CORPUS}, x AS (SELECT CAST(item_id AS VARCHAR) AS query_id, unnest({EVIDENCE}) AS stem FROM benchmark), y AS (SELECT group_id, ordinal, unnest(evidence) AS stem FROM c) SELECT query_id, group_id, ordinal, count(*) AS shared FROM x JOIN y USING (stem) GROUP BY ALL HAVING count(*) >= 3",
     "fuzzy_theta_join": f"""WITH {CORPUS}, x AS (SELECT CAST(item_id AS VARCHAR) AS query_id, list_transform({EVIDENCE}, lambda s: {L(x='s')}) AS evidence FROM benchmark),
 y AS (SELECT group_id, ordinal, list_transform({LONG}, lambda s: {L(x='s')}) AS longs FROM c),
 a AS (SELECT DISTINCT unnest(evidence) AS a FROM x), b AS (SELECT DISTINCT unnest(longs) AS b FROM y), k AS (SELECT a, b FROM a, b WHERE {NEAR.format(a='a', b='b', t='0.72')})
@@ -377,5 +383,5 @@ SELECT session_id, returns, groups, regressions, leaps, last_group, reach FROM n
 
 ALL = (
     similarity_scores, stem_evidence, evidence_hits, word_alignment, phrase_predicates, key_lookup, row_count, group_index, neighbours, span_backtrack, group_match, hint_fallback,
-    fuzzy_theta_join, similar_stem_pairs, fragment_places, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
+    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
 )
