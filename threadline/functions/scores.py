@@ -53,6 +53,15 @@ def fast_direct(text: pd.Series, row: pd.Series) -> pd.Series:
     return pd.Series(np.where((n == 0) | (size == 0), 0.0, _with_fragments(text, row, base, wide)))
 
 
+@F.pandas_udf(T.DoubleType())
+def fast_scoped(text: pd.Series, row: pd.Series) -> pd.Series:
+    """What similarity.scoped_score() gives without a bonus."""
+    base = _base(text, row)
+    n, size = text.fillna("").str.len().to_numpy(), row.fillna("").str.len().to_numpy()
+    several = np.array([len(t.split()) >= 2 for t in text.fillna("")], bool)
+    return pd.Series(_with_fragments(text.fillna(""), row.fillna(""), base, several & (n >= 8) & ((base > 0.2) | (size > 3 * n))))
+
+
 class _Heard:
     """A query's evidence, and which of it each stem of rows is close to."""
 

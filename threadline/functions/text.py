@@ -23,6 +23,13 @@ class Profile:
     generic: tuple[str, ...] = ()
     opening: tuple[str, ...] = ()
     formula: tuple[str, ...] = ()
+    #: A row opens with the phrase if it has one of the cues, the word and the stem; it nearly does with one of these or of the
+    #: cues as they may be heard, nearly the stem, and the word or nearly the other stem.
+    cues: tuple[str, ...] = ()
+    heard_cues: tuple[str, ...] = ()
+    phrase_word: str = ""
+    phrase_stem: str = ""
+    phrase_other: str = ""
 
 
 # The Arabic profile.
@@ -36,9 +43,16 @@ ARABIC = Profile(
     generic=tuple("الله لله سماوات سماء ارض رب رحمن رحيم هذا هذه ذلك تلك الذي الذين التي وما وهو وهي ومن وفي وال على علي الى الي في من ما لا لم لن ان كان لقد".split()),
     opening=tuple("بسم اسم الله رحمن رحيم حمد رب عالم".split()),
     formula=tuple("بسم اسم الله رحمن رحيم".split()),
+    cues=("بسم", "اسم"),
+    heard_cues=("بس",),
+    phrase_word="الله",
+    phrase_stem="رحيم",
+    phrase_other="رحمن",
 )
 #: For texts in Latin letters.
-LATIN = Profile(lower=True, suffixes=("tion", "ing", "ed", "ly", "er", "es"), stop_words=("this", "that", "with", "from", "have"), generic=("this", "that", "from"), opening=("the", "and", "with"), formula=("the", "and"))
+LATIN = Profile(
+    lower=True, suffixes=("tion", "ing", "ed", "ly", "er", "es"), stop_words=("this", "that", "with", "from", "have"), generic=("this", "that", "from"), opening=("the", "and", "with"), formula=("the", "and"),
+    cues=("is", "was"), heard_cues=("as",), phrase_word="the", phrase_stem="thing", phrase_other="these")
 
 GAP = r"[\p{P}\p{S}\p{Z}\s\x{85}]+"
 
@@ -115,14 +129,18 @@ def is_generic(words_: Column, profile: Profile = ARABIC) -> Column:
     return F.forall(stems(words_, profile), lambda s: s.isin(*profile.opening) if profile.opening else F.lit(False))
 
 
+def _any_of(words_: Column, wanted: tuple[str, ...]) -> Column:
+    return F.exists(words_, lambda w: w.isin(*wanted)) if wanted else F.lit(False)
+
+
 def is_opening_phrase(words_: Column, profile: Profile = ARABIC) -> Column:
-    """The opening formula, word for word (Arabic profile)."""
-    return (F.array_contains(words_, "بسم") | F.array_contains(words_, "اسم")) & F.array_contains(words_, "الله") & F.array_contains(F.transform(words_, lambda w: stem(w, profile)), "رحيم")
+    """The profile's opening phrase, word for word."""
+    has_stem = F.array_contains(F.transform(words_, lambda w: stem(w, profile)), profile.phrase_stem)
+    return _any_of(words_, profile.cues) & F.array_contains(words_, profile.phrase_word) & has_stem
 
 
 def is_near_opening_phrase(words_: Column, profile: Profile = ARABIC, threshold: float = 0.78) -> Column:
-    """The opening formula, as it may have been heard (Arabic profile)."""
+    """The profile's opening phrase, as it may have been heard."""
     own = F.transform(words_, lambda w: stem(w, profile))
     near = lambda wanted: F.exists(own, lambda s: 1 - F.levenshtein(s, F.lit(wanted)) / F.greatest(F.length(s), F.lit(len(wanted))) >= threshold)
-    cue = F.array_contains(words_, "بسم") | F.array_contains(words_, "بس") | F.array_contains(words_, "اسم")
-    return cue & near("رحيم") & (near("رحمن") | F.array_contains(words_, "الله"))
+    return _any_of(words_, (*profile.cues, *profile.heard_cues)) & near(profile.phrase_stem) & (near(profile.phrase_other) | F.array_contains(words_, profile.phrase_word))

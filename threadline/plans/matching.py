@@ -160,6 +160,14 @@ def fragment_places(spark, d):
     return found.select("needle_id", "doc_id", F.round("ratio", 6).alias("ratio"), "start")
 
 
+def scoped_scores(spark, d):
+    """Each turn as what is heard at its own place: the scores of what is near it, the next group's first turn included. Turns count from 1."""
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), (F.col("turn") + 1).cast("int").alias("ordinal"), F.col("text").alias("raw_text"), F.col("text").alias("clean_text"))
+    c = corpora.prepare(rows, P)
+    here = c.select(F.concat_ws("/", "group_id", "ordinal").alias("query_id"), "text", F.col("group_id").alias("current_group"), F.col("ordinal").alias("current_ordinal"))
+    return search.scoped(here, c).select("query_id", "group_id", "ordinal", F.round("score", 6).alias("score"))
+
+
 def top_seeds(spark, d):
     found = search.nearest(_queries(spark, d), _corpus(spark, d), n=search.SEEDS, profile=P)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "group_id", "ordinal", "score")
@@ -304,6 +312,10 @@ GENERIC = ", ".join(f"'{w}'" for w in P.generic)
 OPENING = ", ".join(f"'{w}'" for w in P.opening)
 
 
+HAS = "len(list_filter({l}, lambda w: w IN ({x}))) > 0"
+NEARLY = f"len(list_filter(list_transform(list_transform(words, lambda w: {STEM}), lambda s: {L(x='s')}), lambda s: 1 - levenshtein(s, '{{x}}')::DOUBLE / greatest(length(s), 5) >= 0.78)) > 0"
+
+
 def _tail(best: str) -> str:
     scores = f"list_transform(ns[greatest(len(ns) - 3, 1):], lambda r: {best.format(r='r')})"
     return (
@@ -343,7 +355,8 @@ r AS (SELECT group_id, ordinal, 0 AS k, 0 AS pos, 0 AS n FROM p
       FROM r JOIN p USING (group_id, ordinal) WHERE k < len(nw))))
 SELECT r.group_id, r.ordinal, CAST(n AS BIGINT) AS matched, len(nw) AS total, len(nw) > 0 AND n >= 0.2::DOUBLE * len(nw) AS covered FROM r JOIN p USING (group_id, ordinal) WHERE k = len(nw)""",
     "phrase_predicates": f"""WITH {CORPUS} SELECT group_id, ordinal, len(list_filter(list_transform(words[1:2], lambda w: {STEM}), lambda s: length(s) >= 3 AND s NOT IN ({OPENING}))) = 0 AS generic_start,
-  false AS opens, false AS nearly_opens, array_to_string(words[1:3], ' ') AS head, array_to_string(words[greatest(len(words) - 3, 1):], ' ') AS tail FROM c""",
+  {HAS.format(l='words', x="'is', 'was'")} AND list_contains(words, 'the') AND list_contains(list_transform(words, lambda w: {STEM}), 'thing') AS opens,
+  {HAS.format(l='words', x="'is', 'was', 'as'")} AND {NEARLY.format(x='thing')} AND ({NEARLY.format(x='these')} OR list_contains(words, 'the')) AS nearly_opens, array_to_string(words[1:3], ' ') AS head, array_to_string(words[greatest(len(words) - 3, 1):], ' ') AS tail FROM c""",
     "key_lookup": f"WITH {CORPUS} SELECT group_id, ordinal, text FROM c WHERE group_id = 1 AND ordinal = 0",
     "row_count": "SELECT count(*) AS n_rows FROM conversations",
     "group_index": "SELECT conv_id AS group_id, string_agg(CAST(turn AS VARCHAR), ' ' ORDER BY turn) AS ordinals, CAST(min(turn) AS INTEGER) AS first_ordinal, CAST(max(turn) AS INTEGER) AS last_ordinal FROM conversations GROUP BY conv_id",
@@ -360,6 +373,11 @@ a AS (SELECT DISTINCT unnest(evidence) AS a FROM x), b AS (SELECT DISTINCT unnes
 SELECT DISTINCT query_id, group_id, ordinal FROM (SELECT query_id, unnest(evidence) AS a FROM x) JOIN k USING (a) JOIN (SELECT group_id, ordinal, unnest(longs) AS b FROM y) USING (b)""",
     "similar_stem_pairs": f"""WITH a AS (SELECT DISTINCT s AS word, {L(x='s')} AS a FROM (SELECT unnest({EVIDENCE}) AS s FROM benchmark)), b AS (SELECT DISTINCT s AS other, {L(x='s')} AS b FROM (SELECT unnest({EVIDENCE}) AS s FROM documents))
 SELECT word, other, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS ratio FROM a JOIN b ON length(a) >= 0.7 * length(b) AND length(b) >= 0.7 * length(a) WHERE {NEAR.format(a='a', b='b', t='0.72')}""",
+    "scoped_scores": f"""WITH {FLAT_ROWS}, c AS (SELECT group_id, ordinal + 1 AS ordinal, text, max(ordinal + 1) OVER w AS top, min(ordinal + 1) OVER w AS low FROM f WINDOW w AS (PARTITION BY group_id)),
+p AS (SELECT a.group_id || '/' || a.ordinal AS query_id, b.group_id, b.ordinal, a.text AS q, b.text AS t, CASE WHEN b.group_id = a.group_id AND b.ordinal = a.ordinal + 1 OR b.group_id = a.group_id + 1 AND b.ordinal = 1 AND a.ordinal = a.top THEN 0.22::DOUBLE ELSE 0 END AS bonus
+  FROM c a JOIN c b ON b.group_id = a.group_id AND b.ordinal BETWEEN a.ordinal - 3 AND a.ordinal + 3 OR a.ordinal = a.top AND b.group_id = a.group_id + 1 AND b.ordinal = b.low),
+s AS ({_scored('SELECT * FROM p', 'q', 't')})
+SELECT query_id, group_id, ordinal, round(least(1.0, CASE WHEN {WORDS_OF.format(x='q')} >= 2 AND length(q) >= 8 AND (full_ > 0.2 OR length(t) > 3 * length(q)) THEN greatest(full_, fragment_) ELSE full_ END + bonus), 6) AS score FROM s""",
     "top_seeds": f"""WITH {CANDIDATES}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) AS rank FROM r) SELECT query_id, rank, group_id, ordinal, score FROM k WHERE rank <= 20""",
     "ambiguous_rows": f"WITH {NAMED} SELECT query_id, group_id, ordinal, score FROM best b WHERE EXISTS (SELECT 1 FROM named n WHERE n.query_id = b.query_id AND (n.group_id <> b.group_id OR n.ordinal <> b.ordinal) AND n.score >= b.score - 0.05::DOUBLE)",
     "unrivalled_rows": f"WITH {NAMED} SELECT query_id, group_id, ordinal, score FROM named n WHERE ordinal = query_id - 1 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.query_id = n.query_id AND b.group_id <> n.group_id AND b.score >= n.score + 0.2::DOUBLE)",
@@ -383,5 +401,5 @@ SELECT session_id, returns, groups, regressions, leaps, last_group, reach FROM n
 
 ALL = (
     similarity_scores, stem_evidence, evidence_hits, word_alignment, phrase_predicates, key_lookup, row_count, group_index, neighbours, span_backtrack, group_match, hint_fallback,
-    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
+    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, scoped_scores, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
 )
