@@ -236,9 +236,50 @@ FROM d LEFT JOIN best USING (r) LEFT JOIN a USING (r)
 """
 
 
+#: The trees level by level, and each leaf's way up them; CRC-32 as in OP1.
+OP12 = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(e ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e FROM range(256) AS r(i))),
+f AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('1' || source, '0') AS g, text, {head} AS head, hex(encode(CAST(doc_id AS VARCHAR))) AS h, strlen(CAST(doc_id AS VARCHAR)) AS k FROM documents),
+c AS (
+  SELECT f.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(k), lambda i: CAST((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM f, steps),
+l AS (SELECT *, sha256(head || {text}) AS leaf, sha256(head || {given}) AS given FROM (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS given_text FROM c)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at_, count(*) OVER (PARTITION BY g) AS n FROM l),
+nodes(g, level, at_, n, h) AS (
+  SELECT g, 0, at_, n, leaf FROM placed
+  UNION ALL SELECT g, level + 1, at_ // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY at_)) FROM nodes WHERE n > 1 GROUP BY g, level, at_ // 3, n),
+tops AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS at_, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_(level, at_, n, h) AS (
+  SELECT 0, at_, n, h FROM tops
+  UNION ALL SELECT level + 1, at_ // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY at_)) FROM upper_ WHERE n > 1 GROUP BY level, at_ // 3, n),
+way(r, g, level, at_, n, x, proof) AS (
+  SELECT r, g, 0, at_, n, given, '' FROM placed
+  UNION ALL
+  SELECT w.r, w.g, w.level + 1, w.at_ // 3, (w.n + 2) // 3, sha256(string_agg(CASE WHEN m.at_ = w.at_ THEN w.x ELSE m.h END, '' ORDER BY m.at_)),
+    w.proof || coalesce(string_agg(m.h, '' ORDER BY m.at_) FILTER (m.at_ <> w.at_), '')
+  FROM way w JOIN nodes m ON m.g = w.g AND m.level = w.level AND m.at_ // 3 = w.at_ // 3 WHERE w.n > 1 GROUP BY w.r, w.g, w.level, w.at_, w.n, w.x, w.proof),
+last_(r, level, at_, n, x, proof) AS (
+  SELECT r, 0, tops.at_, tops.n, x, proof FROM way JOIN tops USING (g) WHERE way.n = 1
+  UNION ALL
+  SELECT w.r, w.level + 1, w.at_ // 3, (w.n + 2) // 3, sha256(string_agg(CASE WHEN m.at_ = w.at_ THEN w.x ELSE m.h END, '' ORDER BY m.at_)),
+    w.proof || coalesce(string_agg(m.h, '' ORDER BY m.at_) FILTER (m.at_ <> w.at_), '')
+  FROM last_ w JOIN upper_ m ON m.level = w.level AND m.at_ // 3 = w.at_ // 3 WHERE w.n > 1 GROUP BY w.r, w.level, w.at_, w.n, w.x, w.proof)
+SELECT doc_id, leaf, tops.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = root.h AS verified
+FROM placed JOIN last_ USING (r) JOIN tops ON placed.g = tops.g, (SELECT h FROM upper_ WHERE n = 1) AS root WHERE last_.n = 1
+"""
+
+
+def _leaf_field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
 def oracle_sql() -> dict[str, str]:
     known = ", ".join(f"('{k}', '{s}')" for k, s in licenses.SENTENCES.items())
     first = {r.license: i for i, r in reversed(list(enumerate(licenses.RULES)))}
     rules = ", ".join("(%d, '%s', '%s')" % (first[r.license], r.license, " " + " (?:.* )?".join(x.replace(".", r"\.") for x in r.sentences) + " ") for r in licenses.RULES)
     out = {"op1_sharding": OP1, "op3_url_filter": OP3, "op5_mixing": OP5, "op6_decontamination": OP6, "op10_license_scan": OP10.replace("{known}", known).replace("{rules}", rules)}
+    out["op12_merkle_manifest"] = OP12.replace("{head}", " || ".join(_leaf_field(c) for c in merkle.COLUMNS[:-1])).replace("{text}", _leaf_field("text")).replace("{given}", _leaf_field("given_text"))
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
