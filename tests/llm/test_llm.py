@@ -297,6 +297,32 @@ def test_titles_decide_gender_and_later_mentions_follow(spark):
         surrogates.replace_entities(documents(spark, texts), "")
 
 
+def test_names_are_distinct_and_coherent(spark, monkeypatch):
+    """3,000 surnames, each in a full name, after a title and by itself; against a replacement in plain Python, word by word."""
+    name = lambda i: "Q" + "".join("abcdefghij"[int(c)] for c in f"{i:04}") + "k"
+    texts = [f"Mr. Al{'bcde'[i % 4]}o {name(i)} came. Later {name(i)} said so." for i in range(3000)]
+    texts += [f"Dr. Al{'bcde'[i % 4]}o {name(i)} came. Mr. {name(i)} left, and {name(i + 1)} stayed." for i in range(3000)]
+    texts += ["Mrs. Albo Qaaaak met Ms. Qaaabk Stone. Qaaabk Stone and Albo left.", "Mr. Alco. Alco Qaaack, Mr. Qaaack."]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(documents(spark, texts), KEY).collect()}
+    names, new = {}, {}
+    for i, text in enumerate(texts):
+        titled = re.findall(r"(?:Mr|Dr|Mrs|Ms)\. (\w+)(?: ([A-Z]\w+))?", text)
+        made = re.findall(r"(?:Mr|Dr|Mrs|Ms)\. (\w+)(?: ([A-Z]\w+))?", got[i])
+        for w, n in zip(sum(titled, ()), sum(made, ())):
+            assert bool(w) == bool(n) and names.setdefault(w, n) == n and new.setdefault(n or w, w) == w
+    assert len(names) == len(new) == 3000 + 4 + 2 and not set(new) & set(names) - {""}
+    for i, text in enumerate(texts):
+        own = set(sum(re.findall(r"(?:Mr|Dr|Mrs|Ms)\. (\w+)(?: ([A-Z]\w+))?", text), ()))
+        assert got[i] == re.sub(r"\w+", lambda m: names[m[0]] if m[0] in own else m[0], text)
+    few = documents(spark, texts[2990:3010] + texts[-2:])
+    monkeypatch.setattr(surrogates, "NAME_SYLLABLES", 1)  # 53 names, so that most clash
+    some = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(few, KEY).collect()}
+    monkeypatch.setattr(surrogates, "MOST_EXCEPTIONS", 3)
+    assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(few, KEY).collect()} == some
+    made = {m for t in some.values() for m in re.findall(r"[A-Z][a-z]+(?:ler|ron|na)\b", t)}
+    assert len(made) == len({w for t in texts[2990:3010] + texts[-2:] for w in re.findall(r"Q\w+|Al[bcde]o|Stone", t)} - {name(10)})
+
+
 HEADERS = {
     "GPL-3.0-or-later": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
     "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",

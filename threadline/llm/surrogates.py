@@ -26,6 +26,8 @@ SYLLABLES = {
     "Latin": "ba be bi bo da de di do fa fe fi fo ga ge go ha he ho ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se so ta te ti to va ve vi vo za ze zo".split(),
     "Cyrillic": "ба бе би бо да де ди до га ге го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе по ра ре ри ро са се со та те ти то ва ве ви во за зе зо".split(),
 }
+#: Syllables of an invented name at first: 53 to the power of 4 are 7.9 million names before any gets longer.
+NAME_SYLLABLES = 4
 #: Without a title that tells, given names that end like these are taken for women's; Cyrillic surnames tell by themselves.
 FEMININE = "(?:a|e|ie|y|а|я)$"
 #: Up to so many entities whose surrogate isn't their first choice are named in the plan; more are joined to the texts.
@@ -61,6 +63,14 @@ def _gender(match: Column) -> Column:
     return F.when(match.rlike(WOMEN), F.lit("f")).when(match.rlike(MEN), F.lit("m")).otherwise(F.lit("n"))
 
 
+def _parts(match: Column) -> Column:
+    """The entities of a match, as structs of e and g: each word of a name by itself, and all else whole. g is a given name's gender,
+    and s for surnames (the second of two words, or a single one) and whatever is no name."""
+    given = F.when(F.contains(_bare(match), F.lit(" ")), _gender(match)).otherwise(F.lit("s"))
+    words = F.transform(F.split(_bare(match), " "), lambda w, i: F.struct(w.alias("e"), F.when(i == 0, given).otherwise(F.lit("s")).alias("g")))
+    return F.when(_bare(match) != match, words).otherwise(F.array(F.struct(match.alias("e"), F.lit("s").alias("g"))))
+
+
 def kind_of(entity: Column) -> Column:
     """The kind of a detected entity, from its form. What follows password= or token = has no form of its own and is a secret."""
     out = F.lit("secret")
@@ -161,26 +171,20 @@ def _email(entity: Column, key: str, attempt: Column) -> Column:
     return F.concat(_letters(F.concat(local), key + "|", F.concat(attempt.cast("string"), domain), "email"), F.lit("@mail"), F.substring(seed, 1, 10), F.lit(".example.org"))
 
 
-def _name(entity: Column, key: str, attempt: Column, gender: Column) -> Column:
-    """Each word becomes an invented name in its script, the same one wherever it is a surname or a given name of that gender. The
-    first of two words is a given name, whose ending tells its gender; a single word is a surname."""
-
-    def word(w: Column, i: Column) -> Column:
-        cyrillic = w.rlike(r"^\p{IsCyrillic}")
-        given = (i == 0) & F.contains(entity, F.lit(" "))
-        woman = F.when(given & (gender != "n"), gender == "f").otherwise(w.rlike(FEMININE))
-        seed = F.sha2(F.concat(F.lit(f"{key}:name:"), attempt.cast("string"), F.lit(":"), w).cast("binary"), 256)
+def _name(word: Column, key: str, attempt: Column, role: Column) -> Column:
+    """An invented name in the word's script. By its role it is a surname, or a given name whose ending tells its gender."""
+    cyrillic, given = word.rlike(r"^\p{IsCyrillic}"), role != "s"
+    woman = F.when(role.isin("f", "m"), role == "f").otherwise(word.rlike(FEMININE))
+    seed = F.sha2(F.concat(F.lit(f"{key}:name:"), attempt.cast("string"), F.lit(":"), word).cast("binary"), 256)
 
-        def made(script: str) -> Column:
-            pool = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-            part = lambda k: F.element_at(pool, F.pmod(_hash(key, seed, k), F.lit(len(SYLLABLES[script]))).cast("int") + 1)
-            return F.array_join(F.transform(F.sequence(F.lit(0), (F.lit(2) + F.floor(attempt / 3)).cast("int")), part), "")
+    def made(script: str) -> Column:
+        pool = F.array(*[F.lit(s) for s in SYLLABLES[script]])
+        part = lambda k: F.element_at(pool, F.pmod(_hash(key, seed, k), F.lit(len(SYLLABLES[script]))).cast("int") + 1)
+        return F.array_join(F.transform(F.sequence(F.lit(1), (F.lit(NAME_SYLLABLES) + F.floor(attempt / 3)).cast("int")), part), "")
 
-        latin = F.concat(made("Latin"), F.when(~given, F.lit("ler")).when(woman, F.lit("na")).otherwise(F.lit("ron")))
-        other = F.concat(made("Cyrillic"), F.when(~given & woman, F.lit("ина")).when(~given, F.lit("ин")).when(woman, F.lit("на")).otherwise(F.lit("рон")))
-        return F.initcap(F.when(cyrillic, other).otherwise(latin))
-
-    return F.array_join(F.transform(F.split(entity, " "), word), " ")
+    latin = F.concat(made("Latin"), F.when(~given, F.lit("ler")).when(woman, F.lit("na")).otherwise(F.lit("ron")))
+    other = F.concat(made("Cyrillic"), F.when(~given & woman, F.lit("ина")).when(~given, F.lit("ин")).when(woman, F.lit("на")).otherwise(F.lit("рон")))
+    return F.initcap(F.when(cyrillic, other).otherwise(latin))
 
 
 def _longer(entity: Column, key: str, attempt: Column) -> Column:
@@ -189,8 +193,8 @@ def _longer(entity: Column, key: str, attempt: Column) -> Column:
     return F.when(attempt < LONGER_FROM, F.lit("")).otherwise(F.substring(more, F.lit(1), (attempt - LONGER_FROM + 1) * 3))
 
 
-def surrogate(entity: Column, key: str, attempt: Column, gender: Column) -> Column:
-    """The stand-in of an entity: of its kind, its script, its gender and, but for names, mail domains and exhausted formats, its length and punctuation."""
+def surrogate(entity: Column, key: str, attempt: Column, role: Column) -> Column:
+    """The stand-in of an entity, names word by word: of its kind, its script, its role and, but for names, mail domains and exhausted formats, its length and punctuation."""
 
     def of(kind: Column) -> Column:
         code = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})\b", 1))).otherwise(F.lit(0))
@@ -201,7 +205,7 @@ def surrogate(entity: Column, key: str, attempt: Column, gender: Column) -> Colu
             .when(kind == "phone", _let(code, lambda n: _digits(entity, n, key, "phone", attempt)))
             .when(kind == "ssn", _digits(entity, F.lit(0), key, "ssn", attempt))
             .when(kind == "access_key", F.concat(F.substring(entity, 1, 4), _letters(F.substring(entity, F.lit(5), F.length(entity)), key, attempt, "access")))
-            .when(kind == "name", _name(entity, key, attempt, gender))
+            .when(kind == "name", _name(entity, key, attempt, role))
             .when(entity.rlike("^[0-9a-f]+$"), _hex(entity, key, attempt))
             .when(entity.rlike("^[0-9A-F]+$"), F.upper(_hex(entity, key, attempt)))
             .otherwise(_letters(entity, key, attempt, "secret"))
@@ -213,11 +217,11 @@ def surrogate(entity: Column, key: str, attempt: Column, gender: Column) -> Colu
 
 def _attempts(entities: DataFrame, key: str) -> DataFrame:
     """_e, _n and _g: entities that need another attempt than 0, so that no two entities share a surrogate and none gets a surrogate
-    that occurs as an entity itself; and names whose titles differ in what they tell, with the gender that is left. entities: _e
-    and _g, distinct. Who clashes goes on to its next attempt; as later ones are longer, the search ends even if all values of a
+    that occurs as an entity itself; and words of names that occur in several roles, with the one that is left: a given name's
+    before a surname's, of the gender that its titles tell, and n if they tell both or none. entities: _e and _g, distinct. Who clashes goes on to its next attempt; as later ones are longer, the search ends even if all values of a
     format occur."""
     men, women = F.bool_or(F.col("_g") == "m"), F.bool_or(F.col("_g") == "f")
-    settled = entities.groupBy("_e").agg(F.when(men & ~women, "m").when(women & ~men, "f").otherwise("n").alias("_g"), (F.count("*") > 1).alias("_differ"))
+    settled = entities.groupBy("_e").agg(F.when(men & ~women, "m").when(women & ~men, "f").when(F.bool_and(F.col("_g") == "s"), "s").otherwise("n").alias("_g"), (F.count("*") > 1).alias("_differ"))
     made = durable(settled.select("_e", "_g", "_differ", F.lit(0).alias("_n"), surrogate(F.col("_e"), key, F.lit(0), F.col("_g")).alias("_s")))
     known = made.select(F.col("_e").alias("_s"))
     while True:
@@ -238,7 +242,7 @@ def _literal(exceptions: dict[str, tuple[int, str]]) -> Column:
 
 def _with_attempts(rows: DataFrame, again: DataFrame) -> DataFrame:
     """rows with _attempts, a map from those of their entities in _found that are in again; null if none is."""
-    rows = rows.withColumn("_set", F.array_distinct(F.transform("_found", _bare)))
+    rows = rows.withColumn("_set", F.array_distinct(F.transform(F.flatten(F.transform("_found", _parts)), lambda p: p["e"])))
     some = rows.where(F.size("_set") > 0)
     sets = some.select("_set").distinct().select("_set", F.explode("_set").alias("_e")).join(again, "_e")
     maps = sets.groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("_e", F.struct(F.col("_n").alias("n"), F.col("_g").alias("g"))))).alias("_attempts"))
@@ -261,11 +265,13 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     """docs with their text rewritten, n_entities (occurrences) and kinds (the kinds found, sorted).
 
     Emails, access keys, passwords, tokens, IPv4 addresses, phone and card numbers, US social security numbers and names after
-    a title are replaced; so are the words of such a name wherever they stand in the same document. One entity has one
+    a title are replaced; so are the words of such a name wherever they stand in the same document. Entities are whole matches, but
+    for names their words: a word is one name wherever it occurs, so a full name and its surname agree. One entity has one
     surrogate in all documents, and no two entities share one: digits are permuted within their format by a keyed permutation,
     other surrogates are hashed with the key, and the surrogates of all distinct entities are checked against each other and
     against the entities themselves; who clashes tries again. Who has the key can undo the permutation, so there is no default
-    one. A title decides the gender of a given name; where titles of one name differ, the one that tells does. Null stays null,
+    one. A title decides the gender of a given name; where titles of one name differ, the one that tells does, and a word
+    that is a given name anywhere has a given name's surrogate everywhere. Null stays null,
     and texts without entities stay as they are. Every row counts by itself; an empty table gives an empty result. Columns named
     n_entities or kinds are replaced, all others pass through.
     """
@@ -275,7 +281,8 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     none = F.array().cast("array<string>")
     found = F.when(_may_hold(), F.regexp_extract_all(F.col("_text"), F.lit(_any()), F.lit(0))).otherwise(none)
     matches = docs.select(F.col(text).alias("_text")).select(F.explode(F.array_distinct(found)).alias("_m"))
-    entities = durable(matches.select(_bare(F.col("_m")).alias("_e"), _gender(F.col("_m")).alias("_g")).distinct())
+    parts = matches.select(F.explode(_parts(F.col("_m"))).alias("_p"))
+    entities = durable(parts.select(F.col("_p.e").alias("_e"), F.col("_p.g").alias("_g")).distinct())
     entities = durable(entities.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, entities.rdd.getNumPartitions()), "_e"))
     again = durable(_attempts(entities, key))
     few = again.limit(MOST_EXCEPTIONS + 1).collect()
@@ -286,11 +293,13 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     elif few:
         tried = _literal({r["_e"]: (r["_n"], r["_g"]) for r in few})
 
+    def stand_in(p: Column) -> Column:
+        first = F.struct(F.lit(0).alias("n"), p["g"].alias("g"))
+        return _let(first if tried is None else F.coalesce(F.element_at(tried, p["e"]), first), lambda t: surrogate(p["e"], key, t["n"], t["g"]))
+
     def parsed(m: Column) -> Column:
         """struct(m, e, new): a match, its entity and the entity's stand-in."""
-        first = F.struct(F.lit(0).alias("n"), _gender(m).alias("g"))
-        made = lambda e: _let(first if tried is None else F.coalesce(F.element_at(tried, e), first), lambda t: surrogate(e, key, t["n"], t["g"]))
-        return _let(_bare(m), lambda e: F.struct(m.alias("m"), e.alias("e"), made(e).alias("new")))
+        return F.struct(m.alias("m"), _bare(m).alias("e"), F.array_join(F.transform(_parts(m), stand_in), " ").alias("new"))
 
     rows = rows.withColumn("_parsed", F.transform("_found", parsed))
     pairs = lambda x: F.zip_with(F.split(x["e"], " "), F.split(x["new"], " "), lambda w, n: F.struct(w.alias("word"), n.alias("new")))
