@@ -85,7 +85,9 @@ def test_vocabulary_and_sound(spark, tmp_path):
     assert len(samples) == 1600 and samples[0] == pytest.approx(0.5)
 
 
-def test_what_came_before_in_groups_of_any_size(spark):
+@pytest.mark.parametrize("most", [1_000_000, 100, 0])
+def test_what_came_before_in_groups_of_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(ordered, "HOT_ROWS", most)
     rows = [(None if i % 7 == 0 else (i % 5 if i % 3 else 1), i, i * 31 % 17) for i in range(500)]
     df = spark.createDataFrame(rows, "g int, i int, x int").repartition(5)
     got = {r["i"]: r for r in ordered.with_previous(df, ["g"], ["i"], p=F.col("x"), q=F.col("i")).collect()}

@@ -163,7 +163,7 @@ def test_stream_of_chunks_equals_the_recording(spark, tmp_path):
         query = sinks.write_events(session.listen(stream, INDEX, Reader()), str(tmp_path / "out"), str(tmp_path / "check"), None)
         query.awaitTermination(180)
         assert query.exception() is None
-        out = spark.read.parquet(str(tmp_path / "out"))
+        out = sinks.read_events(spark, str(tmp_path / "out"))
         columns = ["session_id", "seq", "kind", "state", "text", "group_id", "ordinal", "status"]
         pick = lambda rs: sorted(tuple(r[c] for c in columns) for r in rs)
         assert pick(out.collect()) == pick(want) and any(r["kind"] == "row" for r in want)
@@ -184,7 +184,7 @@ def test_late_stalls_need_a_watermark(spark, tmp_path):
         query = sinks.write_events(session.listen(stream, INDEX, Reader(), event_time="at"), str(tmp_path / "out"), str(tmp_path / "check"), None)
         query.awaitTermination(180)
         assert query.exception() is None
-        got = spark.read.parquet(str(tmp_path / "out")).where("session_id = 'a' and kind = 'audio'").collect()
+        got = sinks.read_events(spark, str(tmp_path / "out")).where("session_id = 'a' and kind = 'audio'").collect()
         assert got and all(r["status"] == "silence" for r in got)
     finally:
         spark.conf.unset(conf)

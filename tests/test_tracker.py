@@ -236,7 +236,7 @@ def test_stream_equals_replay(spark, tmp_path, index):
         query = sinks.write_events(shown.withColumnRenamed("reason", "kind"), str(tmp_path / "out"), str(tmp_path / "check"), None, debug=True)
         query.awaitTermination(180)
         assert query.exception() is None
-        got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+        got = sorted(map(tuple, sinks.read_events(spark, str(tmp_path / "out")).collect()), key=str)
         assert got == want and len(got) > 20
     finally:
         spark.conf.unset(conf)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from threadline.functions import signal, similarity, text
 from threadline.operators import corpus as corpora, fragments, search, similar
 from threadline.plans.queries import CANDIDATES, CORPUS, EVIDENCE, FLAT, NORM, P, STEM, STOP, _corpus, _queries, _t
-from threadline.streaming import sinks, tracker
+from threadline.streaming import sinks, tracker, windows
 
 # Rows and what follows them
 
@@ -168,6 +168,14 @@ def scoped_scores(spark, d):
     return search.scoped(here, c).select("query_id", "group_id", "ordinal", F.round("score", 6).alias("score"))
 
 
+def sliding_looks(spark, d):
+    """Events as chunks of one sample, an hour of them for a second of sound."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("at"), F.array("value").alias("samples"))
+    of = (windows.Look("discovery", 12600.0, 720.0, 3, 1), windows.Look("tracking", 8100.0, 720.0, 2, 1))
+    seen = windows.looks(e, of, quiet_rms=20.0, quiet_peak=40.0)
+    return seen.select("session_id", "mode", F.col("end").cast("string").alias("ends"), "chunks", "samples", "fresh", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"), "status")
+
+
 def top_seeds(spark, d):
     found = search.nearest(_queries(spark, d), _corpus(spark, d), n=search.SEEDS, profile=P)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "group_id", "ordinal", "score")
@@ -378,6 +386,12 @@ p AS (SELECT a.group_id || '/' || a.ordinal AS query_id, b.group_id, b.ordinal,
   FROM c a JOIN c b ON b.group_id = a.group_id AND b.ordinal BETWEEN a.ordinal - 3 AND a.ordinal + 3 OR a.ordinal = a.top AND b.group_id = a.group_id + 1 AND b.ordinal = b.low),
 s AS ({_scored('SELECT * FROM p', 'q', 't')})
 SELECT query_id, group_id, ordinal, round(least(1.0, CASE WHEN {WORDS_OF.format(x='q')} >= 2 AND length(q) >= 8 AND (full_ > 0.2 OR length(t) > 3 * length(q)) THEN greatest(full_, fragment_) ELSE full_ END + bonus), 6) AS score FROM s""",
+    "sliding_looks": """WITH e AS (SELECT user_id AS session_id, epoch_us(ts) AS t, CAST(value AS DOUBLE) AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+l(mode, len, least) AS (VALUES ('discovery', 12600000000, 3), ('tracking', 8100000000, 2)),
+w AS (SELECT session_id, mode, least, v, t, t - t % 720000000 - k * 720000000 + len AS stop FROM e, l, unnest(range(0, 18)) AS u(k) WHERE t - t % 720000000 - k * 720000000 + len > t),
+s AS (SELECT session_id, mode, stop, least, count(*) AS chunks, count(*) AS samples, count(*) FILTER (t >= stop - 720000000) AS fresh, sqrt(sum(v * v) / count(*)) AS rms, max(abs(v)) AS peak FROM w GROUP BY session_id, mode, stop, least)
+SELECT session_id, mode, strftime(make_timestamp(stop), '%Y-%m-%d %H:%M:%S') AS ends, chunks, samples, fresh, round(rms, 6) AS rms, round(peak, 6) AS peak,
+CASE WHEN samples < least THEN 'too_short' WHEN fresh < 1 THEN 'stale' WHEN rms < 20 OR peak < 40 THEN 'silence' ELSE 'speech' END AS status FROM s""",
     "top_seeds": f"""WITH {CANDIDATES}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) AS rank FROM r) SELECT query_id, rank, group_id, ordinal, score FROM k WHERE rank <= 20""",
     "ambiguous_rows": f"WITH {NAMED} SELECT query_id, group_id, ordinal, score FROM best b WHERE EXISTS (SELECT 1 FROM named n WHERE n.query_id = b.query_id AND (n.group_id <> b.group_id OR n.ordinal <> b.ordinal) AND n.score >= b.score - 0.05::DOUBLE)",
     "unrivalled_rows": f"WITH {NAMED} SELECT query_id, group_id, ordinal, score FROM named n WHERE ordinal = query_id - 1 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.query_id = n.query_id AND b.group_id <> n.group_id AND b.score >= n.score + 0.2::DOUBLE)",
@@ -401,5 +415,5 @@ SELECT session_id, returns, groups, regressions, leaps, last_group, reach FROM n
 
 ALL = (
     similarity_scores, stem_evidence, evidence_hits, word_alignment, phrase_predicates, key_lookup, row_count, group_index, neighbours, span_backtrack, group_match, hint_fallback,
-    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, scoped_scores, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
+    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, scoped_scores, sliding_looks, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
 )

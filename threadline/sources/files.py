@@ -62,11 +62,9 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("t", F.col("d").alias("discovery_text"), F.col("k").alias("tracking_text"))
 
 
-def decoded(raw: bytes) -> np.ndarray:
-    """Samples of a WAV file at RATE, its channels' mean; of 8, 16, 24 or 32 bits."""
-    with wave.open(io.BytesIO(raw)) as w:
-        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        data = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+def mono(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Frames of 8, 16, 24 or 32 bits as the mean of their channels, from -1 to 1; a broken frame at the end is left out."""
+    data = np.frombuffer(raw, np.uint8)
     data = data[: len(data) // (width * channels) * width * channels]
     if width == 1:
         x = data.astype(float) - 128
@@ -74,7 +72,13 @@ def decoded(raw: bytes) -> np.ndarray:
         whole = np.zeros((len(data) // width, 4), np.uint8)
         whole[:, 4 - width :] = data.reshape(-1, width)
         x = whole.reshape(-1).view("<i4").astype(float) / (1 << (32 - 8 * width))
-    x = x.reshape(-1, channels).mean(1) / (1 << (8 * width - 1))
+    return x.reshape(-1, channels).mean(1) / (1 << (8 * width - 1))
+
+
+def decoded(raw: bytes) -> np.ndarray:
+    """Samples of a WAV file at RATE, its channels' mean; of 8, 16, 24 or 32 bits."""
+    with wave.open(io.BytesIO(raw)) as w:
+        rate, x = w.getframerate(), mono(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels())
     at = np.arange(int(len(x) * RATE / rate)) * rate / RATE
     return np.interp(at, np.arange(len(x)), x).astype(np.float32) if len(x) else np.zeros(0, np.float32)
 

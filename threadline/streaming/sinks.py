@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 log = logging.getLogger("threadline")
@@ -16,12 +17,19 @@ NEWEST, SILENT_SECONDS, MOST_RESTARTS = 32, 2.0, 3
 
 
 def write_events(events: DataFrame, table: str, checkpoint: str, every: str | None = "200 milliseconds", debug: bool = False) -> StreamingQuery:
-    """Writes a stream of events to a folder of Parquet files; nothing is dropped. every: the trigger, or None for all that is
-    there now. debug: also logs how many events each batch has of each kind."""
+    """Writes a stream of events to a folder of Parquet files, each event once; nothing is dropped. every: the trigger, or None for all
+    that is there now. debug: also logs how many events each batch has of each kind.
+
+    A batch is a folder of its own under the stream's name, which its checkpoint keeps. A batch that runs again, because the stream ended
+    between its write and its commit, replaces what it wrote before; streams with other checkpoints add to the same table. Readers use
+    read_events(), or read the folder and see the two columns more.
+    """
+    spark = events.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
-        kept.write.mode("append").parquet(table)
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+        kept.write.mode("overwrite").parquet(f"{table}/stream={stream}/batch={number}")
         if debug:
             log.info("batch %d: %s", number, {r["kind"]: r["count"] for r in kept.groupBy("kind").count().collect()})
         kept.unpersist()
@@ -30,6 +38,11 @@ def write_events(events: DataFrame, table: str, checkpoint: str, every: str | No
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+def read_events(spark: SparkSession, table: str) -> DataFrame:
+    """The events of write_events(), without the columns that tell streams and batches apart."""
+    return spark.read.parquet(table).drop("stream", "batch")
+
+
 def newest(events: DataFrame, n: int = NEWEST) -> DataFrame:
     """The newest events of each session: what a reader sees who comes late."""
     last = Window.partitionBy("session_id").orderBy(F.desc("seq"))
