@@ -16,7 +16,8 @@ BLOCK_WORDS = 8
 BITS_PER_URL = 16
 #: The filter never takes more; a longer list only passes more URLs to the exact join.
 MAX_FILTER_BYTES = 32 << 20
-#: A list of at most so many bytes of URLs is broadcast to the join; a longer one is shuffled, with the possible hits only.
+#: A list of at most so many bytes of URLs is broadcast to the join; a longer one is shuffled, with the possible hits only, and the
+#: pages are scanned twice.
 BROADCAST_BYTES = 8 << 20
 #: Query parameters that don't tell pages apart.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid)"
@@ -110,9 +111,14 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = ()
     rows = pages.select(F.struct("*").alias("_kept"), host.alias("_host"), path.alias("_path"), canonical_url(url).alias("_c"))
     rows = rows.withColumn("_r", rule_of(F.col("_host"), F.col("_path"), rules))
     rows = rows.withColumn("_may", F.col("_c").isNotNull() & in_bloom(blocks, words, spark)(F.xxhash64(F.col("_c")), F.xxhash64(F.col("_c"), F.lit(1))))
-    other = rows.where("not _may").select("_kept", "_host", "_path", "_r", F.lit(False).alias("_listed"))
-    exact = wanted.select(F.col("_u").alias("_c"), F.lit(True).alias("_hit"))
-    possible = rows.where("_may").join(F.broadcast(exact) if size <= BROADCAST_BYTES else exact, "_c", "left")
-    rows = other.union(possible.select("_kept", "_host", "_path", "_r", F.coalesce("_hit", F.lit(False)).alias("_listed")))
+    exact = wanted.select("_u", F.lit(True).alias("_hit"))
+    if size <= BROADCAST_BYTES:  # one pass: what the filter rules out has no key, and meets nothing
+        rows = rows.withColumn("_key", F.when(F.col("_may"), F.col("_c"))).join(F.broadcast(exact), F.col("_key") == F.col("_u"), "left")
+        rows = rows.withColumn("_listed", F.coalesce("_hit", F.lit(False)))
+    else:
+        columns = ["_kept", "_host", "_path", "_r"]
+        other = rows.where("not _may").select(*columns, F.lit(False).alias("_listed"))
+        possible = rows.where("_may").join(exact, F.col("_c") == F.col("_u"), "left")
+        rows = other.union(possible.select(*columns, F.coalesce("_hit", F.lit(False)).alias("_listed")))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("_listed"), "block").otherwise("allow"))
     return rows.select("_kept.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_r.rule").alias("rule"), F.col("_listed").alias("listed"), verdict.alias("verdict"))
