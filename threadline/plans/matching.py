@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threadline.functions import signal, similarity, text
+from threadline.functions import graphemes, signal, similarity, text
 from threadline.operators import corpus as corpora, fragments, search, similar
 from threadline.plans.queries import CANDIDATES, CORPUS, EVIDENCE, FLAT, NORM, P, STEM, STOP, _corpus, _queries, _t
 from threadline.streaming import sinks, tracker, windows
@@ -168,6 +168,14 @@ def scoped_scores(spark, d):
     return search.scoped(here, c).select("query_id", "group_id", "ordinal", F.round("score", 6).alias("score"))
 
 
+def grapheme_scores(spark, d):
+    """Each row against the next one, every e with an accent of its own, which is no letter more."""
+    accented = lambda c: F.regexp_replace(c, "e", "e\u0301")
+    q, t = accented(F.col("text")), accented(F.col("next_text"))
+    both = _pairs(spark, d)
+    return both.select("group_id", "ordinal", F.length(q).alias("n_points"), graphemes.length(q).alias("n_clusters"), graphemes.distance(q, t).cast("long").alias("distance"), F.round(graphemes.ratio(q, t), 6).alias("ratio"))
+
+
 def sliding_looks(spark, d):
     """Events as chunks of one sample, an hour of them for a second of sound."""
     e = _t(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("at"), F.array("value").alias("samples"))
@@ -386,6 +394,8 @@ p AS (SELECT a.group_id || '/' || a.ordinal AS query_id, b.group_id, b.ordinal,
   FROM c a JOIN c b ON b.group_id = a.group_id AND b.ordinal BETWEEN a.ordinal - 3 AND a.ordinal + 3 OR a.ordinal = a.top AND b.group_id = a.group_id + 1 AND b.ordinal = b.low),
 s AS ({_scored('SELECT * FROM p', 'q', 't')})
 SELECT query_id, group_id, ordinal, round(least(1.0, CASE WHEN {WORDS_OF.format(x='q')} >= 2 AND length(q) >= 8 AND (full_ > 0.2 OR length(t) > 3 * length(q)) THEN greatest(full_, fragment_) ELSE full_ END + bonus), 6) AS score FROM s""",
+    "grapheme_scores": f"""WITH {PAIRS} SELECT group_id, ordinal, CAST(2 * length(text) - length(replace(text, 'e', '')) AS INTEGER) AS n_points, CAST(length(text) AS INTEGER) AS n_clusters, levenshtein(text, nt) AS distance,
+  CASE WHEN greatest(length(text), length(nt)) = 0 THEN 1.0 ELSE round(1 - levenshtein(text, nt)::DOUBLE / greatest(length(text), length(nt)), 6) END AS ratio FROM p""",
     "sliding_looks": """WITH e AS (SELECT user_id AS session_id, epoch_us(ts) AS t, CAST(value AS DOUBLE) AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
 l(mode, len, least) AS (VALUES ('discovery', 12600000000, 3), ('tracking', 8100000000, 2)),
 w AS (SELECT session_id, mode, least, v, t, t - t % 720000000 - k * 720000000 + len AS stop FROM e, l, unnest(range(0, 18)) AS u(k) WHERE t - t % 720000000 - k * 720000000 + len > t),
@@ -415,5 +425,5 @@ SELECT session_id, returns, groups, regressions, leaps, last_group, reach FROM n
 
 ALL = (
     similarity_scores, stem_evidence, evidence_hits, word_alignment, phrase_predicates, key_lookup, row_count, group_index, neighbours, span_backtrack, group_match, hint_fallback,
-    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, scoped_scores, sliding_looks, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
+    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, scoped_scores, grapheme_scores, sliding_looks, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
 )

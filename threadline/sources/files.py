@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from threadline.config import RATE, Problem, SessionError
 from threadline.operators.corpus import CorpusError
@@ -25,12 +25,14 @@ from threadline.operators.corpus import CorpusError
 REPORT, CHUNK = 1 << 16, 4096
 
 
-def _read(path: str, load: Callable[[], DataFrame]) -> DataFrame:
-    """A table that can be read; else an error that says whether the file is missing or unusable."""
+def _read(path: str, load: Callable[[], DataFrame], **metrics: Column) -> tuple[DataFrame, dict]:
+    """A table that can be read, and what is told of its rows, all in one pass; else an error that says whether the file is missing or
+    unusable."""
+    seen = Observation()
     try:
         rows = load()
-        rows.write.format("noop").mode("overwrite").save()
-        return rows
+        rows.observe(seen, F.count("*").alias("rows"), *[c.alias(n) for n, c in metrics.items()]).write.format("noop").mode("overwrite").save()
+        return rows, seen.get
     except (PySparkException, Py4JJavaError) as e:
         missing = "PATH_NOT_FOUND" in str(e)
         raise SessionError(Problem.RESOURCE_MISSING if missing else Problem.RESOURCE_CORRUPT, path) from e
@@ -39,26 +41,32 @@ def _read(path: str, load: Callable[[], DataFrame]) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, names: dict[str, str], expected_rows: int | None = None) -> DataFrame:
     """A JSON array of rows; names: from group_id, ordinal, raw_text, clean_text to the fields' names."""
     schema = ", ".join(f"`{names[c]}` {'int' if c in ('group_id', 'ordinal') else 'string'}" for c in ("group_id", "ordinal", "raw_text", "clean_text"))
-    rows = _read(path, lambda: spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path))
-    rows = rows.select(*[F.col(f"`{names[c]}`").alias(c) for c in ("group_id", "ordinal", "raw_text", "clean_text")])
-    if expected_rows is not None and (n := rows.count()) != expected_rows:
-        raise CorpusError(f"{n} rows instead of {expected_rows}")
-    return rows
+    rows, seen = _read(path, lambda: spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path))
+    if expected_rows is not None and seen["rows"] != expected_rows:
+        raise CorpusError(f"{seen['rows']} rows instead of {expected_rows}")
+    return rows.select(*[F.col(f"`{names[c]}`").alias(c) for c in ("group_id", "ordinal", "raw_text", "clean_text")])
 
 
 def read_vocabulary(spark: SparkSession, path: str, blank: int | None = None) -> tuple[DataFrame, int]:
     """token_id and token from a JSON object, and the blank's id: as given, else that of <blank>, else the largest."""
-    raw = _read(path, lambda: spark.read.text(path, wholetext=True)).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "token"))
-    rows = raw.select(F.col("k").try_cast("int").alias("token_id"), "token")
-    bad, top, named = rows.agg(F.count_if(F.col("token_id").isNull()), F.max("token_id"), F.max(F.when(F.col("token") == "<blank>", F.col("token_id")))).first()
-    if bad or top is None:
+    number = F.col("k").try_cast("int")
+    rows, seen = _read(
+        path,
+        lambda: spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "token")),
+        bad=F.count_if(number.isNull()),
+        top=F.max(number),
+        named=F.max(F.when(F.col("token") == "<blank>", number)),
+    )
+    if seen["bad"] or seen["top"] is None:
         raise CorpusError("vocabulary keys must be integers")
-    return rows, blank if blank is not None else named if named is not None else top
+    if blank is None:
+        blank = seen["named"] if seen["named"] is not None else seen["top"]
+    return rows.select(number.alias("token_id"), "token"), blank
 
 
 def read_replay(spark: SparkSession, path: str) -> DataFrame:
     """t, discovery_text and tracking_text of recorded windows."""
-    rows = _read(path, lambda: spark.read.schema("t double, d string, k string").option("multiLine", True).option("mode", "FAILFAST").json(path))
+    rows, _ = _read(path, lambda: spark.read.schema("t double, d string, k string").option("multiLine", True).option("mode", "FAILFAST").json(path))
     return rows.select("t", F.col("d").alias("discovery_text"), F.col("k").alias("tracking_text"))
 
 
