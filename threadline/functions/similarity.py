@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from threadline.functions.text import ARABIC, Profile, split_words, stems
+from threadline.functions.text import split_words
 
 #: Texts longer than this are not slid over each other.
 SLIDE_LIMIT = 100
@@ -72,13 +72,6 @@ def scoped_score(query: Column, reference: Column, bonus: Column) -> Column:
     return F.least(F.lit(1.0), F.when(wide, F.greatest(base, fragment_score(query, reference))).otherwise(base) + bonus)
 
 
-def discovery_score(query: Column, reference: Column, query_stems: Column, reference_stems: Column) -> Column:
-    """Score without a known position: fragments count for long queries with evidence."""
-    base = ratio(query, reference)
-    wide = (F.length(query) >= 20) & (base > 0.25) & counts_as_entry_fragment(base, query, query_stems, reference_stems)
-    return F.when(wide, F.greatest(base, fragment_score(query, reference))).otherwise(base)
-
-
 def continuation_bonus(group: Column, ordinal: Column, current_group: Column, current_ordinal: Column, current_is_last: Column, first_ordinal: int = 1, bonus: float = 0.22) -> Column:
     """For the next row of the group, and for the next group's first row where the current row is its group's last."""
     following = (group == current_group) & (ordinal == current_ordinal + 1)
@@ -165,8 +158,3 @@ def counts_as_entry_fragment(base: Column, query: Column, query_stems: Column, r
 
 def clamp(score: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
-
-
-def row_stems(text: Column, profile: Profile = ARABIC) -> Column:
-    """Stems of a normalised text."""
-    return stems(split_words(text), profile)
