@@ -108,6 +108,38 @@ def test_noise_follows_its_generator():
     assert (features.log_mel(x, 1e-5) == features.log_mel(x, 1e-5)).all() and not np.allclose(features.log_mel(x, 1e-2), features.log_mel(x))
 
 
+def test_noise_goes_on_where_it_ended():
+    whole = features.noise(5000, 1e-3)
+    for at in (0, 1, 2, 63, 400, 4096, 4999):
+        assert (features.noise(5000 - at, 1e-3, drawn=at) == whole[at:]).all()
+    assert features.state_after(0) == features.NOISE_SEED
+    assert features.state_after(10**15 + 7) == features.state_after(7, features.state_after(10**15))  # far beyond what a loop could do
+
+
+def test_windows_in_any_order_have_the_noise_of_one_run(spark):
+    """Clips of two sessions and of a null one, dealt to tasks at random, against one generator that goes through each session."""
+    rng = np.random.default_rng(3)
+    rows = [(s, float(i), rng.normal(size=n).astype(np.float32).tolist() if n >= 0 else None) for s in ("a", "b", None) for i, n in enumerate((800, 300, 0, -1, 401, 1200))]
+    clips = spark.createDataFrame(rows, "session_id string, ts double, samples array<float>").repartition(7)
+    with_noise = features.with_drawn(clips, "session_id", ["ts"])
+    assert with_noise.columns == [*clips.columns, "drawn"]
+    got = {(r["session_id"], r["ts"]): r for r in with_noise.withColumn("m", features.mel_features(F.col("samples"), 1e-2, F.col("drawn"))).collect()}
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        drawn = 0
+        run = features.noise(2401, 1e-2)
+        for _, ts, samples in [r for r in rows if r[0] == s]:
+            assert got[s, ts]["drawn"] == drawn
+            n = len(samples or [])
+            if n < features.WINDOW:
+                assert got[s, ts]["m"]["n_frames"] == 0
+                continue
+            want = features.log_mel(np.asarray(samples, float) + run[drawn : drawn + n]).reshape(-1)
+            assert np.allclose(got[s, ts]["m"]["features"], want, atol=1e-4)
+            drawn += n
+    assert features.with_drawn(clips.where("false"), "session_id", ["ts"]).collect() == []
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

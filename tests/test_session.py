@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import sys
+import time
 import wave
 import zipfile
 
@@ -37,14 +38,14 @@ TOKENS[BLANK] = "<blank>"
 class Reader:
     """Instead of a model: says the row that the loudness of the window stands for."""
 
-    def text(self, samples):
+    def text(self, samples, drawn=0):
         level = round(float(np.abs(samples[-400:]).max()) * 100)
         if level == 66:
             raise RuntimeError("broken window")
         return TEXTS.get((1, level // 10), "uh")
 
-    def attempt(self, samples):
-        return inference.Transcriber.attempt(self, samples)
+    def attempt(self, samples, drawn=0):
+        return inference.Transcriber.attempt(self, samples, drawn)
 
 
 INDEX = Index(TEXTS, text.LATIN)
@@ -190,6 +191,71 @@ def test_late_stalls_need_a_watermark(spark, tmp_path):
         spark.conf.unset(conf)
 
 
+def test_dither_goes_on_within_a_session():
+    class Listening(Reader):
+        def __init__(self):
+            self.calls = []
+
+        def attempt(self, samples, drawn=0):
+            self.calls.append((len(samples), drawn))
+            return super().attempt(samples, drawn)
+
+    chunks, end = spoken(1, 2, 3, seconds=2.0, size=0.5)
+    reader = Listening()
+    player = session.Player(tracker.Step(INDEX), reader)
+    s = session.Session(tracker.State(hint=1))
+    for ts, samples, stop in [*chunks, (end + 1, None, False)]:
+        list(player.chunk(s, ts, samples, stop))
+        s = session.Session.unpack(*s.pack())
+    sizes = [n for n, _ in reader.calls]
+    assert len(sizes) > 3 and [d for _, d in reader.calls] == [sum(sizes[:i]) for i in range(len(sizes))]
+
+
+def test_silent_and_stopped_sessions_leave_no_state(spark, tmp_path):
+    """By event time: a falls silent, b stops, and z comes so much later that both are past."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        sound = tone(1, 0.2).tolist()
+        first = [("a", 10.0, sound, 1, False), ("b", 10.0, sound, 1, False), ("b", 10.5, None, 1, True)]
+        parts = [first, *[[("z", float(t), None, 1, False)] for t in (100, 101, 102)], [("b", 103.0, sound, 1, False)], [("z", 104.0, None, 1, True)]]
+        for part in parts:
+            spark.createDataFrame(part, session.CHUNKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = files.sample_stream(spark, str(tmp_path / "in"), session.CHUNKS, 1).withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", "1 second")
+        query = sinks.write_events(session.listen(stream, INDEX, Reader(), event_time="at", idle_seconds=20.0), str(tmp_path / "out"), str(tmp_path / "check"), None)
+        query.awaitTermination(180)
+        assert query.exception() is None
+        got = sinks.read_events(spark, str(tmp_path / "out"))
+        of = lambda s: [r["state"] for r in got.where(f"session_id = '{s}' and kind = 'state'").orderBy("ts", "seq").collect()]
+        assert of("a") == ["preparing", "listening", "stopped"]
+        assert of("b") == ["preparing", "listening", "stopped", "preparing", "listening"]
+    finally:
+        spark.conf.unset(conf)
+
+
+def test_streams_forget_sessions_by_the_clock(spark, tmp_path):
+    """Without a watermark, what is kept of a session is gone after idle_seconds."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        where = str(tmp_path / "in")
+        put = lambda *rows: spark.createDataFrame(rows, session.CHUNKS).coalesce(1).write.mode("append").parquet(where)
+        sound = tone(1, 0.2).tolist()
+        put(("a", 0.0, sound, 1, False))
+        stream = files.sample_stream(spark, where, session.CHUNKS, 1)
+        run = lambda: sinks.write_events(session.listen(stream, INDEX, Reader(), idle_seconds=4.0), str(tmp_path / "out"), str(tmp_path / "check"), None)
+        run().awaitTermination(120)
+        time.sleep(4)
+        put(("a", 0.1, sound, 1, False))
+        query = run()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        states = sinks.read_events(spark, str(tmp_path / "out")).where("kind = 'state'").orderBy("ts", "seq").collect()
+        assert [(r["seq"], r["state"]) for r in states] == [(1, "preparing"), (2, "listening")] * 2
+    finally:
+        spark.conf.unset(conf)
+
+
 def test_greedy_decoding():
     tokens = {0: "ا", 1: "ل", 2: "▁له", 3: "<blank>"}
     logits = np.eye(4)[[0, 0, 1, 3, 2, 2]]

@@ -49,15 +49,15 @@ class Transcriber:
             raise SessionError(Problem.WIDTH_MISMATCH, len(self.tokens), out.shape[1])
         return out
 
-    def text(self, samples: np.ndarray) -> str:
-        """The text of some samples; empty for fewer than a window's."""
-        features = log_mel(samples, self.dither)
+    def text(self, samples: np.ndarray, drawn: int = 0) -> str:
+        """The text of some samples; empty for fewer than a window's. drawn: values of noise taken by what came before."""
+        features = log_mel(samples, self.dither, drawn)
         return greedy(self.logits(features), self.tokens, self.blank) if features.shape[1] else ""
 
-    def attempt(self, samples: np.ndarray) -> tuple[str | None, str | None]:
+    def attempt(self, samples: np.ndarray, drawn: int = 0) -> tuple[str | None, str | None]:
         """(text, error): an error never ends a stream."""
         try:
-            return self.text(samples), None
+            return self.text(samples, drawn), None
         except SessionError as e:
             return None, str(e)
         except Exception as e:  # whatever a model raises
@@ -82,17 +82,18 @@ def onnx_model(path: str, threads: int = 1, signal: str = "audio_signal", length
     return open_model
 
 
-def transcribe(clips: DataFrame, transcriber: Transcriber, samples: str = "samples") -> DataFrame:
+def transcribe(clips: DataFrame, transcriber: Transcriber, samples: str = "samples", drawn: str | None = None) -> DataFrame:
     """clips with text and error, one of which is null; a null clip counts as empty. The model is opened once in each worker, and
-    runs once for each row, also where text is filtered on."""
+    runs once for each row, also where text is filtered on. drawn: the column of features.with_drawn(), where noise goes on from clip
+    to clip."""
 
     @F.pandas_udf("text string, error string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [transcriber.attempt(np.zeros(0, np.float32) if s is None else np.asarray(s, np.float32)) for s in batch]
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch, before in batches:
+            done = [transcriber.attempt(np.zeros(0, np.float32) if s is None else np.asarray(s, np.float32), int(k)) for s, k in zip(batch, before, strict=True)]
             yield pd.DataFrame(done, columns=["text", "error"])
 
-    out = clips.drop("text", "error").withColumn("_t", run.asNondeterministic()(F.col(samples)))
+    out = clips.drop("text", "error").withColumn("_t", run.asNondeterministic()(F.col(samples), F.coalesce(F.col(drawn).cast("long"), F.lit(0)) if drawn else F.lit(0)))
     return out.select("*", "_t.text", "_t.error").drop("_t")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from threadline.config import RATE, Configuration, State
+from threadline.functions.features import WINDOW
 from threadline.functions.signal import measure
 from threadline.inference import Transcriber
 from threadline.streaming import tracker
@@ -31,6 +32,8 @@ EVENTS = (
     "rms double, peak double, decibels double, clipped double, frame_ratio double, seconds double, status string, is_speech boolean, inference_seconds double"
 )
 FIELDS = [c.split()[0] for c in EVENTS.split(", ")]
+#: Silence after which a stream forgets a session.
+IDLE_SECONDS = 3600.0
 
 
 @dataclass
@@ -46,6 +49,7 @@ class Session:
     stalled: int = 0
     last: float = -math.inf
     seq: int = 0
+    drawn: int = 0
     buffer: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def pack(self) -> tuple[str, bytes]:
@@ -117,7 +121,8 @@ class Player:
             return
         yield self.event(s, ts, "state", state=State.PROCESSING.value)
         began = self.clock() if self.clock else None
-        text, error = self.transcriber.attempt(window)
+        text, error = self.transcriber.attempt(window, s.drawn)
+        s.drawn += len(window) if len(window) >= WINDOW else 0
         spent = self.clock() - began if self.clock else None
         if error is not None:  # the session goes on; it says that it listens again only after the next window that succeeds
             yield self.event(s, ts, "error", error=error, inference_seconds=spent)
@@ -135,14 +140,15 @@ class Player:
 
 
 class Processor(StatefulProcessor):
-    """A session's player behind a stream. Rows of a batch are taken by ts; a timer reports a stall when nothing comes any more."""
+    """A session's player behind a stream. Rows of a batch are taken by ts. With timers, one reports a stall when nothing comes any
+    more, and ends the session and its state after idle_seconds of event time; without, the state goes by the clock, where ttl is set."""
 
-    def __init__(self, player: Callable[[], Player], timers: bool):
-        self.player, self.timers = player, timers
+    def __init__(self, player: Callable[[], Player], timers: bool, idle_seconds: float = IDLE_SECONDS, ttl: bool = False):
+        self.player, self.timers, self.idle, self.ttl = player, timers, idle_seconds, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "known string, buffer binary, timer long")
+        self.state = handle.getValueState("session", "known string, buffer binary, timer long", int(self.idle * 1000) if self.ttl else None)
         self.play: Player | None = None  # made with the first rows, as the planner calls init() where there is no index
 
     def _load(self, hint: int | None) -> tuple[Session, int]:
@@ -158,9 +164,9 @@ class Processor(StatefulProcessor):
             if timer:
                 self.handle.deleteTimer(timer)
             stall = self.play.configuration.stalled_cycles * self.play.configuration.processing_interval
-            timer = int((max(s.last, (s.next_look or s.last)) + stall) * 1000) if s.life != State.STOPPED.value else 0
-            if timer:
-                self.handle.registerTimer(timer)
+            due = max(s.last, (s.next_look or s.last)) + stall if s.life != State.STOPPED.value else math.inf
+            timer = int(min(due, max(s.last, 0.0) + self.idle) * 1000)
+            self.handle.registerTimer(timer)
         self.state.update((known, raw, timer))
 
     def _rows(self, key, events) -> Iterator[Row]:
@@ -175,22 +181,34 @@ class Processor(StatefulProcessor):
         yield from self._rows(key, events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.state.exists():
+            return
         s, timer = self._load(None)
-        events = list(self.play.looks(s, timer / 1000)) if timer else []
-        self._keep(s, 0)
+        end, now = max(s.last, 0.0) + self.idle, max(timer, timerValues.getCurrentWatermarkInMs()) / 1000
+        events = list(self.play.looks(s, min(now, end)))
+        if now >= end:
+            if s.life != State.STOPPED.value:
+                events.append(self.play.event(s, end, "state", state=State.STOPPED.value))
+            self.state.clear()
+        else:
+            self._keep(s, 0)
         yield from self._rows(key, events)
 
     def close(self) -> None:
         pass
 
 
-def listen(chunks: DataFrame, index: Index, transcriber: Transcriber, configuration: Configuration = Configuration(), settings: tracker.Settings = tracker.Settings(), event_time: str | None = None) -> DataFrame:
+def listen(chunks: DataFrame, index: Index, transcriber: Transcriber, configuration: Configuration = Configuration(), settings: tracker.Settings = tracker.Settings(), event_time: str | None = None, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
     """Events of sessions, from a stream (or a table) of CHUNKS. With event_time, the name of a timestamp column with a watermark,
-    stalls at the tail of a stream are reported when the watermark passes."""
+    stalls at the tail of a stream are reported when the watermark passes, and a session that is silent for idle_seconds of it ends.
+    Without, a stream forgets a session that sends nothing for idle_seconds by the clock. A stopped session is forgotten in the same
+    time; who sends after that begins anew."""
     shared = Shared(index)
     player = lambda: Player(tracker.Step(shared.value, settings), transcriber, configuration)
     timed = bool(event_time)
-    return chunks.groupBy("session_id").transformWithState(Processor(player, timed), EVENTS, "Append", "EventTime" if timed else "None")
+    ttl = chunks.isStreaming and not timed
+    mode = "EventTime" if timed else "ProcessingTime" if ttl else "None"
+    return chunks.groupBy("session_id").transformWithState(Processor(player, timed, idle_seconds, ttl), EVENTS, "Append", mode)
 
 
 def play(chunks: DataFrame, index: Index, transcriber: Transcriber, configuration: Configuration = Configuration(), settings: tracker.Settings = tracker.Settings()) -> DataFrame:

@@ -495,11 +495,11 @@ class Tracker(StatefulProcessor):
     """The step function behind a stream; a session's state is kept as JSON. Rows of a batch are taken in the order of ts, and
     rows older than the last one taken are dropped."""
 
-    def __init__(self, index: Callable[[], Index], settings: Settings = Settings()):
-        self.index, self.settings = index, settings
+    def __init__(self, index: Callable[[], Index], settings: Settings = Settings(), ttl_seconds: float | None = None):
+        self.index, self.settings, self.ttl = index, settings, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "json string, last double")
+        self.state = handle.getValueState("session", "json string, last double", int(self.ttl * 1000) if self.ttl else None)
         self.rules: Step | None = None  # made with the first rows, as the planner calls init() where there is no index
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -519,7 +519,9 @@ class Tracker(StatefulProcessor):
         pass
 
 
-def track(windows: DataFrame, index: Index, settings: Settings = Settings()) -> DataFrame:
-    """Like replay(), for streams (and batches). The stream needs the RocksDB state store."""
+def track(windows: DataFrame, index: Index, settings: Settings = Settings(), idle_seconds: float = 3600.0) -> DataFrame:
+    """Like replay(), for streams (and batches). A stream forgets a session that shows nothing new for idle_seconds by the clock; who
+    sends after that begins anew. The stream needs the RocksDB state store."""
     shared = Shared(index)
-    return windows.groupBy("session_id").transformWithState(Tracker(lambda: shared.value, settings), SCHEMA, "Append", "None")
+    ttl = idle_seconds if windows.isStreaming else None
+    return windows.groupBy("session_id").transformWithState(Tracker(lambda: shared.value, settings, ttl), SCHEMA, "Append", "ProcessingTime" if ttl else "None")
