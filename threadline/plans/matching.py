@@ -189,6 +189,12 @@ def top_seeds(spark, d):
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "group_id", "ordinal", "score")
 
 
+def match_items(spark, d):
+    """The row or span of the conversations that each benchmark item fits best, if it reaches 0.33."""
+    found = search.match(_queries(spark, d), _corpus(spark, d), 0.33, profile=P)
+    return found.select("query_id", "group_id", "ordinal", "ordinal_end", F.round("score", 6).alias("score"))
+
+
 def _named(spark, d) -> DataFrame:
     """Nations against each other: query_id, group_id (the region), ordinal (the nation), score."""
     n = _t(spark, d, "nation")
@@ -344,7 +350,38 @@ LAST, PENULTIMATE = BEST.format(r="ns[len(ns)]"), "CASE WHEN len(ns) >= 2 THEN "
 HINTED = f"{FLAT_ROWS}, own AS (" + _scored("SELECT a.group_id || '/' || a.ordinal AS query_id, b.group_id, b.ordinal, a.text AS q, b.text AS t FROM f a JOIN f b ON a.group_id = b.group_id AND b.ordinal BETWEEN a.ordinal + 1 AND a.ordinal + 3", "q", "t") + "), best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY direct_ DESC, group_id, ordinal) = 1)"
 NAMED = "named AS (SELECT x.n_nationkey AS query_id, CAST(y.n_regionkey AS INTEGER) AS group_id, CAST(y.n_nationkey AS INTEGER) AS ordinal, round(1 - levenshtein(x.n_name, y.n_name)::DOUBLE / greatest(length(x.n_name), length(y.n_name)), 6) AS score FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey), best AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) = 1)"
 
+WIDE_CORPUS = f"(SELECT count(*) FROM c) > {search.WIDE}"
+#: Single rows, then spans around the best of weak queries, then spans at openings. A query's evidence is used up row stem by row stem.
+MATCHED = f"""{CANDIDATES},
+a AS (SELECT query_id, q.text AS q, {WORDS_OF.format(x='q.text')} AS nw, list_transform(list_sort(list_filter(evidence, lambda s: true)), lambda s: {L(x='s')}) AS kept FROM q WHERE q.text <> ''),
+b AS (SELECT group_id, ordinal, text AS t, list_transform({LONG}, lambda s: {L(x='s')}) AS longs FROM (SELECT group_id, ordinal, {L(x='text')} AS text, words FROM c)),
+s0 AS (SELECT query_id, group_id, ordinal, q, nw, kept, t, longs, {RATIO.format(a='q', b='t')} AS full_ FROM m JOIN a USING (query_id) JOIN b USING (group_id, ordinal)),
+s1 AS MATERIALIZED (SELECT *, {_fragment('q', 't')} AS fragment_ FROM s0),
+need AS (SELECT * FROM s1 WHERE fragment_ > full_ AND full_ > 0.25 AND full_ < 0.45 AND length(q) >= 20 AND nw >= 3),
+u AS (SELECT query_id, group_id, ordinal, 0 AS k, kept AS rest FROM need
+  UNION ALL SELECT u.query_id, u.group_id, u.ordinal, k + 1, CASE WHEN list_contains(rest, longs[k + 1]) THEN list_filter(rest, lambda x: x <> longs[k + 1])
+    ELSE list_filter(rest, lambda x: x <> coalesce(list_filter(rest, lambda y: {NEAR.format(a='y', b='longs[k + 1]', t='0.72')})[1], '')) END
+  FROM u JOIN need USING (query_id, group_id, ordinal) WHERE k < len(longs)),
+used AS (SELECT query_id, group_id, ordinal, len(kept) - len(rest) AS hits FROM u JOIN need USING (query_id, group_id, ordinal) WHERE k = len(longs)),
+singles AS MATERIALIZED (SELECT s1.query_id, s1.group_id, s1.ordinal, NULL::INTEGER AS ordinal_end,
+    CASE WHEN full_ > 0.25 AND length(q) >= 20 AND nw >= 3 AND (full_ >= 0.45 OR hits >= 2) THEN greatest(full_, fragment_) ELSE full_ END AS score
+  FROM s1 LEFT JOIN used USING (query_id, group_id, ordinal)),
+seeds AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal) AS rank FROM singles QUALIFY rank <= 20),
+one AS (SELECT * EXCLUDE rank FROM seeds WHERE rank = 1),
+sp AS (SELECT x.group_id, x.ordinal, y.ordinal AS ordinal_end, x.t || ' ' || y.t AS t, list_concat(x.longs, y.longs) AS longs FROM b x JOIN b y ON x.group_id = y.group_id AND y.ordinal = x.ordinal + 1
+  UNION ALL SELECT x.group_id, x.ordinal, z.ordinal, x.t || ' ' || y.t || ' ' || z.t, list_concat(x.longs, y.longs, z.longs) FROM b x JOIN b y ON x.group_id = y.group_id AND y.ordinal = x.ordinal + 1 JOIN b z ON x.group_id = z.group_id AND z.ordinal = x.ordinal + 2),
+st AS (SELECT DISTINCT query_id, seeds.group_id, b.ordinal FROM seeds JOIN b ON seeds.group_id = b.group_id AND b.ordinal BETWEEN seeds.ordinal - 2 AND seeds.ordinal WHERE query_id IN (SELECT query_id FROM one WHERE score < 0.72)),
+w0 AS (SELECT query_id, group_id, ordinal, ordinal_end, q, nw, kept, t, longs, {RATIO.format(a='q', b='t')} AS full_ FROM st JOIN sp USING (group_id, ordinal) JOIN a USING (query_id)),
+w1 AS MATERIALIZED (SELECT *, {_fragment('q', 't')} AS fragment_ FROM w0),
+near_spans AS (SELECT query_id, group_id, ordinal, ordinal_end, CASE WHEN {WIDE_CORPUS} OR nw >= 3 AND (full_ >= 0.34 OR len(kept) >= 2 AND len(list_filter(longs, lambda y: len(list_filter(kept, lambda x: {NEAR.format(a='x', b='y', t='0.72')})) > 0)) > 0) THEN greatest(full_, fragment_) ELSE full_ END AS score FROM w1),
+two AS MATERIALIZED (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM near_spans) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal, ordinal_end NULLS FIRST) = 1),
+o0 AS (SELECT query_id, sp.group_id, sp.ordinal, sp.ordinal_end, q, t, {RATIO.format(a='q', b='t')} AS full_ FROM two JOIN a USING (query_id), sp JOIN (SELECT group_id, min(ordinal) AS ordinal FROM c GROUP BY group_id) USING (group_id, ordinal) WHERE score < {{threshold}} AND nw >= 3 AND {WIDE_CORPUS}),
+o1 AS (SELECT query_id, group_id, ordinal, ordinal_end, greatest(full_, {_fragment('q', 't')}) AS score FROM o0),
+three AS (SELECT * FROM (SELECT * FROM two UNION ALL SELECT * FROM o1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id, ordinal, ordinal_end NULLS FIRST) = 1)
+SELECT query_id, group_id, ordinal, ordinal_end, round(score, 6) AS score FROM three WHERE score >= {{threshold}}"""
+
 SQL = {
+    "match_items": "WITH RECURSIVE " + MATCHED.replace("{threshold}", "0.33::DOUBLE"),
     "similarity_scores": f"""WITH {PAIRS}, s AS ({_scored('SELECT * FROM p', 'text', 'nt')}),
 k AS (SELECT *, CASE WHEN ordinal = top THEN 0 ELSE 0.22::DOUBLE END AS bonus_, CASE WHEN {WORDS_OF.format(x='text')} >= 2 AND length(text) >= 8 AND (full_ > 0.2 OR length(nt) > 3 * length(text)) THEN greatest(full_, fragment_) ELSE full_ END AS wide_ FROM s)
 SELECT group_id, ordinal, levenshtein(text, nt) AS distance, round(fragment_, 6) AS fragment, round(direct_, 6) AS direct, round(bonus_, 6) AS bonus, round(least(1.0, wide_ + bonus_), 6) AS scoped,
@@ -425,5 +462,5 @@ SELECT session_id, returns, groups, regressions, leaps, last_group, reach FROM n
 
 ALL = (
     similarity_scores, stem_evidence, evidence_hits, word_alignment, phrase_predicates, key_lookup, row_count, group_index, neighbours, span_backtrack, group_match, hint_fallback,
-    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, scoped_scores, grapheme_scores, sliding_looks, top_seeds, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
+    stem_overlap, fuzzy_theta_join, similar_stem_pairs, fragment_places, scoped_scores, grapheme_scores, sliding_looks, top_seeds, match_items, ambiguous_rows, unrivalled_rows, contained_best, speech_gate, znorm, rolling_windows, replay_metrics, latency, newest_events, expected_rows, tracker_replay,
 )
