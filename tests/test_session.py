@@ -243,15 +243,21 @@ def test_streams_forget_sessions_by_the_clock(spark, tmp_path):
         sound = tone(1, 0.2).tolist()
         put(("a", 0.0, sound, 1, False))
         stream = files.sample_stream(spark, where, session.CHUNKS, 1)
-        run = lambda: sinks.write_events(session.listen(stream, INDEX, Reader(), idle_seconds=4.0), str(tmp_path / "out"), str(tmp_path / "check"), None)
-        run().awaitTermination(120)
-        time.sleep(4)
-        put(("a", 0.1, sound, 1, False))
-        query = run()
-        query.awaitTermination(120)
-        assert query.exception() is None
-        states = sinks.read_events(spark, str(tmp_path / "out")).where("kind = 'state'").orderBy("ts", "seq").collect()
-        assert [(r["seq"], r["state"]) for r in states] == [(1, "preparing"), (2, "listening")] * 2
+        query = sinks.write_events(session.listen(stream, INDEX, Reader(), idle_seconds=4.0), str(tmp_path / "out"), str(tmp_path / "check"), "200 milliseconds")
+
+        def state(wanted):
+            end = time.time() + 40
+            while time.time() < end and query.isActive:
+                p = query.lastProgress
+                if p and p["stateOperators"] and (p["stateOperators"][0]["numRowsTotal"] > 0) == wanted:
+                    return True
+                time.sleep(0.2)
+            return False
+
+        try:
+            assert state(True) and state(False)
+        finally:
+            query.stop()
     finally:
         spark.conf.unset(conf)
 

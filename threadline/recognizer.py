@@ -61,7 +61,7 @@ class Recognizer:
         kind = clips.schema["clip_id"].dataType.simpleString()
         return texts.mapInPandas(first_step, f"clip_id {kind}, text string, error string, group_id int, ordinal int, ordinal_end int, score double")
 
-    def listen(self, chunks: DataFrame, event_time: str | None = None, idle_seconds: float = session.IDLE_SECONDS) -> DataFrame:
+    def listen(self, chunks: DataFrame, event_time: str | None = None, idle_seconds: float | None = None) -> DataFrame:
         """Events of sessions, from a stream of chunks (session.CHUNKS)."""
         return session.listen(chunks, *self._parts(), self.configuration, self.settings, event_time, idle_seconds)
 

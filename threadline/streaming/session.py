@@ -198,17 +198,18 @@ class Processor(StatefulProcessor):
         pass
 
 
-def listen(chunks: DataFrame, index: Index, transcriber: Transcriber, configuration: Configuration = Configuration(), settings: tracker.Settings = tracker.Settings(), event_time: str | None = None, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+def listen(chunks: DataFrame, index: Index, transcriber: Transcriber, configuration: Configuration = Configuration(), settings: tracker.Settings = tracker.Settings(), event_time: str | None = None, idle_seconds: float | None = None) -> DataFrame:
     """Events of sessions, from a stream (or a table) of CHUNKS. With event_time, the name of a timestamp column with a watermark,
-    stalls at the tail of a stream are reported when the watermark passes, and a session that is silent for idle_seconds of it ends.
-    Without, a stream forgets a session that sends nothing for idle_seconds by the clock. A stopped session is forgotten in the same
-    time; who sends after that begins anew."""
+    stalls at the tail of a stream are reported when the watermark passes, and a session that is silent for idle_seconds of it (an hour
+    by default) ends. Without, and if idle_seconds is given, a stream forgets a session that sends nothing for idle_seconds by the clock. A stopped session is forgotten in the same
+    time; who sends after that begins anew. By the clock, Spark always makes another batch: a query that takes what is there and ends
+    can't have it."""
     shared = Shared(index)
     player = lambda: Player(tracker.Step(shared.value, settings), transcriber, configuration)
     timed = bool(event_time)
-    ttl = chunks.isStreaming and not timed
+    ttl = chunks.isStreaming and not timed and idle_seconds is not None
     mode = "EventTime" if timed else "ProcessingTime" if ttl else "None"
-    return chunks.groupBy("session_id").transformWithState(Processor(player, timed, idle_seconds, ttl), EVENTS, "Append", mode)
+    return chunks.groupBy("session_id").transformWithState(Processor(player, timed, IDLE_SECONDS if idle_seconds is None else idle_seconds, ttl), EVENTS, "Append", mode)
 
 
 def play(chunks: DataFrame, index: Index, transcriber: Transcriber, configuration: Configuration = Configuration(), settings: tracker.Settings = tracker.Settings()) -> DataFrame:

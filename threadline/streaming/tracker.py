@@ -519,9 +519,9 @@ class Tracker(StatefulProcessor):
         pass
 
 
-def track(windows: DataFrame, index: Index, settings: Settings = Settings(), idle_seconds: float = 3600.0) -> DataFrame:
-    """Like replay(), for streams (and batches). A stream forgets a session that shows nothing new for idle_seconds by the clock; who
-    sends after that begins anew. The stream needs the RocksDB state store."""
+def track(windows: DataFrame, index: Index, settings: Settings = Settings(), idle_seconds: float | None = None) -> DataFrame:
+    """Like replay(), for streams (and batches). With idle_seconds, a stream forgets a session without new windows for so long by the
+    clock; who sends after that begins anew, and the query doesn't end by itself. The stream needs the RocksDB state store."""
     shared = Shared(index)
     ttl = idle_seconds if windows.isStreaming else None
     return windows.groupBy("session_id").transformWithState(Tracker(lambda: shared.value, settings, ttl), SCHEMA, "Append", "ProcessingTime" if ttl else "None")
