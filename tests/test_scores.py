@@ -56,3 +56,22 @@ def test_scores_equal_those_of_columns(spark):
     got = df.select(fast_scores(q, t).alias("s"), F.array(*[c.cast("double") for c in columns]).alias("w")).collect()
     for r in got:
         assert list(r["s"]) == pytest.approx(r["w"])
+
+
+def test_only_what_its_own_group_lacks_is_looked_for_elsewhere(spark, monkeypatch):
+    from threadline.operators import search
+    from threadline.plans import matching
+
+    asked, own = [], search.match_in_group
+    monkeypatch.setattr(search, "match_in_group", lambda q, c, **k: asked.append(q.count()) or own(q, c, **k))
+    found = matching.hint_fallback(spark, "/root/testdata/sf0.001").count()
+    assert len(asked) == 2 and 0 < asked[1] < asked[0] and found > 0
+
+
+def test_rows_in_spans_come_in_small_batches(spark):
+    from threadline.durable import BATCH_BYTES
+    from threadline.plans import matching
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert matching.contained_best(spark, "/root/testdata/sf0.001").count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
