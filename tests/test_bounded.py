@@ -77,3 +77,32 @@ def test_empty_tables(tables):
     none = q.crossJoin(c).select("query_id", "group_id", "ordinal").where("false")
     assert bounded.nearest_by_ratio(none, q, c).count() == 0
     assert bounded.nearest_by_ratio(none, q.where("false"), c.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("discovery", [False, True])
+def test_cells_find_the_best_of_all(spark, monkeypatch, discovery):
+    """The best rows of all cells are those of all pairs that share a stem; a query without any meets every row."""
+    from threadline.functions.scores import discovered
+    from threadline.functions.text import LATIN
+
+    monkeypatch.setattr(bounded, "WIDE_ROWS", 4 << 10)
+    monkeypatch.setattr(bounded, "WIDE_QUERIES", 200)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(3, 8)))
+    vocabulary = [word() for _ in range(60)]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    asked = {f"q{i}": some(rng.randrange(3, 20)) for i in range(15)} | {"none": ""}
+    rows = {(i % 5, i): some(rng.randrange(1, 30)) for i in range(300)} | {(9, 1): None, (9, 0): asked["q3"]}
+    q = spark.createDataFrame([(k, t, t.split(), not t) for k, t in asked.items()], "query_id string, text string, evidence array<string>, every boolean")
+    c = spark.createDataFrame([(g, o, t, t and t.split()) for (g, o), t in rows.items()], "group_id int, ordinal int, text string, evidence array<string>")
+    got = bounded.best_of_all(q, c, 4, None if discovery else 9, LATIN if discovery else None).collect()
+    want = []
+    for name, a in asked.items():
+        met = [(k, t or "") for k, t in rows.items() if not a or set(a.split()) & set((t or "").split())]
+        texts = [t for _, t in met]
+        base = distance.pair_ratios([a] * len(texts), texts)
+        base = discovered([a] * len(texts), texts, base, {}, LATIN) if discovery else base.round(9)
+        ranked = sorted((-s, *k) for s, (k, _) in zip(base.tolist(), met, strict=True))
+        want += [(name, g, o, pytest.approx(-s), i + 1) for i, (s, g, o) in enumerate(ranked[:4])]
+    assert sorted((r["query_id"], r["rank"], r["group_id"], r["ordinal"]) for r in got) == sorted((w[0], w[4], w[1], w[2]) for w in want)
+    assert [r["score"] for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [w[3] for w in sorted(want, key=lambda w: (w[0], w[4]))]
