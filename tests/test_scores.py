@@ -75,3 +75,21 @@ def test_rows_in_spans_come_in_small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert matching.contained_best(spark, "/root/testdata/sf0.001").count() > 0
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+
+
+def test_clusters_are_compared_side_by_side(spark):
+    from threadline.functions import graphemes
+
+    rng = random.Random(9)
+    some = lambda: "".join(rng.choice(["e\u0301", "a", "b", "\U0001f1e9\U0001f1ea"]) for _ in range(rng.randrange(40)))
+    df = spark.createDataFrame([(some(), some()) for _ in range(30)] + [("", ""), (None, "a")], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(graphemes.fast_distance(graphemes.clusters(a), graphemes.clusters(b)).alias("x"), graphemes.distance(a, b).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in got)
+
+
+def test_texts_of_other_lengths_do_not_reach(spark):
+    words = [text(random.Random(i), n) for i in range(4) for n in (0, 3, 5, 8, 10)] + ["abcde", "abcdx", "abcdefgh"]
+    df = spark.createDataFrame([(x, y) for x in words for y in words], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    assert df.where(similarity.reaches(a, b, 0.72) != (similarity.ratio(a, b) >= 0.72)).count() == 0
