@@ -57,3 +57,12 @@ def test_rows_with_similar_stems(spark):
     assert [tuple(r) for r in search.similar_stems(asked, corpus, LATIN).collect()] == [("q", 7, 3)]
     assert search.candidates(asked, corpus, LATIN, similar_up_to=None).count() == 1
     assert search.candidates(asked, corpus, LATIN).count() == 300
+
+
+def test_only_keys_that_the_other_side_may_have_travel(spark):
+    rng = random.Random(5)
+    many = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(8, 20))),) for _ in range(3000)], "word string")
+    few = spark.createDataFrame([("cabbages",), ("abcdefghijklmnopa",)], "word string")
+    own = similar._keyed(few, 0.72, True)
+    assert similar._keyed(many, 0.72, False).count() > 100_000
+    assert similar._keyed(many, 0.72, False, similar._marks(own)).count() < 20_000
