@@ -88,3 +88,17 @@ def test_looks_at_a_stream_and_late_chunks(spark, tmp_path):
     assert got.keys() == table.keys() and status == table_status
     assert all(got[k] == pytest.approx(table[k]) for k in table)
     assert windows.late_rows(query) == len(plain([late], kinds))
+
+
+def test_a_chunk_of_a_table_moves_once_for_a_block_of_looks(spark, capsys):
+    """The looks of a table are added up where their chunks were dealt by session and block, also for times without a zone."""
+    rows = spark.range(300).selectExpr("CAST(id % 3 AS STRING) session_id", "timestamp_micros(id * 7300000 - 900000000 + 1700000000000000 * (id % 2)) at", "array(CAST(id AS DOUBLE)) samples")
+    look = windows.Look("m", 35.0, 2.0, 1, 1)
+    found = windows.looks(rows, (look,))
+    found.explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1
+    spread = rows.withColumn("w", F.window("at", "35 seconds", "2 seconds")).groupBy("session_id", "w").agg(F.count("*").alias("n"), F.sum(F.when(F.expr("at >= w.end - INTERVAL 2 SECOND"), 1).otherwise(0)).alias("f"))
+    want = sorted(map(tuple, spread.select("session_id", "w.start", "w.end", "n", "f").collect()))
+    assert sorted(map(tuple, found.select("session_id", "begin", "end", "chunks", "fresh").collect())) == want
+    plain = windows.looks(rows.withColumn("at", F.expr("CAST(at AS TIMESTAMP_NTZ)")), (look,))
+    assert sorted(map(tuple, plain.select("session_id", "begin", "end", "chunks", "fresh").collect())) == want
