@@ -59,3 +59,17 @@ def test_only_the_rare_stems_are_looked_up(tables, capsys):
     assert pairs.where("shared < 3").count() == 0 and counts.where("n > 1000").count() == 2
     pairs.explain()
     assert "Cartesian" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_stems_are_counted_where_the_row_is(tables, monkeypatch, capsys, least):
+    """Few queries: nothing is shuffled, also where pairs are counted a few at once; the result is that of the shuffle."""
+    corpus, asked = tables
+    want = sorted(map(tuple, search.sharing_stems(asked, corpus, least, held=0).collect()))
+    monkeypatch.setattr(search, "COUNTED", 50)
+    found = search.sharing_stems(asked, corpus.select("group_id", "ordinal", "evidence"), least)
+    assert sorted(map(tuple, found.collect())) == want and want
+    plan = search.sharing_stems(asked, corpus.sparkSession.range(9).selectExpr("1 AS group_id", "id AS ordinal", "array('rare7') AS evidence"), least)
+    plan.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert search.sharing_stems(asked.where("false"), corpus, least).count() == 0
