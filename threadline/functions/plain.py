@@ -65,16 +65,29 @@ def alignment(heard: list[str], wanted: list[str], threshold: float = 0.7) -> tu
     """(matched, total): wanted words found in order, each as the best of the next three words heard."""
     at = matched = 0
     for word in wanted:
-        best = max(((word_ratio(h, word), -i) for i, h in enumerate(heard[at : at + 3])), default=(0.0, 0))
+        near = heard[at : at + 3]
+        best = (1.0, -near.index(word)) if word in near else max(((word_ratio(h, word), -i) for i, h in enumerate(near)), default=(0.0, 0))
         if best[0] >= threshold and at < len(heard):
             matched, at = matched + 1, at - best[1] + 1
     return matched, len(wanted)
 
 
-def near_hits(heard: list[str], wanted: list[str], threshold: float = 0.78, but: tuple[str, ...] = ()) -> int:
-    """Distinct stems heard that equal, or nearly, a wanted one."""
-    wanted = [w for w in wanted if w not in but]
-    return sum(any(word_ratio(h, w) >= threshold for w in wanted) for h in dict.fromkeys(heard) if h not in but)
+def is_near(a: str, b: str, threshold: float) -> bool:
+    """Whether the ratio of two words reaches a threshold; of words whose lengths rule it out it isn't asked for."""
+    longer = max(len(a), len(b))
+    return longer == 0 or (1 - abs(len(a) - len(b)) / longer >= threshold and word_ratio(a, b) >= threshold)
+
+
+def near_hits(heard: list[str], wanted: list[str], threshold: float = 0.78, but: tuple[str, ...] = (), enough: int | None = None) -> int:
+    """Distinct stems heard that equal, or nearly, a wanted one; with enough, counted up to it only, and equal ones first."""
+    wanted = dict.fromkeys(w for w in wanted if w not in but)
+    heard = dict.fromkeys(h for h in heard if h not in but)
+    n = sum(h in wanted for h in heard)
+    for h in heard:
+        if enough is not None and n >= enough:
+            return enough
+        n += h not in wanted and any(is_near(h, w, threshold) for w in wanted)
+    return n
 
 
 def used_hits(heard: list[str], wanted: list[str], threshold: float = 0.72) -> int:

@@ -89,18 +89,18 @@ class Window(Entry):
     def generic(self) -> bool:
         return all(s in self.profile.opening for s in self.stems)
 
-    def hits(self, text: str, but: tuple[str, ...] = ()) -> int:
-        """Distinct stems that a text has too, or nearly so."""
-        return plain.near_hits(self.stems, plain.stems(text.split(), self.profile), but=but)
+    def hits(self, text: str, but: tuple[str, ...] = (), enough: int | None = None) -> int:
+        """Distinct stems that a text has too, or nearly so; with enough, counted up to it only."""
+        return plain.near_hits(self.stems, plain.stems(text.split(), self.profile), but=but, enough=enough)
 
     def has_evidence(self, text: str) -> bool:
         """Two such stems, or one pair of long ones."""
         mine, its = ([s for s in x if len(s) >= 5] for x in (self.stems, plain.stems(text.split(), self.profile)))
-        return self.hits(text) >= 2 or any(word_ratio(a, b) >= 0.78 for a in mine for b in its)
+        return self.hits(text, enough=2) >= 2 or plain.near_hits(mine, its, enough=1) >= 1
 
     def has_word_of(self, target: str, other: str) -> bool:
         """A word of the target, of four letters or more, that was heard and that the other text hasn't."""
-        near = lambda words, w: any(word_ratio(x, w) >= 0.85 for x in words)
+        near = lambda words, w: w in words or any(plain.is_near(x, w, 0.85) for x in words)
         return any(len(w) >= 4 and near(self.words, w) and not near(other.split(), w) for w in target.split())
 
     def opens(self) -> bool:
@@ -198,6 +198,16 @@ class Index:
             base[wide] = np.maximum(base[wide], fragment_scores(w.text, [texts[i] for i in wide], base[wide]))
         return np.minimum(1.0, base + np.array([self.bonus(k, at) for k in keys]))
 
+    def equal(self, w: Window, keys: list[Key], at: Key | None = None) -> Hit | None:
+        """The best row, if one has the window's text: the first with a score of 1, which no other row or span can exceed. Without the same
+        text, only the row with the bonus can have it."""
+        own = min((k for k in keys if self.rows[k] == w.text), default=None)
+        if own is None:
+            return None
+        before = [k for k in keys if k < own and self.bonus(k, at)]
+        key = min((k for k, score in zip(before, self.singles(w, before, at), strict=True) if score >= 1), default=own) if before else own
+        return Hit(*key, None, self.rows[key], 1.0)
+
     def spans(self, w: Window, starts: Iterable[Key], at: Key | None, always: bool) -> list[Hit]:
         """Spans of two and three rows from each start, scored. always: whether fragments count without further signs."""
         found = [(k, n, t) for k in starts for n in range(2, LONGEST_SPAN + 1) if (t := self.span(k, n)) is not None]
@@ -217,9 +227,11 @@ class Index:
         """The row, or span of two or three rows, that fits best, if it reaches the threshold. Rows that fit equally well go by
         group and ordinal; a span wins only with a higher score than every row."""
         keys = list(self.entries) if keys is None else keys
-        if not w.text or not keys:
+        if not w.text or not keys or threshold > 1:
             return None
         pool, wide = self.narrowed(w, keys), len(keys) > WIDE
+        if equal := self.equal(w, pool, at):
+            return equal
         scores = self.singles(w, pool, at)
         order = sorted(range(len(pool)), key=lambda i: (-scores[i], pool[i]))
         top = order[0]
@@ -269,7 +281,7 @@ class Index:
         stems, entry = w.stems, self.entries[key]
         if not stems or not entry.stems or (w.opens() and "بسم" not in entry.words):
             return None
-        best = lambda s: max(word_ratio(h, s) for h in stems)
+        best = lambda s: 1.0 if s in stems else max(word_ratio(h, s) for h in stems)
         final, before = best(entry.stems[-1]), best(entry.stems[-2]) if len(entry.stems) > 1 else 0.0
         if final >= 0.72:
             return min(0.95, max(0.70, 0.75 * final + 0.20 * before))

@@ -72,7 +72,7 @@ class Part(Index):
     def best(self, w: Window, keys: list[Key] | None = None, threshold: float = 0.65, at: Key | None = None, exhaustive: bool = False) -> Hit | None:
         if keys is not None:
             return super().best(w, keys, threshold, at, exhaustive)
-        if not w.text:
+        if not w.text or threshold > 1:
             return None
         seeds = self._seeds(w)
         near = Index(self.near[w.text], self.profile)

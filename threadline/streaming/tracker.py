@@ -229,7 +229,7 @@ class Step:
     def reliable_elsewhere(self, w: Window, hit: Hit, least: float) -> bool:
         """Whether a place in another group can be believed."""
         opening = hit.ordinal == self.index.first(hit.group) or hit.score >= self.settings.sure
-        return hit.score >= least and not w.generic and opening and w.hits(hit.text) >= 2
+        return hit.score >= least and not w.generic and opening and w.hits(hit.text, enough=2) >= 2
 
     def credible_after_completion(self, state: State, w: Window, hit: Hit) -> bool:
         """After a group was completed: never behind what was reached in it; in other groups only on three words or more, on
@@ -243,7 +243,7 @@ class Step:
         if first and self.only_formula(w, hit):
             return False
         if hit.end is not None and not first:
-            return w.hits(hit.text, w.profile.generic) >= 1
+            return w.hits(hit.text, w.profile.generic, 1) >= 1
         return not self.index.ambiguous(w, hit)
 
     def only_formula(self, w: Window, hit: Hit) -> bool:
@@ -251,7 +251,7 @@ class Step:
         formula = w.profile.formula
         heard = [s for s in w.stems if s not in formula]
         wanted = [s for s in plain.stems(hit.text.split(), w.profile) if s not in formula]
-        return not any(plain.word_ratio(h, x) >= 0.72 for h in heard for x in wanted)
+        return not plain.near_hits(heard, wanted, 0.72, enough=1)
 
     def opens_next_group(self, state: State, hit: Hit) -> bool:
         """Whether one sight is enough to go on in another group after one was completed."""
@@ -315,7 +315,7 @@ class Step:
     def straddling(self, state: State, w: Window, hit: Hit, row: Hit) -> Outcome | None:
         """A span over the position, and words of the next row."""
         g, o = state.at
-        if hit.end is None or hit.group != g or not hit.ordinal <= o < hit.end or self.index.at_end(g, o) or w.hits(self.index.text((g, o + 1))) < 2:
+        if hit.end is None or hit.group != g or not hit.ordinal <= o < hit.end or self.index.at_end(g, o) or w.hits(self.index.text((g, o + 1)), enough=2) < 2:
             return None
         return self.advance(replace(state, weak=0), w, (g, o + 1), hit.score, "straddling")
 
