@@ -7,7 +7,7 @@ none asks. The results are those of tracker.replay().
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threadline.durable import durable
@@ -22,6 +22,7 @@ GROUP, SEED, OPENING = "group", "seed", "opening"
 #: Answers: the rows of a group (one without an ordinal where it has none); seeds with scores, and rows around them without; a span at an opening.
 ANSWER = "session_id string, kind string, asked string, group_id int, ordinal int, ordinal_end int, score double, rank int, text string"
 ASKED = f"{SCHEMA}, kind string, asked string, asked_group int"
+SHOWN = pa.schema([(name, {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[kind]) for name, kind in (c.split() for c in ASKED.split(", "))])
 
 
 class Asked(Exception):  # noqa: N818
@@ -93,20 +94,20 @@ class Part(Index):
         return any(score >= hit.score - tolerance for key, score in self._seeds(w) if key != hit.key)
 
 
-def _part(answers: pd.DataFrame, profile: Profile) -> Part:
+def _part(answers: pa.Table, profile: Profile) -> Part:
     rows, loaded, seeds, near, openings = {}, set(), {}, {}, {}
-    for a in answers.sort_values("rank", kind="stable").itertuples():
-        key = None if pd.isna(a.ordinal) else (int(a.group_id), int(a.ordinal))
-        if a.kind == GROUP:
-            loaded.add(int(a.group_id))
+    for a in sorted(answers.to_pylist(), key=lambda a: (a["rank"] is None, a["rank"] or 0)):
+        key = None if a["ordinal"] is None else (a["group_id"], a["ordinal"])
+        if a["kind"] == GROUP:
+            loaded.add(a["group_id"])
             if key:
-                rows[key] = a.text
-        elif a.kind == SEED and pd.isna(a.score):
-            near.setdefault(a.asked, {})[key] = a.text
-        elif a.kind == SEED:
-            seeds.setdefault(a.asked, []).append((key, float(a.score)))
+                rows[key] = a["text"]
+        elif a["kind"] == SEED and a["score"] is None:
+            near.setdefault(a["asked"], {})[key] = a["text"]
+        elif a["kind"] == SEED:
+            seeds.setdefault(a["asked"], []).append((key, a["score"]))
         else:
-            openings.setdefault(a.asked, []).extend([Hit(*key, int(a.ordinal_end), a.text, float(a.score))] if key else [])
+            openings.setdefault(a["asked"], []).extend([Hit(*key, a["ordinal_end"], a["text"], a["score"])] if key else [])
     return Part(rows, loaded, profile, seeds, near, openings)
 
 
@@ -153,19 +154,18 @@ def replay_over(windows: DataFrame, corpus: DataFrame, profile: Profile = ARABIC
     if corpus.select("group_id").limit(WIDE + 1).count() <= WIDE:
         return replay(windows, build_index(corpus, profile), settings)
 
-    def of_session(_, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def of_session(windows: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        if len(pdf):
-            hint = pdf["hint"].dropna()
-            rows = [tuple(None if pd.isna(v) else v for v in r) for r in zip(pdf["ts"], pdf["discovery_text"], pdf["tracking_text"], strict=True)]
-            session = pdf["session_id"].iloc[0]
+        if len(windows):
+            session, ts, discovery, tracking, hints = (windows.column(c).to_pylist() for c in ("session_id", "ts", "discovery_text", "tracking_text", "hint"))
+            hint = next((h for h in hints if h is not None), None)
             try:
-                _, shown = run(State(hint=int(hint.iloc[0]) if len(hint) else None), rows, session, Step(_part(answers, profile), settings))
+                _, shown = run(State(hint=hint), list(zip(ts, discovery, tracking, strict=True)), session[0], Step(_part(answers, profile), settings))
                 out = [(*s, None, None, None) for s in shown]
             except Asked as a:
-                out = [(session, *[None] * (len(FIELDS) - 1), a.kind, a.text, a.group)]
-        ints = {c: "Int32" for c in ("group_id", "ordinal", "ordinal_end", "asked_group")}
-        return pd.DataFrame(out, columns=[*FIELDS, "kind", "asked", "asked_group"]).astype(ints | {"ts": "float64", "score": "float64"})
+                out = [(session[0], *[None] * (len(FIELDS) - 1), a.kind, a.text, a.group)]
+        columns = zip(*out, strict=True) if out else [()] * len(SHOWN)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, SHOWN, strict=True)], SHOWN)
 
     own = windows.where("hint is not null").select("session_id", F.col("hint").cast("int").alias("hint")).distinct()
     asked = own.select("session_id", F.lit(GROUP).alias("kind"), F.lit(None).cast("string").alias("asked"), F.explode(F.array("hint", F.col("hint") + 1)).alias("asked_group"))
@@ -175,7 +175,7 @@ def replay_over(windows: DataFrame, corpus: DataFrame, profile: Profile = ARABIC
         new = _answers(asked, corpus, profile)
         known = durable(new if known is None else known.unionByName(new))
         both = left.repartition(tasks, "session_id").groupBy("session_id").cogroup(known.repartition(tasks, "session_id").groupBy("session_id"))
-        found = durable(both.applyInPandas(of_session, ASKED))
+        found = durable(both.applyInArrow(of_session, ASKED))
         over = found.where("kind is null").select(*FIELDS)
         done = over if done is None else done.unionByName(over)
         asked = found.where("kind is not null").select("session_id", "kind", "asked", "asked_group")
